@@ -5,17 +5,27 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from flowlens.llm import bpe
+from flowlens.llm import bpe, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", quality.in_fold("doc_id", 4, 2).alias("held_out"))
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"), parts=4, held=2)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {"op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_quality": op1_quality, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}
