@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, mixing, quality
+from flowlens.llm import bpe, lines, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = lines.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return cleaned.select("doc_id", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -27,5 +33,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {"op1_quality": op1_quality, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE_SQL}
+QUERIES = {"op1_quality": op1_quality, "op6_lines": op6_lines, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+ORACLE_SQL: dict[str, str] = {"op6_lines": lines.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
