@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, lines, mixing, quality
+from flowlens.llm import bpe, lines, mixing, perplexity, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,15 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), parts=5, held=0)
+    return tagged.select("doc_id", quality.in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted", "toxic_tokens", F.to_json("spans").alias("spans"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = lines.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return cleaned.select("doc_id", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
@@ -33,5 +42,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {"op1_quality": op1_quality, "op6_lines": op6_lines, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op3_perplexity": op3_perplexity, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op6_lines": lines.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
