@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, lines, mixing, perplexity, quality, toxicity
+from flowlens.llm import bpe, lines, merkle, mixing, perplexity, quality, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 
 
+def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_edit(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -42,5 +46,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_perplexity": op3_perplexity, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op3_perplexity": op3_perplexity, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op7_merkle": op7_merkle, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op6_lines": lines.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
