@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, lines, merkle, mixing, perplexity, quality, toxicity
+from flowlens.llm import bpe, lines, merkle, mixing, perplexity, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     tagged = toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), parts=5, held=0)
     return tagged.select("doc_id", quality.in_fold("doc_id", 5, 0).alias("held_out"), "score", "predicted", "toxic_tokens", F.to_json("spans").alias("spans"))
@@ -46,5 +51,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_perplexity": op3_perplexity, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op7_merkle": op7_merkle, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op3_perplexity": op3_perplexity, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op7_merkle": op7_merkle, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op6_lines": lines.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
