@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, lines, merkle, mixing, perplexity, quality, sharding, toxicity
+from flowlens.llm import bpe, jaccard, lines, merkle, mixing, perplexity, quality, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), threshold=0.8, shingle=5)
+
+
 def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {"op1_quality": op1_quality, "op3_perplexity": op3_perplexity, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op7_merkle": op7_merkle, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op2_jaccard": op2_jaccard, "op3_perplexity": op3_perplexity, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op7_merkle": op7_merkle, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op6_lines": lines.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
