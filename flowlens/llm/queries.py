@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, jaccard, lines, merkle, mixing, perplexity, quality, sharding, toxicity
+from flowlens.llm import bpe, jaccard, lines, merkle, mixing, perplexity, quality, sharding, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edit(table(spark, sf_dir, "documents"))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), size=35)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_jaccard": op2_jaccard, "op3_perplexity": op3_perplexity, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op7_merkle": op7_merkle, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
+QUERIES = {"op1_quality": op1_quality, "op2_jaccard": op2_jaccard, "op3_perplexity": op3_perplexity, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines, "op7_merkle": op7_merkle, "op8_substrings": op8_substrings, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {"op6_lines": lines.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
