@@ -46,8 +46,8 @@ def spread(lines: DataFrame, min_sites: int, band: float = BAND, log_size: int =
     return guessed.where(F.col("n") >= min_sites * (1 + band)).select("hash").unionByName(exact.select("hash"))
 
 
-def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_share: float = MOST_SHARE) -> DataFrame:
-    """doc (MD5 of a text) and cuts (positions of its lines to remove), for texts that lose any."""
+def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc (MD5 of a text), cuts (positions of its lines on many sites) and gone (their characters), for texts that have any."""
     lines = cut(exploded(df, min_words))
     hits = lines.join(spread(lines, min_sites), "hash", "left_semi")
     return hits.groupBy("doc", "pos").agg(F.first("chars").alias("chars")).groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("cuts"), F.sum("chars").alias("gone"))
@@ -56,7 +56,7 @@ def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_
 def remove_boilerplate(df: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_share: float = MOST_SHARE) -> DataFrame:
     """df with cleaned texts and n_removed, the number of lines removed."""
     slim = df.select("text", F.col(site).alias("site"))
-    cuts = boilerplate(slim, min_sites, min_words, most_share)
+    cuts = cut(boilerplate(slim, min_sites, min_words))  # a table, so that the join can split a text with many copies
     rows = df.select(F.struct(*df.columns).alias("row"), F.md5(F.col("text").cast("binary")).alias("doc")).join(cuts, "doc", "left")
     text = F.col("row.text")
     clear = F.col("cuts").isNotNull() & (F.col("gone") <= most_share * F.length(F.regexp_replace(text, r"\n", "")))
