@@ -97,30 +97,25 @@ def anchored(df: DataFrame, size: int) -> DataFrame:
 def units(b: pd.DataFrame, size: int, hot: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Units of texts with repeated anchors: rows of route, unit (hash), doc, at (its first word), copies; bounds of their words; words."""
     for w in words(list(b["text"])):
-        ids = sequence_ids(w.key, w.at)
-        route, begin, end, doc = [], [], [], []
-        for i in range(w.n):
-            row = b.iloc[w.first + i]
-            if ids[i] != row["doc"]:
-                continue  # another text with the same doc_id
-            for u in row["units"]:
-                first, last = w.at[i] + u["first"], w.at[i] + u["last"]
-                if u["places"] <= hot:
-                    route.append(u["anchor"])
-                    begin.append(first)
-                    end.append(last + size)
-                else:
-                    own = np.arange(first, last + 1)
-                    route.extend(windows(w.key[first : last + size], size).view(np.int64).tolist())
-                    begin.extend(own.tolist())
-                    end.extend((own + size).tolist())
-                doc.extend([i] * (len(route) - len(doc)))
-        begin, end, doc = np.array(begin, np.int64), np.array(end, np.int64), np.array(doc, np.int64)
-        n = end - begin
-        at = np.concatenate([[0], np.cumsum(n)])
-        flat = w.key[np.arange(at[-1]) + np.repeat(begin - at[:-1], n)]
-        rows = pd.DataFrame({"route": np.array(route, np.int64), "unit": sequence_ids(flat, at), "doc": ids[doc], "at": (begin - w.at[doc]).astype(np.int32), "copies": b["copies"].to_numpy()[w.first + doc] if len(doc) else np.zeros(0, np.int64)})
-        yield rows, at, flat.astype(np.uint32)
+        ids, own = sequence_ids(w.key, w.at), b.iloc[w.first : w.first + w.n]
+        n = np.where(ids == own["doc"].to_numpy(), own["first"].map(len).to_numpy(), 0)  # another text with the same doc_id has other words
+        if not n.sum():
+            continue
+        flat = lambda name: np.concatenate([x for x, k in zip(own[name], n.tolist(), strict=True) if k])
+        doc, anchor, places = np.repeat(np.arange(w.n), n), flat("anchor").astype(np.int64), flat("places")
+        first, last = w.at[doc] + flat("first"), w.at[doc] + flat("last")
+        many = np.where(places > hot, last - first + 1, 1)  # windows of their own
+        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        doc, begin, alone = np.repeat(doc, many), np.repeat(first, many) + step, np.repeat(places > hot, many)
+        end = np.where(alone, begin, np.repeat(last, many)) + size
+        route = np.repeat(anchor, many)
+        if alone.any():
+            route[alone] = windows(w.key, size)[begin[alone]].view(np.int64)
+        length = end - begin
+        at = np.concatenate([[0], np.cumsum(length)])
+        key = w.key[np.arange(at[-1]) + np.repeat(begin - at[:-1], length)]
+        rows = pd.DataFrame({"route": route, "unit": sequence_ids(key, at), "doc": ids[doc], "at": (begin - w.at[doc]).astype(np.int32), "copies": own["copies"].to_numpy()[doc]})
+        yield rows, at, key.astype(np.uint32)
 
 
 class Bits:
@@ -239,14 +234,14 @@ def removals(df: DataFrame, base: DataFrame, size: int = SIZE, hot: int = HOT) -
     heads = base.where(F.col("n_words") >= size).groupBy("doc").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
     wanted = cut(near.join(heads, "doc"))
     texts = df.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("head")))
-    found = cut(texts.select("doc", "text", "units", "copies"))
+    found = cut(texts.select("doc", "text", "copies", *(F.col(f"units.{c}").alias(c) for c in ("first", "last", "anchor", "places"))))
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for rows, at, flat in units(b, size, hot):
-                own = rows.groupby("unit", sort=False).agg(copies=("copies", "sum")).reset_index()
-                one = np.flatnonzero(~rows["unit"].duplicated().to_numpy())
-                yield pd.DataFrame({"route": rows["route"].to_numpy()[one], "unit": own["unit"], "copies": own["copies"], "words": [flat[at[i] : at[i + 1]].tobytes() for i in one]})
+                unit, one, where = np.unique(rows["unit"].to_numpy(), return_index=True, return_inverse=True)
+                raw, at = flat.tobytes(), 4 * at
+                yield pd.DataFrame({"route": rows["route"].to_numpy()[one], "unit": unit, "copies": np.bincount(where, rows["copies"]).astype(np.int64), "words": [raw[i:j] for i, j in zip(at[one].tolist(), at[one + 1].tolist(), strict=True)]})
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unit, copies, text = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
