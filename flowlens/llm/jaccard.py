@@ -294,7 +294,7 @@ def join(df: DataFrame, threshold: float = 0.8, shingle: int = 5, small: int = 6
     slim = placed.select("cell", "side", "bucket", "id", "n_docs", "least_doc", "sketch", "paths")
     near = cut(slim.repartition(parts, "cell").sortWithinPartitions("cell").mapInPandas(wanted, form))
     keys = near.select(F.col("least_doc").alias("key")).distinct()
-    texts = df.select("doc_id", "text").join(keys, F.col("doc_id").eqNullSafe(F.col("key")), "left_semi")
+    texts = df.select("doc_id", "text").join(keys.hint("merge"), F.col("doc_id").eqNullSafe(F.col("key")), "left_semi")  # by shuffle at every size
 
     def filled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -309,5 +309,5 @@ def join(df: DataFrame, threshold: float = 0.8, shingle: int = 5, small: int = 6
     heads = joined.join(sets.select("id", "least_doc"), "id").groupBy("label").agg(F.min("least_doc").alias("class_id"))
     result = sets.select("id", "n_docs", "least_doc").join(links, "id", "left").join(joined, "id", "left").join(heads, "label", "left")
     result = result.select("id", F.coalesce("class_id", "least_doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
-    out = rows.select("id", "doc_id").join(result, "id", "left")
+    out = rows.select("id", "doc_id").join(cut(result), "id", "left")  # a table, so that the join can split a set with many copies
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
