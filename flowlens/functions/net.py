@@ -33,8 +33,7 @@ def flow_id(src_ip: Column, src_port: Column, dst_ip: Column, dst_port: Column,
 
 def ipv4_number(ip: Column) -> Column:
     """IPv4 text as a number; null for anything else."""
-    part = F.split(ip, r"\.")
-    value = reduce(lambda x, i: x * 256 + part[i].cast("long"), range(4), F.lit(0).cast("long"))
+    value = F.aggregate(F.split(ip, r"\."), F.lit(0).cast("long"), lambda x, part: x * 256 + part.cast("long"))
     return F.when(ip.rlike(r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(?!$)|$)){4}$"), value)
 
 

@@ -38,7 +38,7 @@ def alert_id(rule: Column, key: Column) -> Column:
 
 
 def title(rule: Column, proof: Column) -> Column:
-    field = F.get_json_object(proof, F.concat(F.lit("$."), _of(rule, {r: f or "-" for r, (_, f) in TITLES.items()})))
+    field = F.call_function("get_json_object", proof, F.concat(F.lit("$."), _of(rule, {r: f or "-" for r, (_, f) in TITLES.items()})))
     return F.concat(F.coalesce(_of(rule, {r: t for r, (t, _) in TITLES.items()}), rule), F.coalesce(field, F.lit("")))
 
 
