@@ -223,11 +223,12 @@ def train(sample: DataFrame, most_windows: int = 12_000) -> Field:
                 if len(centre):  # one window for marked tokens close to each other
                     centre = centre[np.concatenate([[True], np.diff(centre) > REACH])]
                 clean = np.flatnonzero((mix(t.words.key + np.arange(n, dtype=np.uint64)) % np.uint64(200) == 0) & ~marked)
-                for c in np.concatenate([centre, clean]):
-                    lo, hi = max(c - WINDOW // 2, t.words.at[doc[c]]), min(c + WINDOW // 2 + 1, t.words.at[doc[c] + 1])
-                    yield pd.DataFrame({"slots": [t.slots[lo:hi].ravel()], "y": [marked[lo:hi].astype(np.int32)]})
+                some = np.concatenate([centre, clean])
+                low, high = np.maximum(some - WINDOW // 2, t.words.at[doc[some]]), np.minimum(some + WINDOW // 2 + 1, t.words.at[doc[some] + 1])
+                pairs = list(zip(low.tolist(), high.tolist(), strict=True))
+                yield pd.DataFrame({"slots": [t.slots[i:j].ravel() for i, j in pairs], "y": [marked[i:j].astype(np.int32) for i, j in pairs]})
 
-    rows = sample.mapInPandas(lambda it: (pd.concat(list(x)) for x in [list(windows(it))] if x), "slots array<int>, y array<int>")
+    rows = sample.mapInPandas(windows, "slots array<int>, y array<int>")
     rows = rows.withColumn("h", F.xxhash64("slots")).orderBy("h").limit(most_windows).toPandas()
     if not len(told) or not len(rows):
         return Field(np.zeros(1 << HASH_BITS), np.full(3, -5.0), np.zeros(4))
