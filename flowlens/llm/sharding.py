@@ -3,7 +3,7 @@
 Documents with equal texts are linked. Linked documents start in shards by rank, then move: in each round a document
 wants the open shard in which most documents of its group are, if that is more than where it is. Quotas bound the moves
 from each shard to each other so that no shard exceeds its capacity; whole ranges of hashes move, so a small group moves
-together and a large one fills one shard after another. Rounds end when nothing moves. Documents without links then fill
+together and a large one fills one shard after another. A shard that nothing fits into any more is shut. Rounds end when nothing moves. Documents without links then fill
 the shards to capacity. Capacities differ by one row at most (law "rows"), so this law holds exactly, however large a group
 is; a group is cut only where it can't be helped or rounds end.
 
@@ -76,18 +76,25 @@ def accepted(ranges: dict[tuple[int, int], dict[int, int]], spare: list[int]) ->
             net[i] -= v
         over = [j for j, v in net.items() if v > spare[j]]
         if not over:
-            return take
+            break
         k = max((k for k in moved if k[1] in over and moved[k]), key=lambda k: (moved[k], k))
         r = max(take[k])
         take[k].discard(r)
         moved[k] -= ranges[k][r]
+    for k in sorted(ranges):  # then whatever still fits
+        for r in sorted(set(ranges[k]) - take[k]):
+            if net[k[1]] + ranges[k][r] <= spare[k[1]]:
+                take[k].add(r)
+                net[k[1]] += ranges[k][r]
+                net[k[0]] -= ranges[k][r]
+    return take
 
 
-def propagate(members: DataFrame, spare: list[int], rounds: int = 8, large: int = 1000) -> DataFrame:
+def propagate(members: DataFrame, spare: list[int], rounds: int = 32, large: int = 1000) -> DataFrame:
     """Move members (row, group, n: size of the group, shard); spare: rows that each shard can still take."""
-    state, spare = cut(members), list(spare)
+    state, spare, shut = cut(members), list(spare), set()
     for turn in range(rounds):
-        is_open = F.element_at(F.array(*(F.lit(s > 0) for s in spare)), F.col("shard") + 1)
+        is_open = F.element_at(F.array(*(F.lit(s > 0 and j not in shut) for j, s in enumerate(spare))), F.col("shard") + 1)
         tally = state.groupBy("group", "shard").agg(F.count("*").alias("count"))
         of_group = Window.partitionBy("group")  # a row for each shard at most
         rank = F.struct("count", F.xxhash64("group", "shard").alias("tie"), "shard")
@@ -101,12 +108,16 @@ def propagate(members: DataFrame, spare: list[int], rounds: int = 8, large: int
             ranges[r["shard"], r["target"]][r["range"]] = r["k"]
         take = accepted(ranges, spare)
         gone = {k: sum(ranges[k][r] for r in v) for k, v in take.items()}
-        if not any(gone.values()):
+        stuck = {j for _, j in gone} - {j for (_, j), k in gone.items() if k}
+        if not any(gone.values()) and not stuck - shut:
             return moves.select(state.columns)
+        shut |= stuck  # no range that wants to go there fits any more
         for (i, j), k in gone.items():
             spare[i] += k
             spare[j] -= k
         allowed = {f"{i}>{j}": sorted(v) for (i, j), v in take.items() if v}
+        if not allowed:
+            continue
         may = F.create_map(*(x for k, v in allowed.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
         way = F.concat_ws(">", F.col("shard").cast("string"), F.col("target").cast("string"))
         goes = F.coalesce(F.array_contains(may[way], F.col("range")), F.lit(False))
@@ -114,7 +125,7 @@ def propagate(members: DataFrame, spare: list[int], rounds: int = 8, large: int
     return cut(state)
 
 
-def shard(df: DataFrame, shards: int = 16, rounds: int = 8) -> DataFrame:
+def shard(df: DataFrame, shards: int = 16, rounds: int = 32) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row."""
     raw = F.col("text").cast("binary")
     slim = cut(df.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).alias("text_crc32"), F.md5(raw).alias("group")))
