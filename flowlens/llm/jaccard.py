@@ -267,7 +267,7 @@ def classes(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError("classes did not settle")
 
 
-def join(df: DataFrame, threshold: float = 0.8, shingle: int = 5, small: int = 64, levels: int = 3, recall: float = 0.999) -> DataFrame:
+def join(df: DataFrame, threshold: float = 0.8, shingle: int = 5, small: int = 64, levels: int = 3, recall: float = 0.99999) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class) and n_links (other documents it is similar to) of each row."""
     least = math.floor(POSITIONS * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / POSITIONS)))
     rows = cut(documents(df, shingle))
