@@ -226,7 +226,8 @@ def train(sample: DataFrame, most_windows: int = 12_000) -> Field:
                 some = np.concatenate([centre, clean])
                 low, high = np.maximum(some - WINDOW // 2, t.words.at[doc[some]]), np.minimum(some + WINDOW // 2 + 1, t.words.at[doc[some] + 1])
                 pairs = list(zip(low.tolist(), high.tolist(), strict=True))
-                yield pd.DataFrame({"slots": [t.slots[i:j].ravel() for i, j in pairs], "y": [marked[i:j].astype(np.int32) for i, j in pairs]})
+                if pairs:
+                    yield pd.DataFrame({"slots": [t.slots[i:j].ravel() for i, j in pairs], "y": [marked[i:j].astype(np.int32) for i, j in pairs]})
 
     rows = sample.mapInPandas(windows, "slots array<int>, y array<int>")
     rows = rows.withColumn("h", F.xxhash64("slots")).orderBy("h").limit(most_windows).toPandas()
