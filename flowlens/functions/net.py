@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+import re
 from functools import reduce
 from operator import or_
 
@@ -54,9 +55,9 @@ def is_internal(ip: Column, networks: list[str]) -> Column:
 
 def is_noise(qname: Column) -> Column:
     """Names of directory services and telemetry."""
-    q = F.lower(qname)
-    ends = [q.endswith(s) | (q == s.lstrip(".")) for s in config.NOISE_SUFFIXES]
-    return any_of([q.startswith(p) for p in config.NOISE_PREFIXES] + [q.contains(p) for p in config.NOISE_PARTS] + ends)
+    words = lambda names: "|".join(map(re.escape, names))
+    whole = words(s.lstrip(".") for s in config.NOISE_SUFFIXES)
+    return F.lower(qname).rlike(rf"^(?:{words(config.NOISE_PREFIXES)})|{words(config.NOISE_PARTS)}|(?:{words(config.NOISE_SUFFIXES)})\z|^(?:{whole})\z")
 
 
 def split_domain(qname: Column) -> tuple[Column, Column]:
