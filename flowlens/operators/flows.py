@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections import Counter, OrderedDict
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import net
+from flowlens.llm._spark import cut
+
+BLOCK = 1 << 16
 
 
 def with_flow(packets: DataFrame) -> DataFrame:
@@ -44,20 +53,60 @@ def tcp_states(packets: DataFrame) -> DataFrame:
     return out.withColumn("tcp_state", F.when(begun, "ESTABLISHED").otherwise(F.coalesce("told", F.lit("CLOSED")))).drop("told", "told_at", "acked_at")
 
 
-def instances(packets: DataFrame, capacity: int) -> DataFrame:
+def instances(packets: DataFrame, capacity: int, block: int = BLOCK) -> DataFrame:
     """packets with flow_instance: a flow table of this capacity that evicts what was touched longest ago opens a new instance
-    where `capacity` other flows or more were touched since the flow's last packet.
+    where `capacity` other flows or more were touched since the flow's last packet. Each capture has a table of its own.
 
-    With no more flows than capacity there is one instance each, and that is one aggregate. Otherwise the order of all packets
-    of a capture matters, and gaps are counted over pairs of a packet and the flows whose last touch lies between; this is
-    for parity, not for scale."""
+    Packets are dealt into blocks of about `block` in a row. What the table holds where a block begins are the `capacity` flows
+    touched last before it: each block's own are carried forward, twice as far in each round. From there every block is run
+    through the table by itself, and openings of a flow in earlier blocks are added up by block. Work grows with packets, and no
+    group exceeds a block."""
+    capacity = max(capacity, 1)
     rows = with_flow(packets)
-    if rows.select("flow_id").distinct().count() <= max(capacity, 1):
+    slim = rows.select("capture_id", "seq", "flow_id")
+    block = max(block, 4 * capacity)
+    n = -(-slim.count() // block)
+    if n == 0 or slim.select("flow_id").distinct().count() <= capacity:
         return rows.withColumn("flow_instance", F.lit(0))
-    last = Window.partitionBy("flow_id").orderBy("seq")
-    gaps = rows.select("seq", "flow_id", F.lag("seq").over(last).alias("before"))
-    touches = gaps.select(F.col("seq").alias("at"), F.col("flow_id").alias("other"))
-    between = gaps.where("before is not null").join(touches, (F.col("at") > F.col("before")) & (F.col("at") < F.col("seq")))
-    apart = between.groupBy("seq").agg(F.countDistinct("other").alias("others")).where(F.col("others") >= max(capacity, 1)).select("seq", F.lit(1).alias("opens"))
-    opened = F.sum(F.coalesce("opens", F.lit(0))).over(last)
-    return rows.join(apart, "seq", "left").withColumn("flow_instance", opened.cast("int")).drop("opens")
+    dealt = cut(slim.repartitionByRange(n, "capture_id", "seq").withColumn("block", F.spark_partition_id()))
+    n = dealt.agg(F.max("block")).first()[0] + 1
+    recent = Window.partitionBy("capture_id", "block").orderBy(F.desc("seq"))
+
+    def latest(touches: DataFrame) -> DataFrame:
+        last = touches.groupBy("capture_id", "block", "flow_id").agg(F.max("seq").alias("seq"))
+        return last.withColumn("place", F.row_number().over(recent)).where(F.col("place") <= capacity).drop("place")
+
+    held, reach = latest(dealt), 1
+    while reach < n - 1:
+        on = F.explode(F.array("block", F.col("block") + reach)).alias("block")
+        held = cut(latest(held.select("capture_id", on, "flow_id", "seq").where(F.col("block") < n)))
+        reach *= 2
+    begun = held.select("capture_id", (F.col("block") + 1).alias("block"), "flow_id", "seq", F.lit(True).alias("held"))
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["held", "seq"], ascending=[False, True])  # what is held comes first, longest ago first
+        table, opened, out = OrderedDict(), Counter(), []
+        for flow, held in zip(own["flow_id"].tolist(), own["held"].tolist(), strict=True):
+            if flow in table:
+                table.move_to_end(flow)
+            else:
+                opened[flow] += not held
+                table[flow] = None
+                if len(table) > capacity:
+                    table.popitem(last=False)
+            out.append(opened[flow])
+        return own.assign(opened=np.array(out, np.int32))[~own["held"].to_numpy(bool)][["capture_id", "block", "flow_id", "seq", "opened"]]
+
+    kind = ", ".join(f"{c} {t}" for c, t in dealt.dtypes if c in ("capture_id", "seq", "flow_id"))
+    parts = dealt.dropDuplicates(["capture_id", "block", "seq", "flow_id"]).withColumn("held", F.lit(False)).unionByName(begun)
+    told = cut(parts.groupBy("capture_id", "block").applyInPandas(run, f"block int, opened int, {kind}"))
+    blocks = told.groupBy("capture_id", "flow_id", "block").agg(F.max("opened").alias("opens"))
+    earlier = Window.partitionBy("capture_id", "flow_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("capture_id", "flow_id", "block", F.coalesce(F.sum("opens").over(earlier), F.lit(0)).alias("before"))
+
+    def joined(left: DataFrame, right: DataFrame, *on: str) -> DataFrame:
+        a, b = left.alias("a"), right.alias("b")
+        return a.join(b, reduce(and_, (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on))).select("a.*", *(f"b.{c}" for c in right.columns if c not in on))
+
+    found = joined(told, before, "capture_id", "flow_id", "block").withColumn("flow_instance", (F.col("before") + F.col("opened") - 1).cast("int"))
+    return joined(rows, found.select("capture_id", "seq", "flow_id", "flow_instance"), "capture_id", "seq", "flow_id")

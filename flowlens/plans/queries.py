@@ -51,7 +51,7 @@ def flow_count(spark, d):
 
 
 def flow_instances(spark, d):
-    rows = flows.instances(packets(spark, d).where("seq < 3000 and protocol = 17"), CAPACITY)
+    rows = flows.instances(packets(spark, d), CAPACITY)
     return rows.groupBy("flow_id", "flow_instance").agg(F.count("*").alias("packets"))
 
 

@@ -7,6 +7,7 @@ from flowlens.functions import net
 from flowlens.operators import alerts as A
 from flowlens.operators import detectors as D
 from flowlens.operators import flows
+from flowlens.plans import queries
 from pyspark.sql import functions as F
 
 BASE = {"capture_id": "c", "caplen": 60, "wirelen": 60, "src_ip": "10.0.0.1", "dst_ip": "10.0.0.2", "src_port": 1234, "dst_port": 80, "protocol": 6, "tcp_seq": 0, "tcp_ack": 0, "tcp_flags": 24, "dns_qname": None, "dns_qtype": None, "tls_info": None, "payload": None, "payload_len": 0, "decode_error": None}
@@ -37,6 +38,33 @@ def test_capacity_of_two_evicts_the_oldest(spark):
     assert flows.instances(p, 5).agg(F.max("flow_instance")).first()[0] == 0
 
 
+@pytest.mark.parametrize("capacity, block", [(1, 8), (3, 16), (5, 20), (3, 1 << 16)])
+def test_instances_equal_a_table_run_packet_by_packet(spark, capacity, block):
+    # one flow has a third of the packets, one comes back after many blocks, and seqs of two captures clash
+    rows, want = [], {}
+    for c in ("c", "d"):
+        table, count = [], {}
+        for i in range(160):
+            port = 1 if i % 3 == 0 else 99 if i in (1, 158) else 2 + (i * i + len(c + c) * (c == "d")) % 11
+            rows.append({"capture_id": c, "seq": i, "src_port": port})
+            if port in table:
+                table.remove(port)
+            else:
+                count[port] = count.get(port, -1) + 1
+            table = [*table, port][-capacity:]
+            want[c, i] = (port, count[port])
+    got = flows.instances(packets(spark, *rows), capacity, block).collect()
+    assert len(got) == len(rows) and {(r["capture_id"], r["seq"]): (r["src_port"], r["flow_instance"]) for r in got} == want
+    assert max(n for _, n in want.values()) > 1
+
+
+def test_query_of_instances_covers_every_packet(spark, tmp_path):
+    kinds = ("signup", "click", "view", "error", "purchase")
+    events = [(i, f"2024-01-01 00:00:{i % 60:02}", i % 30, kinds[i % 5], 1.0, f'{{"k": {i % 20}}}') for i in range(2900, 3100)]
+    spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    assert queries.flow_instances(spark, str(tmp_path)).agg(F.sum("packets")).first()[0] == 200
+
+
 @pytest.mark.parametrize("flags, state", [([2], "SYN_SENT"), ([2, 18], "SYN_RCVD"), ([2, 18, 16], "ESTABLISHED"), ([2, 18, 16, 17], "FIN_WAIT"), ([4], "RESET"), ([16], "CLOSED")])
 def test_tcp_state(spark, flags, state):
     assert flows.tcp_states(packets(spark, *({"tcp_flags": f} for f in flags))).first()["tcp_state"] == state
