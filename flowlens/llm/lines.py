@@ -5,8 +5,8 @@ words are left alone. For each line hash a HyperLogLog sketch of its sites is bu
 aggregation. Sketches far from the threshold decide; lines whose estimate is within `band` of it get an exact distinct
 count. Lines on `min_sites` sites or more are removed, wherever they stand.
 
-A document of which such lines make up more than `most_share` (in characters) is a copy of a document rather than a
-document with boilerplate; it is left whole for document-level dedup.
+Copies are for document-level dedup: a text that as a whole stands on `min_sites` sites or more is left whole, and so is a
+document of which no other line would be left. All others lose such lines, whatever their share.
 
 Everything is DataFrame functions. Texts are grouped by their MD5, so repeated rows are judged alike, and the line tables
 hold hashes and positions, not text. Null texts stay null and have no lines; a null site counts as no site; null ids and
@@ -30,10 +30,10 @@ def trimmed(line: Column) -> Column:
 
 
 def exploded(df: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line that counts: text hash, position, line hash, length, site."""
+    """A row for each line that counts: text hash, position, line hash, site."""
     lines = df.where(F.col("text").isNotNull()).select("site", F.md5(F.col("text").cast("binary")).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = lines.withColumn("line", trimmed(F.col("line"))).where(F.size(F.split("line", r"[\x20\x09-\x0D]+")) >= min_words)
-    return line.select("doc", "pos", F.md5(F.col("line").cast("binary")).alias("hash"), F.length("line").alias("chars"), "site")
+    return line.select("doc", "pos", F.md5(F.col("line").cast("binary")).alias("hash"), "site")
 
 
 def spread(lines: DataFrame, min_sites: int, band: float = BAND, log_size: int = LOG_SIZE) -> DataFrame:
@@ -47,26 +47,28 @@ def spread(lines: DataFrame, min_sites: int, band: float = BAND, log_size: int =
 
 
 def boilerplate(df: DataFrame, min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc (MD5 of a text), cuts (positions of its lines on many sites) and gone (their characters), for texts that have any."""
+    """doc (MD5 of a text) and cuts (positions of its lines on many sites), for texts that have any and are not on many sites as a whole."""
     lines = cut(exploded(df, min_words))
     hits = lines.join(spread(lines, min_sites), "hash", "left_semi")
-    return hits.groupBy("doc", "pos").agg(F.first("chars").alias("chars")).groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("cuts"), F.sum("chars").alias("gone"))
+    places = hits.groupBy("doc", "pos").agg(F.countDistinct("site").alias("sites"))
+    return places.where(F.col("sites") < min_sites).groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("cuts"))
 
 
-def remove_boilerplate(df: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS, most_share: float = MOST_SHARE) -> DataFrame:
+def remove_boilerplate(df: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_words: int = MIN_WORDS) -> DataFrame:
     """df with cleaned texts and n_removed, the number of lines removed."""
     slim = df.select("text", F.col(site).alias("site"))
     cuts = cut(boilerplate(slim, min_sites, min_words))  # a table, so that the join can split a text with many copies
     rows = df.select(F.struct(*df.columns).alias("row"), F.md5(F.col("text").cast("binary")).alias("doc")).join(cuts, "doc", "left")
     text = F.col("row.text")
-    clear = F.col("cuts").isNotNull() & (F.col("gone") <= most_share * F.length(F.regexp_replace(text, r"\n", "")))
     kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("cuts"), i))
+    clear = F.col("cuts").isNotNull() & F.exists(kept, lambda x: trimmed(x) != "")
     new = F.when(clear, F.array_join(kept, "\n")).otherwise(text)
     out = rows.withColumn("new", new)
     columns = [F.col("new").alias(c) if c == "text" else F.when(clear, F.length("new").cast(t)).otherwise(F.col(f"row.{c}")).alias(c) if c == "n_chars" and t in ("bigint", "int") else F.col(f"row.`{c}`").alias(c) for c, t in df.dtypes]
     return out.select(*columns, F.when(clear, F.size("cuts")).otherwise(0).cast("long").alias("n_removed"))
 
 
+#: Has the former rule: documents of which such lines make up more than MOST_SHARE (in characters) are left whole.
 ORACLE_SQL = rf"""
 WITH e AS (
   SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

@@ -103,6 +103,14 @@ def test_lines(spark, nothing):
     assert lines.remove_boilerplate(nothing).count() == 0
 
 
+def test_lines_go_whatever_their_share(spark):
+    footer = "\n".join(f"Clause {k} of the licence that every page carries" for k in range(9))
+    rows = [(i, f"Short page {i}\n{footer}", f"s{i}") for i in range(8)] + [(20 + i, f"{footer}\nCopied page", f"s{i}") for i in range(6)] + [(30, f"{footer}\n \n", "s1")]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i] == (f"Short page {i}", 9) for i in range(8))
+    assert all(got[i] == (text, 0) for i, text, _ in rows[8:])  # copies on six sites, and a page of nothing else
+
+
 def test_merkle(docs, nothing):
     got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"] == 1.0) for r in merkle.compare_with_edit(docs).collect())
     md5 = lambda t: hashlib.md5((t or "").encode()).hexdigest()
