@@ -67,6 +67,11 @@ def anchors(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return doc, gram[best[start]], start - w.at[doc], stop - w.at[doc]
 
 
+def text_ids(texts: pd.Series) -> pd.Series:
+    """doc of bases(): hash of the words of each text."""
+    return pd.Series(np.concatenate([np.zeros(0, np.int64), *(sequence_ids(w.key, w.at) for w in words(list(texts)))]))
+
+
 def bases(df: DataFrame) -> DataFrame:
     """doc_id, doc (hash of the words), n_words and digest of all words of each row."""
 
@@ -233,7 +238,8 @@ def removals(df: DataFrame, base: DataFrame, size: int = SIZE, hot: int = HOT) -
     near = places.join(counts, "anchor").groupBy("doc").agg(F.collect_set(F.struct("first", "last", "anchor", "places")).alias("units"))
     heads = base.where(F.col("n_words") >= size).groupBy("doc").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
     wanted = cut(near.join(heads, "doc"))
-    texts = df.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("head")))
+    own = df.select("doc_id", "text", F.pandas_udf(text_ids, "long")("text").alias("own"))  # other texts can have the head's id, and its row can be repeated
+    texts = own.join(wanted, (F.col("own") == F.col("doc")) & F.col("doc_id").eqNullSafe(F.col("head"))).dropDuplicates(["doc"])
     found = cut(texts.select("doc", "text", "copies", *(F.col(f"units.{c}").alias(c) for c in ("first", "last", "anchor", "places"))))
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

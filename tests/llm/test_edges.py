@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from flowlens.llm import bpe, jaccard, lines, merkle, mixing, perplexity, quality, sharding, substrings, toxicity
 
-from .conftest import LONG, ROWS
+from .conftest import LONG, ROWS, prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -193,6 +193,21 @@ def test_substrings(docs, nothing, hot):
     assert want[6, 30_000, 0, hashlib.sha256(LONG.encode()).hexdigest()] == 1
 
 
+@pytest.mark.parametrize("ids", [(1, 1, 1, 2), (7, 7, 8, 7), (None, None, None, None), (None, None, 3, 3)])
+def test_substrings_where_ids_are_shared(spark, ids):
+    common = prose(40, 5)
+    texts = [f"{common} {prose(50, 6)}", f"{common} {prose(50, 6)}", prose(45, 7) + " " + common, common + " short"]
+    rows = [*zip(ids, texts, strict=True), (ids[0], None), (ids[0], prose(30, 8))]
+    got = Counter(tuple(r) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    seen = Counter(tuple(w[i : i + 35]) for _, text in rows for w in [words(text)] for i in range(len(w) - 34))
+    want = Counter()
+    for key, text in rows:
+        w = words(text)
+        gone = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want[key, len(w), len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()] += 1
+    assert got == want
+
+
 def test_mixing(spark, docs, nothing):
     rows = mixing.taken(docs).collect()
     assert len(rows) == len(ROWS) and all(r["taken"] <= 2 * r["size"] for r in rows) and mixing.taken(nothing).count() == 0
