@@ -80,6 +80,13 @@ def test_perplexity_counts(docs, nothing):
     assert got == want and perplexity.judge(nothing).count() == 0
 
 
+def test_perplexity_of_clean_texts_beside_many_copies(spark):
+    copied = " ".join(f"{a}{b}" for a in "zyxwvutsrq" for b in "bcdfghjklm")
+    rows = [(i, prose(80, i), "de" if i % 6 == 0 else "en") for i in range(120)] + [(200 + i, copied, "de") for i in range(60)]
+    got = {r["doc_id"]: r["kept"] for r in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows) and all(got[i] for i in range(120))
+
+
 def test_perplexity_sums_to_one_and_repeats_count():
     import numpy as np
     import pandas as pd
