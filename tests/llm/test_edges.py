@@ -87,6 +87,21 @@ def test_perplexity_of_clean_texts_beside_many_copies(spark):
     assert len(got) == len(rows) and all(got[i] for i in range(120))
 
 
+def test_perplexity_has_a_model_and_a_band_of_every_language(spark):
+    rows = [(100 * k + i, prose(60, 100 * k + i).translate({97 + j: 97 + (j * (2 * k + 1)) % 26 for j in range(26)}), f"l{k}") for k in range(20) for i in range(6)] + [(5000, prose(60, 1), None), (5001, None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in perplexity.judge(df, wave=3000).collect()}
+    assert set(got) == {r[0] for r in rows} and len({(got[100 * k]["low"], got[100 * k]["high"]) for k in range(20)}) == 20
+    for k in (0, 17, 19):
+        for r in perplexity.judge(df.where(f"lang = 'l{k}'")).collect():
+            assert r == got[r["doc_id"]]
+
+
+def test_perplexity_tells_letters_of_every_plane_apart():
+    kinds = [[int(c) & 31 for _, _, _, code in perplexity.grams([text]) for c in code] for text in ("\U0001e922\U0001e923\U0001e924", "\u0434\u0440\u0443", "\u0414\u0440\u0443")]
+    assert len(set(kinds[0][:3])) == 3 and kinds[1] == kinds[2]
+
+
 def test_perplexity_sums_to_one_and_repeats_count():
     import numpy as np
     import pandas as pd
