@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions import net
-from flowlens.llm._spark import cut
+from flowlens.tables import cut
 
 BLOCK = 1 << 16
 
