@@ -1,24 +1,5 @@
-"""Cutting lineage by tables in the shared folder that the session names."""
+"""Tables in the shared folder, under the names that the operators of this subpackage use."""
 
-from __future__ import annotations
+from flowlens.tables import cut, drop, shared
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-SETTING = "spark.checkpoint.dir"
-
-
-def shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of this machine only where the session names none, as in tests."""
-    if not (folder := spark.conf.get(SETTING, None) or spark.sparkContext.getCheckpointDir()):
-        spark.conf.set(SETTING, folder := tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: later steps don't run it anew, and lost executors lose nothing of it."""
-    path = f"{shared(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "drop", "shared"]
