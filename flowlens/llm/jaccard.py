@@ -8,12 +8,14 @@ Each set has a sketch of POSITIONS MinHash tokens. A run starts with all sets in
 by its own hash, 1 / threshold of them on average, and splits its sets by their tokens there, so similar sets stay together
 on about one path at each level. A bucket of at most `small` sets is compared by brute force: sketches first, with room
 for five standard errors, then the sets themselves. What is still larger at the last level, as sets of one near-copied
-document are, is compared by brute force in blocks. Runs are repeated until a pair at the threshold is found with
-probability `recall`, by the chances of its paths.
+document are, is compared by brute force in blocks, bounded in sets and in shingles. Runs are repeated until a pair at the
+threshold is found with probability `recall`, by the chances of its paths; as all runs sample from one sketch, chances are
+averaged over how many of its positions agree.
 
-A pair may meet in several buckets; only the first one that both have counts it. Nothing emits pairs: a bucket gives each
-set's number of links and a forest of links that joins what is linked. Those forests give classes, by smallest-label
-propagation with jumps over joins of tables.
+A pair may meet in several buckets; only the largest one that both have counts it. A set's largest bucket is its home; sets
+of one home are not compared elsewhere, and a bucket whose sets all have one home elsewhere is left out. Nothing emits pairs:
+a bucket gives each set's number of links and a forest of links that joins what is linked. Those forests give classes, by
+smallest-label propagation with jumps over joins of tables.
 
 Null and empty texts have no shingles and no links, also not with each other. Repeated rows are copies. Sets are told
 apart by a 63-bit hash of all their shingles. Every row gives one row, an empty table none; other columns don't matter.
@@ -29,11 +31,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm._spark import cut
+from flowlens.llm._spark import cut, drop
 from flowlens.llm._text import inside, mix, windows, words
 
 POSITIONS = 64
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _FACTOR = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 62, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 62, POSITIONS, dtype=np.uint64)
 
@@ -65,26 +67,26 @@ def set_id(key: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketches(key: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """uint16 tokens (n, POSITIONS) of sets; empty sets have zeros."""
-    n, out = len(at) - 1, np.zeros((len(at) - 1, POSITIONS), np.uint16)
+    """uint32 tokens (n, POSITIONS) of sets; empty sets have zeros."""
+    n, out = len(at) - 1, np.zeros((len(at) - 1, POSITIONS), np.uint32)
     full = np.flatnonzero(np.diff(at) > 0)
     if len(full):
         for j in range(POSITIONS):
             low = np.minimum.reduceat(key * _FACTOR[j] + _SHIFT[j], at[full])
-            out[full, j] = (mix(low) >> np.uint64(40)).astype(np.uint16)
+            out[full, j] = (mix(low) >> np.uint64(32)).astype(np.uint32)
     return out[:n]
 
 
 def documents(df: DataFrame, shingle: int) -> DataFrame:
-    """id (of the set; 0: none), doc_id and sketch of each row."""
+    """id (of the set; 0: none), doc_id, size (of the set) and sketch of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for first, n, key, at in shingles(list(b["text"]), shingle):
-                yield pd.DataFrame({"id": set_id(key, at), "doc_id": b["doc_id"].iloc[first : first + n].to_numpy(), "sketch": [r.tobytes() for r in sketches(key, at)]})
+                yield pd.DataFrame({"id": set_id(key, at), "doc_id": b["doc_id"].iloc[first : first + n].to_numpy(), "size": np.diff(at), "sketch": [r.tobytes() for r in sketches(key, at)]})
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInPandas(run, f"id long, doc_id {kind}, sketch binary")
+    return df.select("doc_id", "text").mapInPandas(run, f"id long, doc_id {kind}, size long, sketch binary")
 
 
 def sampled(bucket: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +103,25 @@ def sampled(bucket: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(rows), np.concatenate(places)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def runs_needed(threshold: float, levels: int, recall: float) -> int:
-    """Runs until a pair at the threshold meets in a bucket of the last level with probability recall."""
+def miss(threshold: float, levels: int, runs: int) -> float:
+    """Chance that a pair at the threshold meets in no bucket of the last level, over how many positions of its sketches agree."""
     low, share = math.floor(1 / threshold), 1 / threshold - math.floor(1 / threshold)
-    p = 1.0
-    for _ in range(levels):
-        miss = 1 - threshold * p
-        p = 1 - ((1 - share) * miss**low + share * miss ** (low + 1))
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
+    total = 0.0
+    for agree in range(POSITIONS + 1):
+        p = 1.0
+        for _ in range(levels):
+            apart = 1 - agree / POSITIONS * p
+            p = 1 - ((1 - share) * apart**low + share * apart ** (low + 1))
+        total += math.comb(POSITIONS, agree) * threshold**agree * (1 - threshold) ** (POSITIONS - agree) * (1 - p) ** runs
+    return total
+
+
+def runs_needed(threshold: float, levels: int, recall: float) -> int:
+    """Runs until a pair at the threshold is found with probability recall; what no number of runs can find doesn't count."""
+    runs = 1
+    while miss(threshold, levels, runs) > 1 - recall and runs < 256:
+        runs += 1
+    return runs
 
 
 def split(rows: DataFrame, threshold: float) -> DataFrame:
@@ -116,7 +129,7 @@ def split(rows: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            tokens = np.frombuffer(b"".join(b["sketch"]), np.uint16).reshape(-1, POSITIONS)
+            tokens = np.frombuffer(b"".join(b["sketch"]), np.uint32).reshape(-1, POSITIONS)
             bucket, ids = b["bucket"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
             row, place = sampled(bucket, threshold)
             child = mix(mix(bucket[row].view(np.uint64) + np.uint64(1) + place.astype(np.uint64)) ^ tokens[row, place].astype(np.uint64))
@@ -133,6 +146,7 @@ def leaves(sets: DataFrame, threshold: float, small: int, levels: int, recall: f
         children = cut(split(rows, threshold))
         sizes = cut(children.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))  # a table, so that the join can split a large bucket
         sized = cut(children.join(sizes, "bucket"))
+        drop(children, sizes)
         final = sized if level == levels - 1 else sized.where(F.col("n") <= small)
         done = final if done is None else done.unionByName(final)
         large = sized.where(F.col("n") > small)
@@ -142,14 +156,27 @@ def leaves(sets: DataFrame, threshold: float, small: int, levels: int, recall: f
     return done
 
 
+def useful(final: DataFrame) -> DataFrame:
+    """Rows of leaves() with rank (the bucket's place, larger buckets first) and home (the set's least rank), without buckets that
+    no pair counts in, as their sets have one home elsewhere; and paths, all ranks of each set."""
+    rank = F.shiftleft(F.lit((1 << 22) - 1) - F.least("n", F.lit((1 << 22) - 1)), 40).bitwiseOR(F.shiftrightunsigned("bucket", 24))
+    ranked = cut(final.select(rank.alias("rank"), "id", "n"))
+    paths = cut(ranked.groupBy("id").agg(F.array_sort(F.collect_set("rank")).alias("paths")))  # runs and their paths, however many sets
+    homes = cut(ranked.join(paths.select("id", F.col("paths")[0].alias("home")), "id"))
+    told = homes.groupBy("rank").agg(F.min("home").alias("low"), F.max("home").alias("high"))
+    kept = cut(told.where((F.col("low") != F.col("high")) | (F.col("low") == F.col("rank"))).select("rank"))
+    out = cut(homes.join(kept, "rank").join(paths, "id"))
+    drop(ranked, paths, homes, kept)
+    return out
+
+
 def cells(rows: DataFrame) -> DataFrame:
-    """Rows of buckets with their cell: the bucket, or for a large one each two of its blocks; side: 0 or 1, 2 where both blocks are one."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.when(F.col("n") <= BLOCK, 0).otherwise(F.pmod(F.xxhash64("id", "bucket"), blocks)).cast("int")
-    other = F.explode(F.when(F.col("n") <= BLOCK, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.withColumn("own", own).withColumn("other", other)
-    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.withColumn("cell", cell).withColumn("side", F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("int")).drop("own", "other", "n")
+    """Rows of buckets (rank, id, size) with their cell: the bucket, or for a large one each two of its blocks; side: 0 or 1, 2 where both blocks are one."""
+    blocks = rows.groupBy("rank").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    rows = rows.join(cut(blocks), "rank")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id", "rank"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64("rank", F.least("own", "other"), F.greatest("own", "other"))
+    return rows.withColumn("cell", cell).withColumn("side", F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("int")).drop("own", "other", "blocks")
 
 
 def whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,10 +193,11 @@ def whole_cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def candidate_pairs(b: pd.DataFrame, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows i < j of one cell whose sketches agree in `least` positions, and whose first common bucket is the cell's own."""
+    """Rows i < j of one cell whose sketches agree in `least` positions, and whose largest common bucket is the cell's own."""
     cell, side = b["cell"].to_numpy(np.int64), b["side"].to_numpy()
-    tokens = np.frombuffer(b"".join(b["sketch"]), np.uint16).reshape(-1, POSITIONS)
-    bucket, ids = b["bucket"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+    tokens = np.frombuffer(b"".join(b["sketch"]), np.uint32).reshape(-1, POSITIONS)
+    rank, home, ids = b["rank"].to_numpy(np.int64), b["home"].to_numpy(np.int64), b["id"].to_numpy(np.int64)
+    away = home != rank
     counts = b["paths"].map(len).to_numpy()
     paths = np.full((len(b), counts.max(initial=1)), np.iinfo(np.int64).max)
     paths[np.arange(paths.shape[1]) < counts[:, None]] = np.concatenate([*b["paths"], np.zeros(0, np.int64)])
@@ -177,7 +205,7 @@ def candidate_pairs(b: pd.DataFrame, least: int) -> Iterator[tuple[np.ndarray, n
     gap, left = 1, np.flatnonzero(last - np.arange(len(cell)) > 1)
     while len(left):
         i, j = left, left + gap
-        ok = ((side[i] == 2) | (side[i] != side[j])) & (ids[i] != ids[j])
+        ok = ((side[i] == 2) | (side[i] != side[j])) & (ids[i] != ids[j]) & ~(away[i] & (home[i] == home[j]))
         i, j = i[ok], j[ok]
         for k in range(0, len(i), 1 << 15):
             x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
@@ -187,7 +215,7 @@ def candidate_pairs(b: pd.DataFrame, least: int) -> Iterator[tuple[np.ndarray, n
             for m in range(0, len(x), 1 << 12):
                 u, v = paths[x[m : m + (1 << 12)]], paths[y[m : m + (1 << 12)]]
                 both = (u[:, :, None] == v[:, None, :]).any(2)  # sorted, so the first in common is the smallest
-                own[m : m + (1 << 12)] = u[np.arange(len(u)), both.argmax(1)] == bucket[x[m : m + (1 << 12)]]
+                own[m : m + (1 << 12)] = u[np.arange(len(u)), both.argmax(1)] == rank[x[m : m + (1 << 12)]]
             if own.any():
                 yield x[own], y[own]
         gap += 1
@@ -261,9 +289,11 @@ def classes(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         told = labels.join(near, labels["id"] == near["a"]).select("id", F.col("label").alias("old"), F.least("label", "other").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         new = cut(told.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        if new.where("old <> label").isEmpty():
-            return new.select("id", "label")
+        drop(labels)
         labels = new.select("id", "label")
+        if new.where("old <> label").isEmpty():
+            drop(edges)
+            return labels
     raise RuntimeError("classes did not settle")
 
 
@@ -272,10 +302,12 @@ def join(df: DataFrame, threshold: float = 0.8, shingle: int = 5, small: int = 6
     least = math.floor(POSITIONS * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / POSITIONS)))
     rows = cut(documents(df, shingle))
     full = rows.where("id <> 0")
-    sets = cut(full.groupBy("id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("least_doc"), F.first("sketch").alias("sketch")))
-    final = cut(leaves(sets, threshold, small, levels, recall))
-    paths = final.groupBy("id").agg(F.array_sort(F.collect_set("bucket")).alias("paths"))  # runs and their paths, however many sets
-    placed = cells(final).join(sets, "id").join(paths, "id")
+    sets = cut(full.groupBy("id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("least_doc"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
+    final = leaves(sets, threshold, small, levels, recall)
+    kept = useful(final)
+    drop(final)
+    columns = ["cell", "side", "rank", "home", "id", "n_docs", "least_doc", "sketch", "paths"]
+    slim = cells(kept.join(sets, "id")).select(columns)
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
     def wanted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,16 +315,16 @@ def join(df: DataFrame, threshold: float = 0.8, shingle: int = 5, small: int = 6
             use = np.zeros(len(b), bool)
             for i, j in candidate_pairs(b, least):
                 use[i] = use[j] = True
-            yield b.loc[use, ["cell", "side", "bucket", "id", "n_docs", "least_doc", "sketch", "paths"]]
+            yield b.loc[use, columns]
 
     def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in whole_cells(batches):
             yield compared(b, threshold, least)
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    form = f"cell long, side int, bucket long, id long, n_docs long, least_doc {kind}, sketch binary, paths array<long>"
-    slim = placed.select("cell", "side", "bucket", "id", "n_docs", "least_doc", "sketch", "paths")
+    form = f"cell long, side int, rank long, home long, id long, n_docs long, least_doc {kind}, sketch binary, paths array<long>"
     near = cut(slim.repartition(parts, "cell").sortWithinPartitions("cell").mapInPandas(wanted, form))
+    drop(kept)
     keys = near.select(F.col("least_doc").alias("key")).distinct()
     texts = df.select("doc_id", "text").join(keys.hint("merge"), F.col("doc_id").eqNullSafe(F.col("key")), "left_semi")  # by shuffle at every size
 
@@ -304,6 +336,7 @@ def join(df: DataFrame, threshold: float = 0.8, shingle: int = 5, small: int = 6
     sets_again = texts.select("text").mapInPandas(filled, "id long, set binary").dropDuplicates(["id"])
     compare = near.join(sets_again, "id").repartition(parts, "cell").sortWithinPartitions("cell")
     found = cut(compare.mapInPandas(linked, "id long, links long, to long"))
+    drop(near)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = classes(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
     heads = joined.join(sets.select("id", "least_doc"), "id").groupBy("label").agg(F.min("least_doc").alias("class_id"))
