@@ -8,12 +8,16 @@ the key -ln(u) / weight, u a hash of its id in (0, 1) and the weight its quality
 source and their sizes prefix-summed, and a document is in as long as at least half of it is within the budget. So the
 words taken differ from the target by half a document at most.
 
-No source is sorted as a whole. Keys fall into BUCKETS ranges; sums by source and range tell in which one range the budget
-ends, and only the rows of that range are sorted, which gives the last key that is in: a row for each source.
+No source is sorted as a whole. A source's keys fall into ranges, and sums by range tell in which one its budget ends; that one
+falls into ranges again, LEVELS times. What is left is added up by equal keys, and these are put in order. So every step is an
+aggregate whose size is fixed, but for the different keys of the last range: one in 2**20 of a source.
 
-A null text or one without words has size 0, and is taken with its epochs though it adds nothing. A null id hashes as an
-empty one. Rows that are equal in id and text have the same key and are taken or left together. Sources are metadata:
-their rows, not their documents, meet in one task. An empty table gives no rows; other columns don't matter.
+Rows that are equal in id and text have the same key. Where the budget ends among them, only as many as fit are chosen: by the
+hash of a row number, its ranges counted in the same way. They can't be told apart, so reruns agree.
+
+A null text or one without words has size 0 and comes with complete epochs only, though it adds nothing. A null id hashes as an
+empty one. Sources are metadata: their rows, not their documents, meet in one task. A weight that is null or below LEAST_QUALITY
+counts as LEAST_QUALITY. An empty table gives no rows; other columns don't matter, and `mix` returns them as they are.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from flowlens.llm._spark import cut
 
-BUCKETS = 1024
+DIGIT, LEVELS, TIES = 10, 2, 4096  #: bits of a range, how often ranges are divided, ranges of tied rows
 WEIGHTS = (3, 1, 2)
 SIGNS = "#*$%&|<>!"
 LEAST_QUALITY = 0.05
@@ -39,14 +43,21 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(LEAST_QUALITY), F.coalesce(F.lit(1.0) - F.lit(4.0) * signs / F.greatest(F.length(text), F.lit(1)), F.lit(1.0)))
 
 
-def keyed(df: DataFrame) -> DataFrame:
-    """df with size, and order: (key, id, text hash), the place within its source; bucket: the key's range."""
+def keyed(df: DataFrame, weight: str | None = None, *more: Column) -> DataFrame:
+    """of (the source as text that is never null), source, size, digits (the key's ranges), key, id and hash (of the text), which order
+    a source's rows, tie and row, which order equal ones; more: further columns. weight: a column of document quality."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
-    key = -F.log(u) / quality_weight(F.col("text"))
-    sized = df.withColumn("size", n_words(F.col("text")))
-    sized = sized.withColumn("order", F.struct(key.alias("key"), name.alias("id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text")))
-    return sized.withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("order.key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    quality = quality_weight(F.col("text")) if weight is None else F.greatest(F.lit(LEAST_QUALITY), F.coalesce(F.col(weight).cast("double"), F.lit(LEAST_QUALITY)))
+    key = -F.log(u) / quality
+    bits = DIGIT * LEVELS
+    rows = df.select(
+        F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("of"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), n_words(F.col("text")).alias("size"), key.alias("key"),
+        name.alias("id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("hash"), F.monotonically_increasing_id().alias("row"), *more,
+    )
+    place = F.least(F.floor((1 - F.exp(-F.col("key"))) * float(1 << bits)), F.lit((1 << bits) - 1)).cast("long")
+    digits = F.array(*(F.shiftright(place, DIGIT * (LEVELS - 1 - k)).bitwiseAND((1 << DIGIT) - 1).cast("int") for k in range(LEVELS)))
+    return rows.withColumn("digits", digits).withColumn("tie", F.xxhash64("row"))
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most_epochs: int = 2) -> DataFrame:
@@ -65,51 +76,61 @@ def targets(sizes: DataFrame, share: float = 1.5, most_epochs: int = 2) -> DataF
     return out.select("source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
+def where_it_ends(cells: DataFrame, ends: DataFrame, order: list[str], amount: str) -> DataFrame:
+    """Of cells (of, order columns, amount) the one of each `of` in which ends (of, budget, before) ends: its before is what comes earlier."""
+    to = Window.partitionBy("of").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = cells.join(ends, "of").withColumn("begin", F.col("before") + F.sum(amount).over(to) - F.col(amount))
+    return rows.where((F.col("begin") < F.col("budget")) & (F.col("budget") <= F.col("begin") + F.col(amount))).drop("before").withColumnRenamed("begin", "before")
+
+
 def plan(rows: DataFrame, share: float = 1.5, most_epochs: int = 2) -> DataFrame:
-    """For each source of keyed rows: source_size, target, epochs, and last: the order of the last document chosen beyond them."""
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
-    sizes = sums.groupBy("source").agg(F.sum("sum").alias("source_size"))
-    goal = targets(sizes, share, most_epochs)
+    """For each source of keyed rows: of, source_size, target, epochs, and beyond them the last key, id and hash of which rows are
+    chosen (null: none), with the last tie and row of these (null: none of them, only what comes before)."""
+    sizes = rows.groupBy("of", "source").agg(F.sum("size").alias("source_size"))
+    goal = targets(sizes.drop("of"), share, most_epochs)
+    goal = sizes.select("of", F.col("source").alias("name")).join(goal, F.col("name").eqNullSafe(F.col("source"))).drop("name", "source")
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
-    goal = cut(goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")))
-    to = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = sums.withColumn("before", F.sum("sum").over(to) - F.col("sum")).withColumnRenamed("source", "of")
-    edge = ends.join(goal, F.col("of").eqNullSafe(F.col("source")))
-    edge = edge.where((F.col("before") < F.col("budget")) & (F.col("budget") < F.col("before") + F.col("sum")))
-    edge = edge.select("of", F.col("bucket").alias("edge"), "before", "budget")
-    near = rows.join(edge, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("edge")))
-    at = Window.partitionBy("of").orderBy("order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = near.withColumn("start", F.col("before") + F.sum("size").over(at) - F.col("size"))
-    last = near.where(F.col("start") + F.col("size") / 2 <= F.col("budget")).groupBy("of").agg(F.max("order").alias("last"))
-    whole = edge.select(F.col("of").alias("at"), "edge")
-    out = goal.join(last, F.col("source").eqNullSafe(F.col("of")), "left").join(whole, F.col("source").eqNullSafe(F.col("at")), "left")
-    # a budget that ends on a range's bound has no edge: all ranges that fit are in
-    fits = ends.join(goal.select(F.col("source").alias("s"), F.col("budget").alias("b")), F.col("of").eqNullSafe(F.col("s")))
-    fits = fits.where(F.col("before") + F.col("sum") <= F.col("b")).groupBy(F.col("of").alias("f")).agg(F.max("bucket").alias("full"))
-    out = out.join(fits, F.col("source").eqNullSafe(F.col("f")), "left")
-    return out.select("source", "source_size", "target", "epochs", F.coalesce("full", F.lit(-1)).alias("full"), "edge", "last")
+    goal = cut(goal)
+    ends = goal.select("of", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("budget"), F.lit(0).cast("long").alias("before"))
+    near = rows.where("size > 0")
+    for k in range(LEVELS):
+        near = near.withColumn("digit", F.col("digits")[k])
+        ends = cut(where_it_ends(near.groupBy("of", "digit").agg(F.sum("size").alias("sum")), ends, ["digit"], "sum").drop("sum"))
+        near = near.join(ends.select("of", "digit"), ["of", "digit"], "left_semi").drop("digit")
+        ends = ends.drop("digit")
+    groups = near.groupBy("of", "key", "id", "hash", "size").agg(F.count("*").alias("rows")).withColumn("sum", F.col("rows") * F.col("size"))
+    last = where_it_ends(groups, ends, ["key", "id", "hash"], "sum")
+    fit = F.floor((F.col("budget") - F.col("before")) / F.col("size") + 0.5).cast("long")
+    last = cut(last.select("of", "key", "id", "hash", F.least(fit, "rows").alias("fit")))
+    tied = near.join(last.where("fit > 0").drop("fit"), ["of", "key", "id", "hash"], "left_semi").withColumn("range", F.pmod("tie", F.lit(TIES)))
+    ties = last.where("fit > 0").select("of", F.col("fit").alias("budget"), F.lit(0).cast("long").alias("before"))
+    ties = cut(where_it_ends(tied.groupBy("of", "range").agg(F.count("*").alias("sum")), ties, ["range"], "sum").drop("sum"))
+    at = Window.partitionBy("of").orderBy("tie", "row")
+    final = tied.join(ties, ["of", "range"]).withColumn("n", F.row_number().over(at)).where(F.col("n") == F.col("budget") - F.col("before"))
+    final = final.select("of", F.struct("range", "tie", "row").alias("tied"))
+    return goal.join(last.select("of", F.struct("key", "id", "hash").alias("last")), "of", "left").join(final, "of", "left")
 
 
 def times(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Keyed rows with source_size, target and times: how often the mix takes each."""
-    s = sources.withColumnRenamed("source", "of")
-    chosen = (F.col("bucket") <= F.col("full")) | F.coalesce((F.col("bucket") == F.col("edge")) & (F.col("order") <= F.col("last")), F.lit(False))
-    out = rows.join(s, F.col("source").eqNullSafe(F.col("of")))
-    return out.withColumn("times", (F.col("epochs") + chosen.cast("int")).cast("int")).drop("of", "epochs", "full", "edge", "last")
+    own, tie = F.struct("key", "id", "hash"), F.struct(F.pmod("tie", F.lit(TIES)).alias("range"), F.col("tie"), F.col("row"))
+    chosen = (F.col("size") > 0) & ((own < F.col("last")) | ((own == F.col("last")) & F.coalesce(tie <= F.col("tied"), F.lit(False))))
+    out = rows.join(sources, "of")
+    return out.withColumn("times", (F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("int")).cast("int"))
 
 
-def taken(df: DataFrame, share: float = 1.5, most_epochs: int = 2) -> DataFrame:
+def taken(df: DataFrame, share: float = 1.5, most_epochs: int = 2, weight: str | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) of each row."""
-    rows = cut(keyed(df.select("doc_id", "source", "text")).drop("text"))
+    rows = cut(keyed(df, weight))
     out = times(rows, cut(plan(rows, share, most_epochs)))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
-def mix(df: DataFrame, share: float = 1.5, most_epochs: int = 2) -> DataFrame:
+def mix(df: DataFrame, share: float = 1.5, most_epochs: int = 2, weight: str | None = None) -> DataFrame:
     """The mix itself: rows of df, each as often as it is taken; same columns."""
-    rows = cut(keyed(df.select("doc_id", "source", "text")).drop("text"))
-    out = times(keyed(df.select(F.struct(*df.columns).alias("row"), "doc_id", "source", "text")), cut(plan(rows, share, most_epochs)))
-    return out.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
+    rows = cut(keyed(df, weight, F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("kept")))  # row numbers hold in this table only, so texts are in it
+    out = times(rows, cut(plan(rows, share, most_epochs)))
+    return out.where("times > 0").select("kept", F.explode(F.sequence(F.lit(1), "times"))).select("kept.*")
 
 
 ORACLE_SQL = rf"""

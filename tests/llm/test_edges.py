@@ -1,6 +1,7 @@
 """Every operator over nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, against plain code."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -243,5 +244,76 @@ def test_mixing(spark, docs, nothing):
         goal[source[r["doc_id"]]] = r["target"]
     assert all(abs(by[s] - goal[s]) <= 4 for s in goal)
     assert sorted(first) == sorted(mixing.taken(many.repartition(5)).collect())
-    mixed = mixing.mix(many.withColumnRenamed("source", "source"))
+    mixed = mixing.mix(many)
     assert mixed.columns == many.columns and mixed.selectExpr("sum(size(split(trim(text), ' ')))").first()[0] == sum(by.values())
+
+
+def brute_mix(rows):
+    """taken of each row (id, text, source), as a multiset with id and text, and the targets, by sorting each source as a whole."""
+    size = lambda t: len(words(t))
+    by = defaultdict(list)
+    for key, text, source, *_ in rows:
+        u = (int(hashlib.md5(("" if key is None else str(key)).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        signs = sum(c in mixing.SIGNS for c in text or "")
+        weight = max(mixing.LEAST_QUALITY, 1 - 4 * signs / max(len(text or ""), 1))
+        by[source].append((-math.log(u) / weight, "" if key is None else str(key), hashlib.md5((text or "").encode()).hexdigest(), key, text))
+    names = sorted(by, key=lambda s: (s is None, s or ""))
+    sizes = {s: sum(size(r[4]) for r in by[s]) for s in names}
+    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    goal, left, total = {}, set(names), 1.5 * sum(sizes.values())
+    while left:
+        level = (total - sum(2 * sizes[s] for s in names if s not in left)) / sum(weights[s] for s in left)
+        over = {s for s in left if weights[s] * level > 2 * sizes[s]}
+        goal |= {s: min(2 * sizes[s], weights[s] * level) for s in left}
+        if not over:
+            break
+        left -= over
+    out = Counter()
+    for s in names:
+        epochs = int(goal[s] // sizes[s]) if sizes[s] else 0
+        budget, start = goal[s] - epochs * sizes[s], 0
+        for *_, key, text in sorted(by[s], key=lambda r: r[:3]):
+            n = size(text)
+            out[key, text, n * (epochs + (n > 0 and start + n / 2 <= budget))] += 1
+            start += n
+    return out, goal
+
+
+TIED = [
+    [(i, "w " * (5 + i), "a") for i in range(30)] + [(7, "one two three four five", "a")] * 90 + [(9, "x y", "b")] * 3 + [(10, "", "c")],
+    [(None, "one two three", "a")] * 100 + [(i, f"w{i} v # u", None) for i in range(40)] + [(None, None, "b")],
+    [(i, text, f"s{i % 2}") for i in range(25) for text in ("a b c", "a b c", "d e")],
+]
+
+
+@pytest.mark.parametrize("rows", [*TIED, [r[:2] + r[3:] for r in ROWS]])
+def test_mixing_splits_ties_and_equals_plain_sorting(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want, goal = brute_mix(rows)
+    got = mixing.taken(df).collect()
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == sum((Counter({(key, len(words(text)), t): n}) for (key, text, t), n in want.items()), Counter())
+    assert sorted({round(r["target"], 6) for r in got}) == sorted({round(g, 6) for g in goal.values()})
+    mixed = Counter((r["doc_id"], r["text"]) for r in mixing.mix(df).collect())
+    for (key, text, t), n in want.items():
+        if words(text):
+            assert sum(k * m for (a, b, k), m in want.items() if (a, b) == (key, text)) == mixed[key, text] * len(words(text))
+
+
+def test_mixing_takes_weights_from_a_column(spark):
+    rows = [(i, "a b c d", "s", 1.0 if i % 2 else 0.01) for i in range(400)] + [(1000, "a b", "s", None)]
+    got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string, worth double"), share=0.5, weight="worth").collect()
+    assert sum(r["taken"] > 0 for r in got if r["doc_id"] % 2) > 4 * sum(r["taken"] > 0 for r in got if r["doc_id"] % 2 == 0)
+
+
+def test_lines_keep_a_clashing_column_under_another_name(spark):
+    rows = [(i, f"Menu\nown line {i}", f"s{i}", 77) for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_removed int")
+    assert {(r["text"], r["n_removed"], r["gone"]) for r in lines.remove_boilerplate(df, into="gone").collect()} == {(f"own line {i}", 77, 1) for i in range(8)}
+    assert {(r["text"], r["n_removed"]) for r in lines.remove_boilerplate(df).collect()} == {(f"own line {i}", 1) for i in range(8)}
+
+
+def test_lines_of_a_very_long_text(spark):
+    body = "\n".join(x for i in range(20_000) for x in (f"line {i}", "Footer"))
+    df = spark.createDataFrame([(0, body, "s0"), *((i, f"Footer\nown {i}", f"s{i}") for i in range(1, 7)), (1, "Footer\nown 1", "s1")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.remove_boilerplate(df).collect()}
+    assert got == {0: ("\n".join(f"line {i}" for i in range(20_000)), 20_000)} | {i: (f"own {i}", 1) for i in range(1, 7)}
