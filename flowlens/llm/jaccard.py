@@ -18,7 +18,8 @@ a bucket gives each set's number of links and a forest of links that joins what
 smallest-label propagation with jumps over joins of tables.
 
 Null and empty texts have no shingles and no links, also not with each other. Repeated rows are copies. Sets are told
-apart by a 63-bit hash of all their shingles. Every row gives one row, an empty table none; other columns don't matter.
+apart by a 63-bit hash of all their shingles. Every row gives one row, an empty table none; other columns don't matter. `one_of_each`
+leaves one row of each class, and all rows without words.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from flowlens.llm._spark import cut, drop
 from flowlens.llm._text import inside, mix, windows, words
 
 POSITIONS = 64
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 _FACTOR = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 62, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 62, POSITIONS, dtype=np.uint64)
 
@@ -78,15 +79,15 @@ def sketches(key: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def documents(df: DataFrame, shingle: int) -> DataFrame:
-    """id (of the set; 0: none), doc_id, size (of the set) and sketch of each row."""
+    """id (of the set; 0: none), doc_id, hash (of the text), size (of the set) and sketch of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for first, n, key, at in shingles(list(b["text"]), shingle):
-                yield pd.DataFrame({"id": set_id(key, at), "doc_id": b["doc_id"].iloc[first : first + n].to_numpy(), "size": np.diff(at), "sketch": [r.tobytes() for r in sketches(key, at)]})
+                yield pd.DataFrame({"id": set_id(key, at), "doc_id": b["doc_id"].iloc[first : first + n].to_numpy(), "hash": b["hash"].iloc[first : first + n].to_numpy(), "size": np.diff(at), "sketch": [r.tobytes() for r in sketches(key, at)]})
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInPandas(run, f"id long, doc_id {kind}, size long, sketch binary")
+    return df.select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"), "text").mapInPandas(run, f"id long, doc_id {kind}, hash string, size long, sketch binary")
 
 
 def sampled(bucket: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -297,8 +298,8 @@ def classes(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     raise RuntimeError("classes did not settle")
 
 
-def join(df: DataFrame, threshold: float = 0.8, shingle: int = 5, small: int = 64, levels: int = 3, recall: float = 0.99999) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its class) and n_links (other documents it is similar to) of each row."""
+def members(df: DataFrame, threshold: float = 0.8, shingle: int = 5, small: int = 64, levels: int = 3, recall: float = 0.99999) -> DataFrame:
+    """id (of the set), label (of its class), doc_id, hash (of the text), class_id and n_links of each row."""
     least = math.floor(POSITIONS * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / POSITIONS)))
     rows = cut(documents(df, shingle))
     full = rows.where("id <> 0")
@@ -341,6 +342,23 @@ def join(df: DataFrame, threshold: float = 0.8, shingle: int = 5, small: int = 6
     joined = classes(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
     heads = joined.join(sets.select("id", "least_doc"), "id").groupBy("label").agg(F.min("least_doc").alias("class_id"))
     result = sets.select("id", "n_docs", "least_doc").join(links, "id", "left").join(joined, "id", "left").join(heads, "label", "left")
-    result = result.select("id", F.coalesce("class_id", "least_doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
-    out = rows.select("id", "doc_id").join(cut(result), "id", "left")  # a table, so that the join can split a set with many copies
-    return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    result = result.select("id", F.coalesce("label", "id").alias("label"), F.coalesce("class_id", "least_doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n_docs") - 1).alias("n_links"))
+    out = rows.select("id", "doc_id", "hash").join(cut(result), "id", "left")  # a table, so that the join can split a set with many copies
+    return out.select("id", "label", "doc_id", "hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(df: DataFrame, threshold: float = 0.8, shingle: int = 5, small: int = 64, levels: int = 3, recall: float = 0.99999) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its class) and n_links (other documents it is similar to) of each row."""
+    return members(df, threshold, shingle, small, levels, recall).select("doc_id", "class_id", "n_links")
+
+
+def one_of_each(df: DataFrame, **how) -> DataFrame:
+    """df with one row of each class: of its least doc_id (null last), then of the least text hash; of rows equal in both the one with
+    the least hash of its other columns. Rows without words stay."""
+    own, key = F.md5(F.col("text").cast("binary")), F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    found = members(df, **how).where("id <> 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("h")).select(F.col("h.doc_id").alias("doc_id"), F.col("h.hash").alias("_hash"))
+    heads = found.select(key.alias("_key"), "_hash")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in df.columns if c not in ("doc_id", "text")))
+    rows = df.where(worded).groupBy(key.alias("_key"), own.alias("_hash")).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.md5(F.to_json(rest).cast("binary"))).alias("_row"))
+    return rows.join(heads, ["_key", "_hash"]).select("_row.*").unionByName(df.where(~worded))
