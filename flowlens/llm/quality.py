@@ -6,11 +6,12 @@ logistic loss on feature differences. A quantile of the labelled documents' stre
 default, becomes the threshold; strengths are mapped to scores between 0 and 1 so that this quantile gets score 0.7.
 
 Features are shares and lengths of a text, in bins, so that either extreme can be bad; they use nothing but the text.
-Fitting takes at most `most_labelled` labelled rows of each label, those with the lowest hashes; scoring covers every row.
+Fitting takes at most `most_labelled` labelled documents of each label, those with the lowest hashes; scoring covers every row.
 
-Null texts count as empty; an empty text gets the score of its features like any other. Every row gives one row; other
-columns don't matter. Labels that are null, other than 0 and 1, or without a document are left out. With no pair to
-learn from (an empty table, one label only) every score is 0.5.
+Null texts count as empty; an empty text gets the score of its features like any other. Every row gives one row. Labels that
+are null, other than 0 and 1, or without a document are left out; a document of several texts is learnt by the one with the
+least hash. With no pair to learn from (an empty table, one label only) every score is 0.5. A column of the caller named as an
+output gives way to it, so name outputs otherwise (`into`) to keep it; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -139,13 +140,16 @@ def fit(x: np.ndarray, good: np.ndarray, bad_share: float, pairs: int = 30_000,
 
 
 def labelled(df: DataFrame, labels: DataFrame, most_labelled: int, label: str = "quality", key: str = "doc_id") -> DataFrame:
-    """Texts with labels (text, good, n): at most most_labelled rows of each label, by hash; n: how many have this label."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("good"))
+    """Texts with labels (key, text, good, n): at most most_labelled documents of each label, by hash; n: how many have this label."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("good")).distinct()
+    known = known.join(df.select(F.col(key).alias("key")), "key", "left_semi")
     counts = known.groupBy("good").agg(F.count("*").alias("n"))
     hashed = known.withColumn("h", F.xxhash64("key"))
     some = [hashed.where(F.col("good") == v).orderBy("h", "key").limit(most_labelled) for v in (0, 1)]
     some = some[0].unionByName(some[1]).join(F.broadcast(counts), "good")  # two rows
-    return df.select(F.col(key).alias("key"), "text").join(F.broadcast(some), "key").select("key", "text", "good", "n")
+    texts = df.select(F.col(key).alias("key"), "text").join(F.broadcast(some), "key")  # 2 * most_labelled rows
+    text = F.coalesce("text", F.lit(""))
+    return texts.groupBy("key", "good", "n").agg(F.min_by(text, F.md5(text.cast("binary"))).alias("text"))
 
 
 def train(sample: DataFrame) -> Ranking:
@@ -181,7 +185,7 @@ def in_fold(key: str, parts: int, held: int) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts)) == held, F.lit(False))
 
 
-def classify(df: DataFrame, labels: DataFrame, most_labelled: int = 6000, parts: int = 4, held: int = 2, key: str = "doc_id") -> DataFrame:
-    """df with score and predicted; labels of the held-out fold are never learnt."""
+def classify(df: DataFrame, labels: DataFrame, most_labelled: int = 6000, parts: int = 4, held: int = 2, key: str = "doc_id", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """df with score and predicted, or what `into` calls them; labels of the held-out fold are never learnt."""
     ranking = train(labelled(df, labels.where(~in_fold(key, parts, held)), most_labelled, key=key))
-    return score(df, ranking).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return score(df, ranking, into=into[0]).withColumn(into[1], (F.col(into[0]) >= THRESHOLD).cast("int"))
