@@ -7,8 +7,9 @@ gradient of the log likelihood, with forward-backward over all windows at once.
 sentence; the marginals of its tokens aggregate to its score by a small logistic model of labelled documents, and tokens
 of at least one half join to spans with offsets in code points.
 
-Learning takes at most `most_labelled` labelled rows of each label, by hash, each text once; tagging covers every row and
-every token. Null texts count as empty; a text without words has the score of no evidence. Every row gives one row;
+Learning takes at most `most_labelled` labelled documents of each label, by hash, each text once (toxic if any label of it says
+so), and of each of these at most `most_windows` windows with marked tokens and one without, by hash; tagging covers every row
+and every token. Null texts count as empty; a text without words has the score of no evidence. Every row gives one row;
 other columns don't matter. With no labelled toxic or no labelled clean document every score is the share of toxic
 labels, 0 if there is none.
 """
@@ -23,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowlens.llm._spark import cut
 from flowlens.llm._text import Words, hash_runs, mix, words
 from flowlens.llm.quality import in_fold, labelled
 
@@ -207,9 +209,17 @@ def telling_units(sample: DataFrame) -> np.ndarray:
     return np.sort(told["unit"].to_numpy(np.int64).view(np.uint64))
 
 
-def train(sample: DataFrame, most_windows: int = 12_000) -> Field:
-    """Learn from the bounded sample of quality.labelled(label='toxic'), and in it from most_windows windows, by hash."""
-    sample = sample.dropDuplicates(["text"]).withColumn("text", F.coalesce("text", F.lit("")))
+def least_of_each(group: np.ndarray, rank: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
+    """Of each group (sorted) the `most` values of the least rank."""
+    order = np.lexsort((rank, group))
+    first = np.searchsorted(group, group[order])
+    return value[order][np.arange(len(order)) - first < most]
+
+
+def train(sample: DataFrame, most_windows: int = 2) -> Field:
+    """Learn from the bounded sample of quality.labelled(label='toxic'), by most_windows windows with marked tokens of a text and one without."""
+    told_by = F.max(F.struct("good", "key", "n"))
+    sample = cut(sample.groupBy(F.md5(F.col("text").cast("binary")).alias("hash")).agg(told_by.alias("t"), F.first("text").alias("text")).select("t.*", "text"))
     told = telling_units(sample)
     shared = sample.sparkSession.sparkContext.broadcast(told)
 
@@ -222,21 +232,21 @@ def train(sample: DataFrame, most_windows: int = 12_000) -> Field:
                 centre = np.flatnonzero(marked)
                 if len(centre):  # one window for marked tokens close to each other
                     centre = centre[np.concatenate([[True], np.diff(centre) > REACH])]
-                clean = np.flatnonzero((mix(t.words.key + np.arange(n, dtype=np.uint64)) % np.uint64(200) == 0) & ~marked)
-                some = np.concatenate([centre, clean])
+                plain = np.flatnonzero(~marked)
+                some = np.concatenate([least_of_each(doc[at], mix(t.words.key[at] + (at - t.words.at[doc[at]]).astype(np.uint64)), at, k) for at, k in ((centre, most_windows), (plain, 1))])
                 low, high = np.maximum(some - WINDOW // 2, t.words.at[doc[some]]), np.minimum(some + WINDOW // 2 + 1, t.words.at[doc[some] + 1])
                 pairs = list(zip(low.tolist(), high.tolist(), strict=True))
                 if pairs:
-                    yield pd.DataFrame({"slots": [t.slots[i:j].ravel() for i, j in pairs], "y": [marked[i:j].astype(np.int32) for i, j in pairs]})
+                    yield pd.DataFrame({"slots": [t.slots[i:j].tobytes() for i, j in pairs], "y": [marked[i:j].astype(np.int8).tobytes() for i, j in pairs]})
 
-    rows = sample.mapInPandas(windows, "slots array<int>, y array<int>")
-    rows = rows.withColumn("h", F.xxhash64("slots")).orderBy("h").limit(most_windows).toPandas()
+    rows = sample.mapInPandas(windows, "slots binary, y binary").toPandas()
     if not len(told) or not len(rows):
         return Field(np.zeros(1 << HASH_BITS), np.full(3, -5.0), np.zeros(4))
+    rows = rows.sort_values(["slots", "y"], ignore_index=True)
     size = rows["y"].map(len).to_numpy()
     y, slots = np.zeros((len(rows), WINDOW), np.int8), np.zeros((len(rows), WINDOW, 2 + len(STARTS)), np.int32)
     for i, (s, v) in enumerate(zip(rows["slots"], rows["y"], strict=True)):
-        y[i, : len(v)], slots[i, : len(v)] = v, np.reshape(s, (len(v), -1))
+        y[i, : len(v)], slots[i, : len(v)] = np.frombuffer(v, np.int8), np.frombuffer(s, np.int32).reshape(len(v), -1)
     field = fit_field(slots, y, size)
     carried = sample.sparkSession.sparkContext.broadcast(field)
 
@@ -246,7 +256,7 @@ def train(sample: DataFrame, most_windows: int = 12_000) -> Field:
             yield b[["key", "good", "n"]].assign(x=list(x))
 
     kind = sample.schema["key"].dataType.simpleString()
-    docs = sample.mapInPandas(measured, f"key {kind}, good int, n long, x array<double>").toPandas().sort_values("key", kind="stable")
+    docs = sample.mapInPandas(measured, f"key {kind}, good int, n long, x array<double>").toPandas().sort_values(["key", "good"], kind="stable")
     toxic = docs["good"].to_numpy() == 1
     weight = docs["n"].to_numpy(float) / np.where(toxic, toxic.sum(), (~toxic).sum())
     return field._replace(document=fit_document(np.array(docs["x"].tolist()), toxic, weight))
