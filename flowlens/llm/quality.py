@@ -185,7 +185,12 @@ def in_fold(key: str, parts: int, held: int) -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts)) == held, F.lit(False))
 
 
+def learn(df: DataFrame, labels: DataFrame, most_labelled: int = 6000, parts: int = 4, held: int = 2, key: str = "doc_id") -> Ranking:
+    """The ranking of df's labelled texts; labels of the held-out fold are never learnt."""
+    return train(labelled(df, labels.where(~in_fold(key, parts, held)), most_labelled, key=key))
+
+
 def classify(df: DataFrame, labels: DataFrame, most_labelled: int = 6000, parts: int = 4, held: int = 2, key: str = "doc_id", into: tuple[str, str] = ("score", "predicted")) -> DataFrame:
-    """df with score and predicted, or what `into` calls them; labels of the held-out fold are never learnt."""
-    ranking = train(labelled(df, labels.where(~in_fold(key, parts, held)), most_labelled, key=key))
+    """df with score and predicted, or what `into` calls them."""
+    ranking = learn(df, labels, most_labelled, parts, held, key)
     return score(df, ranking, into=into[0]).withColumn(into[1], (F.col(into[0]) >= THRESHOLD).cast("int"))

@@ -1,7 +1,6 @@
 """Every operator over nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, against plain code."""
 
 import hashlib
-import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,16 +11,12 @@ from tokenizers import Tokenizer
 
 from flowlens.llm import bpe, jaccard, lines, merkle, mixing, perplexity, quality, sharding, substrings, toxicity
 
+from .brute import brute_links, brute_mix, words
 from .conftest import LONG, ROWS, prose
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def words(text):
-    return WORD.findall(text or "")
-
-
 def test_bpe(docs, nothing):
     source = bpe.read_tokenizer(VOCABULARY)
     got = sorted((r["doc_id"] or 0, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip(docs, source).collect())
@@ -168,27 +163,6 @@ def test_sharding(spark, nothing, docs, copies):
     assert sharding.shard(nothing, 8).count() == 0 and sharding.shard(docs, 16).count() == len(ROWS)
 
 
-def brute_links(rows):
-    sets = []
-    for _, text, *_ in rows:
-        w = words(text)
-        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
-    n, group = [0] * len(rows), list(range(len(rows)))
-
-    def root(i):
-        while group[i] != i:
-            i = group[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                n[i] += 1
-                n[j] += 1
-                group[max(root(i), root(j))] = min(root(i), root(j))
-    return n, [root(i) for i in range(len(rows))]
-
-
 def test_jaccard(spark, docs, nothing):
     n, group = brute_links(ROWS)
     got = sorted((r["doc_id"] or 0, r["n_links"]) for r in jaccard.join(docs).collect())
@@ -248,37 +222,6 @@ def test_mixing(spark, docs, nothing):
     assert mixed.columns == many.columns and mixed.selectExpr("sum(size(split(trim(text), ' ')))").first()[0] == sum(by.values())
 
 
-def brute_mix(rows):
-    """taken of each row (id, text, source), as a multiset with id and text, and the targets, by sorting each source as a whole."""
-    size = lambda t: len(words(t))
-    by = defaultdict(list)
-    for key, text, source, *_ in rows:
-        u = (int(hashlib.md5(("" if key is None else str(key)).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
-        signs = sum(c in mixing.SIGNS for c in text or "")
-        weight = max(mixing.LEAST_QUALITY, 1 - 4 * signs / max(len(text or ""), 1))
-        by[source].append((-math.log(u) / weight, "" if key is None else str(key), hashlib.md5((text or "").encode()).hexdigest(), key, text))
-    names = sorted(by, key=lambda s: (s is None, s or ""))
-    sizes = {s: sum(size(r[4]) for r in by[s]) for s in names}
-    weights = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
-    goal, left, total = {}, set(names), 1.5 * sum(sizes.values())
-    while left:
-        level = (total - sum(2 * sizes[s] for s in names if s not in left)) / sum(weights[s] for s in left)
-        over = {s for s in left if weights[s] * level > 2 * sizes[s]}
-        goal |= {s: min(2 * sizes[s], weights[s] * level) for s in left}
-        if not over:
-            break
-        left -= over
-    out = Counter()
-    for s in names:
-        epochs = int(goal[s] // sizes[s]) if sizes[s] else 0
-        budget, start = goal[s] - epochs * sizes[s], 0
-        for *_, key, text in sorted(by[s], key=lambda r: r[:3]):
-            n = size(text)
-            out[key, text, n * (epochs + (n > 0 and start + n / 2 <= budget))] += 1
-            start += n
-    return out, goal
-
-
 TIED = [
     [(i, "w " * (5 + i), "a") for i in range(30)] + [(7, "one two three four five", "a")] * 90 + [(9, "x y", "b")] * 3 + [(10, "", "c")],
     [(None, "one two three", "a")] * 100 + [(i, f"w{i} v # u", None) for i in range(40)] + [(None, None, "b")],
@@ -291,12 +234,10 @@ def test_mixing_splits_ties_and_equals_plain_sorting(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
     want, goal = brute_mix(rows)
     got = mixing.taken(df).collect()
-    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == sum((Counter({(key, len(words(text)), t): n}) for (key, text, t), n in want.items()), Counter())
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == sum((Counter({(key, len(words(text)), t * len(words(text))): n}) for (key, text, t), n in want.items()), Counter())
     assert sorted({round(r["target"], 6) for r in got}) == sorted({round(g, 6) for g in goal.values()})
     mixed = Counter((r["doc_id"], r["text"]) for r in mixing.mix(df).collect())
-    for (key, text, t), n in want.items():
-        if words(text):
-            assert sum(k * m for (a, b, k), m in want.items() if (a, b) == (key, text)) == mixed[key, text] * len(words(text))
+    assert mixed == +sum((Counter({(key, text): n * t}) for (key, text, t), n in want.items()), Counter())
 
 
 def test_mixing_takes_weights_from_a_column(spark):
