@@ -8,10 +8,11 @@ the shards to capacity. Capacities differ by one row at most (law "rows"), so th
 is; a group is cut only where it can't be helped or rounds end.
 
 Everything is DataFrame functions; what reaches the driver has a row for each pair of shards and range, never more. Ranks
-come from counts by hash range, prefix-summed, and row numbers within a range, so no task sorts all rows.
+come from counts by hash range, prefix-summed, and row numbers within a range, so no task sorts all rows. Groups and wishes
+are written as tables, so that joins can split a group that holds much of them.
 
-Null texts have size 1 and no links; empty texts are equal texts. Null ids and repeated rows are rows like others. An
-empty table gives no rows; other columns don't matter.
+Null texts have size 1 and no links; empty texts are equal texts. Null ids are ids like others. Rows equal in id and text are
+numbered first, by ranges too, so that they hash apart. An empty table gives no rows; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -38,6 +39,19 @@ def numbered(df: DataFrame, within: list[str], order: list[Column], into: str, r
     return ranked.withColumn(into, F.col("_offset") + F.col("_row")).drop("_hash", "_range", "_offset", "_row")
 
 
+def told_apart(df: DataFrame, ranges: int = 64) -> DataFrame:
+    """df (doc_id, group) with turn: 0, and numbers from 0 for rows that are equal in both."""
+    rows = cut(df.withColumn("_key", F.xxhash64("doc_id", "group")).withColumn("_id", F.monotonically_increasing_id()))
+    again = cut(rows.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").select("_key"))
+    twice = rows.join(again, "_key").withColumn("_range", F.pmod(F.xxhash64("_id"), F.lit(ranges)))
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = twice.groupBy("_key", "_range").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    at = Window.partitionBy("_key", "_range").orderBy("_id")
+    numbers = twice.withColumn("_row", F.row_number().over(at) - 1).join(offsets, ["_key", "_range"]).select(*df.columns, (F.col("_offset") + F.col("_row")).cast("long").alias("turn"))
+    once = rows.join(again, "_key", "left_anti").select(*df.columns, F.lit(0).cast("long").alias("turn"))
+    return once.unionByName(numbers)
+
+
 def capacities(n: int, shards: int) -> list[int]:
     return [n // shards + (j < n % shards) for j in range(shards)]
 
@@ -99,7 +113,7 @@ def propagate(members: DataFrame, spare: list[int], rounds: int = 32, large: int
         of_group = Window.partitionBy("group")  # a row for each shard at most
         rank = F.struct("count", F.xxhash64("group", "shard").alias("tie"), "shard")
         wish = tally.withColumn("rank", rank).withColumn("best", F.max(F.when(is_open, rank)).over(of_group)).where(F.col("best") > F.col("rank"))
-        wish = wish.select("group", "shard", F.col("best.shard").alias("target"))
+        wish = cut(wish.select("group", "shard", F.col("best.shard").alias("target")))
         moves = state.join(wish, ["group", "shard"], "left")
         together = F.when(F.col("n") < large, F.xxhash64("group", F.lit(turn))).otherwise(F.xxhash64("row", F.lit(turn)))
         moves = cut(moves.withColumn("range", F.pmod(together, F.lit(MOVE_RANGES)).cast("int")))
@@ -128,10 +142,10 @@ def propagate(members: DataFrame, spare: list[int], rounds: int = 32, large: int
 def shard(df: DataFrame, shards: int = 16, rounds: int = 32) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row."""
     raw = F.col("text").cast("binary")
-    slim = cut(df.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).alias("text_crc32"), F.md5(raw).alias("group")))
-    groups = slim.where(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
+    slim = cut(told_apart(df.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).alias("text_crc32"), F.md5(raw).alias("group"))))
+    groups = cut(slim.where(F.col("group").isNotNull()).groupBy("group").agg(F.count("*").alias("n")).where("n > 1"))
     split = slim.join(groups, "group", "left").withColumn("linked", F.col("n").isNotNull())
-    rows = cut(numbered(split, ["linked"], [F.col("doc_id"), F.col("group")], "row"))
+    rows = cut(numbered(split, ["linked"], [F.col("doc_id"), F.col("group"), F.col("turn")], "row"))
     totals = {r["linked"]: r["k"] for r in rows.groupBy("linked").agg(F.count("*").alias("k")).collect()}
     most = capacities(sum(totals.values()), shards)
     linked = rows.where("linked").withColumn("shard", (F.col("row") % shards).cast("int"))

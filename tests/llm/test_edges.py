@@ -150,7 +150,7 @@ def test_merkle_branches():
 
 @pytest.mark.parametrize("copies", [3, 40])
 def test_sharding(spark, nothing, docs, copies):
-    rows = [(i, f"text {i}") for i in range(60)] + [(100 + i, "one copied text") for i in range(copies)] + [(200, None), (201, None), (202, ""), (203, ""), (None, "x")]
+    rows = [(i, f"text {i}") for i in range(60)] + [(100 + i, "one copied text") for i in range(copies)] + [(200, None), (201, None), (202, ""), (203, ""), (None, "x")] + [(300, "a repeated row")] * copies
     got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
     sizes = Counter(r["shard"] for r in got)
     assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(8))
