@@ -36,7 +36,7 @@ from flowlens.llm._spark import cut, drop
 from flowlens.llm._text import inside, mix, windows, words
 
 POSITIONS = 64
-BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 _FACTOR = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 62, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFT = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 62, POSITIONS, dtype=np.uint64)
 
