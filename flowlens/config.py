@@ -63,4 +63,6 @@ def configured(rules: dict | None = None) -> dict:
         name = "exfil" if section == "exfiltration" else section
         if isinstance(values, dict):
             out.setdefault(name, {}).update(values)
+        elif values is not None:
+            out[name] = values
     return out

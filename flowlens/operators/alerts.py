@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flowlens import config
 from flowlens.functions import net
-from flowlens.operators.detectors import DETECTORS
+from flowlens.operators import flows
+from flowlens.operators.detectors import DETECTORS, scopes
 
 PREFIXES = {
     "RULE-C2-BEACON-01": "ALT-BEACON", "RULE-CRED-CLEARTEXT-01": "ALT-CRED", "RULE-LATERAL-MOVE-01": "ALT-LATERAL", "RULE-EXFIL-DNS-01": "ALT-DNSEXFIL",
@@ -15,7 +16,7 @@ PREFIXES = {
     "RULE-HTTP-USERAGENT-01": "ALT-SCRIPTUA", "RULE-HTTP-METHOD-01": "ALT-HTTPMETHOD", "RULE-TLS-JA3-01": "ALT-JA3", "RULE-TCP-FLAGS-01": "ALT-FLAGANOM",
     "RULE-TCP-SCAN-01": "ALT-TCPSCAN", "RULE-FILE-MAGIC-01": "ALT-CARVE", "RULE-SMB-PIPE-01": "ALT-SMB-PIPE", "RULE-SMB-SHARE-01": "ALT-SMB-SHARE", "RULE-DNS-TUNNEL-01": "ALT-TUNNEL",
 }
-COLUMNS = ["alert_id", "rule_id", "title", "severity", "stage", "source_ip", "target_ip", "source_port", "target_port", "protocol", "ts_us", "flow_id", "packet_count", "proof", "detector", "key", "seq", "phase", "module"]
+COLUMNS = ["alert_id", "rule_id", "title", "description", "severity", "stage", "source_ip", "target_ip", "source_port", "target_port", "protocol", "ts_us", "flow_id", "packet_count", "proof", "detector", "capture_id", "key", "seq", "phase", "module", "scope", "scope_key"]
 
 
 #: Title of each rule, and the field of its proof that completes it.
@@ -32,9 +33,9 @@ def _of(rule: Column, values: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in values.items() for x in kv))[rule]
 
 
-def alert_id(rule: Column, key: Column) -> Column:
-    """The same for the same rule and key in every run."""
-    return F.concat(F.coalesce(_of(rule, PREFIXES), F.lit("ALT")), F.lit("-"), F.substring(F.md5(key.cast("binary")), 1, 12))
+def alert_id(rule: Column, capture: Column, key: Column) -> Column:
+    """The same for the same rule, capture and key in every run."""
+    return F.concat(F.coalesce(_of(rule, PREFIXES), F.lit("ALT")), F.lit("-"), F.substring(F.md5(F.concat(capture, F.lit("|"), key).cast("binary")), 1, 12))
 
 
 def title(rule: Column, proof: Column) -> Column:
@@ -42,6 +43,12 @@ def title(rule: Column, proof: Column) -> Column:
     return F.concat(F.coalesce(_of(rule, {r: t for r, (t, _) in TITLES.items()}), rule), F.coalesce(field, F.lit("")))
 
 
+def description(proof: Column) -> Column:
+    """What was measured, between which ends."""
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.concat(F.get_json_object(proof, "$.metric"), F.lit(": "), of("source_ip"), F.lit(":"), of("source_port"), F.lit(" to "), of("target_ip"), F.lit(":"), of("target_port"))
+
+
 def union(packets: DataFrame, cfg: dict, detectors: dict | None = None) -> DataFrame:
     """Alerts of all detectors in one form; proof is JSON."""
     parts = []
@@ -50,12 +57,13 @@ def union(packets: DataFrame, cfg: dict, detectors: dict | None = None) -> DataF
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("alert_id", alert_id(F.col("rule_id"), F.col("key"))).withColumn("title", title(F.col("rule_id"), F.col("proof"))).select(COLUMNS)
+    told = {"alert_id": alert_id(F.col("rule_id"), F.col("capture_id"), F.col("key")), "title": title(F.col("rule_id"), F.col("proof")), "description": description(F.col("proof"))}
+    return out.withColumns(told).select(COLUMNS)
 
 
 def ordered() -> Column:
-    """When an alert comes: by packets first, then at the ends of flows; of one packet in the order of detectors."""
-    return F.struct("phase", "seq", "module")
+    """When an alert comes: capture by capture, by packets first, then at the ends of flows; of one packet in the order of detectors."""
+    return F.struct("capture_id", "phase", "seq", "module")
 
 
 def dedup(alerts: DataFrame) -> DataFrame:
@@ -73,10 +81,10 @@ def severity_counts(alerts: DataFrame) -> DataFrame:
 
 
 def search(alerts: DataFrame, severity: str | None = None, text: str = "") -> DataFrame:
-    """Alerts of a severity whose id, title or addresses contain the text."""
+    """Alerts of a severity whose id, title, description or addresses contain the text."""
     out = alerts if severity is None else alerts.where(F.col("severity") == severity)
     low = text.lower()
-    return out.where(F.lower("alert_id").contains(low) | F.lower("title").contains(low) | F.col("source_ip").contains(text) | F.col("target_ip").contains(text)) if text else out
+    return out.where(F.lower("alert_id").contains(low) | F.lower("title").contains(low) | F.lower("description").contains(low) | F.col("source_ip").contains(text) | F.col("target_ip").contains(text)) if text else out
 
 
 def stage_place(stage: Column) -> Column:
@@ -91,7 +99,7 @@ def entities(alerts: DataFrame) -> DataFrame:
 
 def timelines(alerts: DataFrame) -> DataFrame:
     """Stages of each host by first appearance, their plausibility score and alignment. An alert counts by its time, then its place."""
-    rows = entities(alerts).withColumn("when", F.struct("ts_us", "phase", "seq", "module"))
+    rows = entities(alerts).withColumn("when", F.struct("ts_us", "capture_id", "phase", "seq", "module"))
     stages = rows.groupBy("entity_ip", "stage").agg(F.min("when").alias("when"), F.count("*").alias("n"))
     stages = stages.withColumn("ord", stage_place(F.col("stage")))
     out = stages.groupBy("entity_ip").agg(F.sum("n").alias("total_alerts"), F.array_sort(F.collect_list(F.struct("when", "stage", "ord"))).alias("s"))  # a stage each
@@ -102,18 +110,33 @@ def timelines(alerts: DataFrame) -> DataFrame:
     return out.select("entity_ip", "total_alerts", "stages_covered", F.round(score, 1).alias("plausibility_score"), F.when(F.col("rising"), "High").otherwise("Moderate").alias("chronological_alignment"))
 
 
-def bridge(alerts: DataFrame, packets: DataFrame) -> DataFrame:
-    """Packets that alerts raised by one packet refer to: alert_id, seq, file_offset and DNS fields."""
-    return alerts.where("packet_count = 1").join(packets.select("seq", "file_offset", "src_ip", "dns_qname", "dns_qtype"), "seq")
+def timeline_alerts(alerts: DataFrame) -> DataFrame:
+    """The alerts of each host in order of time: entity_ip, nth (from 1), alert_id, ts_us, stage and severity. Alerts of one host are
+    few as against packets; those of a host with very many are numbered in one task."""
+    by = Window.partitionBy("entity_ip").orderBy("ts_us", "capture_id", "phase", "seq", "module")
+    return entities(alerts).select("entity_ip", F.row_number().over(by).alias("nth"), "alert_id", "ts_us", "stage", "severity")
+
+
+def bridge(alerts: DataFrame, packets: DataFrame, cfg: dict | None = None) -> DataFrame:
+    """alert_id, capture_id, seq and other columns of each packet that an alert refers to: the packets of its scope up to it.
 
+    Each packet says which scopes it is in and by what key, and meets alerts there; a frequent key's packets are dealt by the join."""
+    named = [F.when(where, F.struct(F.lit(name).alias("scope"), key.alias("scope_key"))) for name, (where, key) in scopes(cfg or config.configured()).items()]
+    slim = flows.with_flow(packets).select("capture_id", F.col("seq").alias("at"), "file_offset", "caplen", "src_ip", "dns_qname", "dns_qtype", F.explode(F.filter(F.array(*named), lambda x: x.isNotNull())).alias("s"))
+    slim = slim.select("*", "s.*").drop("s")
+    return alerts.join(slim.withColumnRenamed("src_ip", "packet_src_ip"), ["capture_id", "scope", "scope_key"]).where(F.col("at") <= F.col("seq"))
 
-def dns_telemetry(alerts: DataFrame, packets: DataFrame) -> DataFrame:
-    """DNS names that alerts refer to: how often, type, entropy, client and what the last alert about them says."""
-    rows = bridge(alerts, packets).where(F.col("dns_qname") != "")
+
+def dns_telemetry(alerts: DataFrame, packets: DataFrame, cfg: dict | None = None) -> DataFrame:
+    """DNS names of packets that alerts refer to: how often (packets of each alert), type, entropy and client of the first, and what
+    the last alert says whose last DNS packet has the name. Alerts come in the order of dedup()."""
+    rows = bridge(alerts, packets, cfg).where(F.col("dns_qname") != "").withColumn("when", F.struct("place", F.col("at").alias("at")))
     kind = F.coalesce(*(F.when(F.col("dns_qtype") == n, F.lit(t)) for n, t in config.QTYPES), F.concat(F.lit("TYPE-"), F.coalesce(F.col("dns_qtype"), F.lit(1)).cast("string")))
+    seen = rows.groupBy("dns_qname").agg(F.count("*").alias("count"), F.min_by(kind, "when").alias("qtype"), F.min_by("packet_src_ip", "when").alias("client_ip"))
     said = F.when(F.col("rule_id").contains("TUNNEL"), "COVERT DNS TUNNELING").when(F.col("rule_id").contains("DGA"), "HIGH ENTROPY / DGA")
-    told = F.when(said.isNotNull(), ordered())
-    out = rows.groupBy("dns_qname").agg(F.count("*").alias("count"), F.min_by(kind, ordered()).alias("qtype"), F.min_by("src_ip", ordered()).alias("client_ip"), F.coalesce(F.max_by(said, told), F.lit("BENIGN")).alias("threat_status"))
+    last = rows.groupBy("alert_id", "rule_id", "place").agg(F.max_by("dns_qname", "at").alias("dns_qname")).withColumn("said", said).where("said is not null")
+    told = last.groupBy("dns_qname").agg(F.max_by("said", "place").alias("said"))
+    out = seen.join(told, "dns_qname", "left").withColumn("threat_status", F.coalesce("said", F.lit("BENIGN"))).drop("said")
     return out.withColumn("entropy", F.round(net.entropy(F.substring_index("dns_qname", ".", 1)), 2)).withColumnRenamed("dns_qname", "domain")
 
 
@@ -167,16 +190,26 @@ def stix_objects(alerts: DataFrame) -> DataFrame:
     return alerts.select("alert_id", F.explode(F.array(*rows)).alias("o")).select("alert_id", "o.*")
 
 
-def json_lines(alerts: DataFrame) -> DataFrame:
-    return alerts.select("alert_id", F.to_json(F.struct("rule_id", "severity", "stage", "source_ip", "target_ip", "flow_id", "packet_count")).alias("json"))
+#: Fields of an alert as a document.
+FIELDS = ["alert_id", "rule_id", "title", "description", "severity", "stage", "source_ip", "target_ip", "source_port", "target_port", "protocol", "ts_us", "flow_id", "packet_count"]
+
+
+def json_lines(alerts: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """alert_id and the alert as JSON: all its fields, the time as ISO 8601, the proof as text; with refs (bridge()) the offsets of its
+    packets too."""
+    when = F.date_format(F.timestamp_micros("ts_us"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp")
+    if refs is not None:
+        offsets = refs.groupBy("alert_id").agg(F.array_sort(F.collect_list("file_offset")).alias("packet_offsets"))
+        alerts = alerts.join(offsets, "alert_id", "left")
+    more = ["packet_offsets"] if refs is not None else []
+    return alerts.select("alert_id", F.to_json(F.struct(*FIELDS, when, *more, F.col("proof").alias("arithmetic_proof"))).alias("json"))
 
 
-def evidence(alerts: DataFrame, packets: DataFrame) -> DataFrame:
-    """Packets of each alert in the order of the capture: those of its flow up to it, for alerts at a flow's end all of them."""
-    p = packets.select(F.col("seq").alias("at"), "flow_id", "file_offset", "caplen")
-    rows = alerts.select("alert_id", "flow_id", "seq").join(p, "flow_id").where(F.col("at") <= F.col("seq"))
-    return rows.select("alert_id", F.col("at").alias("seq"), "file_offset", "caplen")
+def evidence(alerts: DataFrame, packets: DataFrame, cfg: dict | None = None) -> DataFrame:
+    """alert_id, capture_id, seq, file_offset and caplen of the packets that each alert refers to; a capture's order is that of offsets."""
+    return bridge(alerts, packets, cfg).select("alert_id", "capture_id", F.col("at").alias("seq"), "file_offset", "caplen")
 
 
 def empty(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "alert_id string, rule_id string, title string, severity string, stage string, source_ip string, target_ip string, source_port int, target_port int, protocol string, ts_us long, flow_id string, packet_count long, proof string, detector string, key string, seq long, phase int, module int")
+    form = "alert_id string, rule_id string, title string, description string, severity string, stage string, source_ip string, target_ip string, source_port int, target_port int, protocol string, ts_us long, flow_id string, packet_count long, proof string, detector string, capture_id string, key string, seq long, phase int, module int, scope string, scope_key string"
+    return spark.createDataFrame([], form)

@@ -1,34 +1,52 @@
-"""The relational patterns that detectors share. All reduce where the rows are before they shuffle."""
+"""The relational patterns that detectors share. All reduce where the rows are before they shuffle, and take each capture by itself:
+an order (seq) holds within a capture, so capture_id is part of every key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+CAPTURE = "capture_id"
+BLOCK = 1 << 16
+
 
 def first_match(df: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """The first row of each key: an aggregate, so that a frequent key sends one row from each task."""
-    rest = [c for c in df.columns if c not in keys]
-    found = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
-    return found.select(*keys, "_row.*").select(*df.columns)
+    """The first row of each key in a capture, without its payload: an aggregate, so that a frequent key sends one row from each task."""
+    keys = [CAPTURE, *keys]
+    kept = [c for c in df.columns if c != "payload"]
+    found = df.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in kept if c not in keys)), order).alias("_row"))
+    return found.select(*keys, "_row.*").select(*kept)
 
 
 def first_crossing(df: DataFrame, key: str, targets: list[str], threshold: int, order: str = "seq") -> DataFrame:
-    """For each key the row at which its number of distinct targets first reaches the threshold: key, crossing and order.
+    """For each key the row at which its number of distinct targets first reaches the threshold: capture_id, key and crossing.
 
     Targets are reduced to their first rows; of these the threshold-th of a key is the crossing."""
-    firsts = df.groupBy(key, *targets).agg(F.min(order).alias("crossing"))
-    by = Window.partitionBy(key).orderBy("crossing")
-    return firsts.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= threshold).where(F.col("_n") == threshold).select(key, "crossing")
+    firsts = df.groupBy(CAPTURE, key, *targets).agg(F.min(order).alias("crossing"))
+    by = Window.partitionBy(CAPTURE, key).orderBy("crossing")
+    return firsts.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= threshold).where(F.col("_n") == threshold).select(CAPTURE, key, "crossing")
 
 
 def so_far(df: DataFrame, crossings: DataFrame, key: str, aggregates: list, order: str = "seq") -> DataFrame:
     """Aggregates of each key's rows up to its crossing."""
-    return df.join(crossings, key).where(F.col(order) <= F.col("crossing")).groupBy(key).agg(*aggregates)
+    return df.join(crossings, [CAPTURE, key]).where(F.col(order) <= F.col("crossing")).groupBy(CAPTURE, key).agg(*aggregates)
 
 
 def at_crossing(df: DataFrame, crossings: DataFrame, key: str, order: str = "seq") -> DataFrame:
-    return df.join(crossings.withColumnRenamed("crossing", order), [key, order])
+    return df.join(crossings.withColumnRenamed("crossing", order), [CAPTURE, key, order])
+
+
+def running(df: DataFrame, keys: list[str], sums: dict[str, Column], order: str = "seq", block: int = BLOCK) -> DataFrame:
+    """df with running sums by key. Blocks of `block` numbers of the order are summed up first and carried forward, so that a frequent
+    key is spread over its blocks."""
+    keys = [CAPTURE, *keys]
+    rows = df.withColumns({f"_{n}": c.cast("long") for n, c in sums.items()}).withColumn("_block", F.floor(F.col(order) / block))
+    totals = rows.groupBy(*keys, "_block").agg(*(F.sum(f"_{n}").alias(f"_all_{n}") for n in sums))
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, "_block", *(F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums))
+    to = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = rows.withColumns({n: F.sum(f"_{n}").over(to) for n in sums}).join(before, [*keys, "_block"])
+    return within.select(*df.columns, *((F.col(n) + F.col(f"_before_{n}")).alias(n) for n in sums))
 
 
 def smallest(column: str, n: int = 5):

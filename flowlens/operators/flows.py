@@ -26,10 +26,10 @@ def with_flow(packets: DataFrame) -> DataFrame:
 
 
 def aggregate(packets: DataFrame) -> DataFrame:
-    """A row for each flow: counts, bytes, and times in order of arrival."""
+    """A row for each flow of a capture: counts, bytes, and times in order of arrival."""
     first, last = F.min_by("ts_us", "seq"), F.max_by("ts_us", "seq")
     ends = [F.first(c).alias(c) for c in ("endpoint_a_ip", "endpoint_a_port", "endpoint_b_ip", "endpoint_b_port", "protocol")]
-    out = with_flow(packets).groupBy("flow_id").agg(
+    out = with_flow(packets).groupBy("capture_id", "flow_id").agg(
         *ends, F.count("*").alias("packet_count"), F.sum("wirelen").alias("byte_count"), first.alias("start_ts_us"), last.alias("last_ts_us"), F.max("seq").alias("last_seq")
     )
     return out.withColumn("duration_sec", F.when(F.col("packet_count") > 1, (F.col("last_ts_us") - F.col("start_ts_us")) / F.lit(1e6)).otherwise(0.0))
@@ -44,7 +44,7 @@ def tcp_states(packets: DataFrame) -> DataFrame:
     told = F.when(rst, "RESET").when(fin, "FIN_WAIT").when(syn & ack, "SYN_RCVD").when(syn, "SYN_SENT")
     rows = with_flow(packets).where("protocol = 6").withColumn("told", told).withColumn("plain_ack", ~syn & ack)
     count = lambda test, name: F.count_if(test).alias(name)
-    out = rows.groupBy("flow_id").agg(
+    out = rows.groupBy("capture_id", "flow_id").agg(
         count(syn, "syn_count"), count(syn & ack, "syn_ack_count"), count(F.col("plain_ack"), "ack_count"), count(fin, "fin_count"), count(rst, "rst_count"),
         F.max_by("told", F.when(F.col("told").isNotNull(), F.col("seq"))).alias("told"), F.max(F.when(F.col("told").isNotNull(), F.col("seq"))).alias("told_at"),
         F.max(F.when(F.col("plain_ack"), F.col("seq"))).alias("acked_at"),

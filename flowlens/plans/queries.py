@@ -10,6 +10,8 @@ from flowlens.functions import net
 from flowlens.operators import alerts as A
 from flowlens.operators import combinators, detectors, flows
 from flowlens.plans.projection import KNOWN_JA3, packets, with_packets
+from flowlens.plans.triage import triage
+from flowlens.tables import cut
 
 CFG = config.configured({"exfil": {"min_exfil_bytes": 50_000}}) | {"ja3_intel": [*config.JA3_INTEL, (KNOWN_JA3, "Test implant")]}
 CAPACITY = 20
@@ -62,7 +64,7 @@ def iat_stats(spark, d):
 
 def beacon_prefix(spark, d):
     rows = detectors.beacon_prefix(packets(spark, d), CFG)
-    return rows.select("flow_id", "seq", "packet_count", F.col("proof.cov_calculated").alias("cov"))
+    return rows.select("flow_id", "seq", "packet_count", F.col("proof.sample_count_N").alias("samples"), F.col("proof.cov_calculated").alias("cov"), F.col("proof.mad_ratio_calculated").alias("mad_ratio"))
 
 
 def cidr_internal(spark, d):
@@ -119,9 +121,10 @@ def ja4(spark, d):
 
 def running_distinct(spark, d):
     """Different targets that each source has reached by each of its packets."""
-    rows = _p(spark, d).select("src_ip", "dst_ip", "seq")
-    new = rows.withColumn("new", (F.row_number().over(Window.partitionBy("src_ip", "dst_ip").orderBy("seq")) == 1).cast("long"))
-    return new.select("seq", F.sum("new").over(Window.partitionBy("src_ip").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("targets"))
+    rows = _p(spark, d).select("capture_id", "src_ip", "dst_ip", "seq")
+    firsts = rows.groupBy("capture_id", "src_ip", "dst_ip").agg(F.min("seq").alias("seq")).withColumn("new", F.lit(1))
+    new = rows.join(firsts, ["capture_id", "src_ip", "dst_ip", "seq"], "left")
+    return combinators.running(new, ["src_ip"], {"targets": F.coalesce("new", F.lit(0))}).select("seq", "targets")
 
 
 def topk_targets(spark, d):
@@ -129,71 +132,80 @@ def topk_targets(spark, d):
 
 
 def _alerts(spark, d):
-    return A.union(packets(spark, d), CFG)
-
-
-def _flow_alerts(spark, d):
-    """Alerts that SQL below makes again: flags, sweep, scan, DNS and web."""
-    some = {k: detectors.DETECTORS[k] for k in ("exfil_dns", "dga", "sweep", "http_audit", "flag_anomalies", "syn_scan")}
-    return A.union(packets(spark, d), CFG, some)
+    """Alerts of all detectors, each once."""
+    return A.dedup(A.union(packets(spark, d), CFG))
 
 
 def alert_union(spark, d):
-    return _flow_alerts(spark, d).groupBy("rule_id", "detector", "severity", "stage").agg(F.count("*").alias("alerts"), F.sum("packet_count").alias("packets"))
+    rows = A.union(packets(spark, d), CFG)
+    return rows.groupBy("rule_id", "detector", "severity", "stage").agg(F.count("*").alias("alerts"), F.sum("packet_count").alias("packets"))
 
 
 def alert_dedup(spark, d):
-    rows = A.dedup(_flow_alerts(spark, d))
-    return rows.select("alert_id", "rule_id", "source_ip", F.col("seq").cast("long").alias("seq"), F.col("place.seq").cast("long").alias("first_seq"))
+    return _alerts(spark, d).select("alert_id", "rule_id", "source_ip", "packet_count", F.col("seq").cast("long").alias("seq"), F.col("place.seq").cast("long").alias("first_seq"))
 
 
 def severity_counts(spark, d):
-    return A.severity_counts(A.dedup(_flow_alerts(spark, d)))
+    return A.severity_counts(_alerts(spark, d))
 
 
 def alert_search(spark, d):
-    return A.search(A.dedup(_flow_alerts(spark, d)), "HIGH", "10.0.1.").select("alert_id", "rule_id", "source_ip", "target_ip")
+    return A.search(_alerts(spark, d), "HIGH", "10.0.1.").select("alert_id", "rule_id", "source_ip", "target_ip")
 
 
 def entity_expand(spark, d):
-    return A.entities(A.dedup(_flow_alerts(spark, d))).groupBy("entity_ip").agg(F.count("*").alias("alerts"))
+    return A.entities(_alerts(spark, d)).groupBy("entity_ip").agg(F.count("*").alias("alerts"))
 
 
 def entity_timeline(spark, d):
-    rows = A.timelines(A.dedup(_flow_alerts(spark, d)))
+    rows = A.timelines(_alerts(spark, d))
     return rows.select("entity_ip", "total_alerts", F.array_join("stages_covered", ">").alias("stages"), "plausibility_score", "chronological_alignment")
 
 
+def entity_timeline_alerts(spark, d):
+    return A.timeline_alerts(_alerts(spark, d)).select("entity_ip", F.col("nth").cast("long").alias("nth"), "alert_id", "ts_us", "stage", "severity")
+
+
 def dns_telemetry(spark, d):
     p = packets(spark, d)
-    return A.dns_telemetry(A.dedup(A.union(p, CFG, {k: detectors.DETECTORS[k] for k in ("exfil_dns", "dga")})), p).select("domain", "count", "qtype", "client_ip", "threat_status")
+    return A.dns_telemetry(cut(_alerts(spark, d)), p, CFG).select("domain", "count", "qtype", "client_ip", "threat_status")
 
 
 def suspicious_payloads(spark, d):
-    some = {k: detectors.DETECTORS[k] for k in ("http_audit",)}
-    return A.suspicious_payloads(A.dedup(A.union(packets(spark, d), CFG, some))).select("source_ip", "target_ip", "target_port", "url_or_path", "method", "user_agent")
+    return A.suspicious_payloads(_alerts(spark, d)).select("alert_id", "source_ip", "target_ip", "target_port", "url_or_path", "method", "user_agent", "threat_category")
 
 
 def summary_stats(spark, d):
-    return A.summary(_p(spark, d), A.dedup(_flow_alerts(spark, d)))
+    return A.summary(_p(spark, d), _alerts(spark, d))
+
+
+def alert_packets(spark, d):
+    """How many packets each alert refers to, and the sum of their numbers."""
+    rows = A.bridge(cut(_alerts(spark, d)), packets(spark, d), CFG)
+    return rows.groupBy("alert_id").agg(F.count("*").alias("packets"), F.sum("at").alias("seqs"))
 
 
 def evidence_offsets(spark, d):
-    p = _p(spark, d)
-    return A.evidence(A.dedup(A.union(packets(spark, d), CFG, {"http_audit": detectors.http_audit})), p).select("alert_id", "file_offset", "caplen")
+    return A.evidence(cut(_alerts(spark, d)), packets(spark, d), CFG).select("alert_id", "file_offset", "caplen")
 
 
 def stix_objects(spark, d):
-    return A.stix_objects(A.dedup(_alerts(spark, d))).select("type", "id", "json")
+    return A.stix_objects(_alerts(spark, d)).select("type", "id", "json")
 
 
 def json_report(spark, d):
-    return A.json_lines(A.dedup(_alerts(spark, d)))
+    """Fields read back from each alert's JSON."""
+    alerts = cut(_alerts(spark, d))
+    rows = A.json_lines(alerts, A.evidence(alerts, packets(spark, d), CFG))
+    form = "rule_id string, title string, severity string, stage string, source_ip string, target_ip string, source_port int, target_port int, protocol string, flow_id string, packet_count long, timestamp string, packet_offsets array<long>, arithmetic_proof string"
+    read = rows.select("alert_id", F.from_json("json", form).alias("j")).select("alert_id", "j.*")
+    return read.withColumns({"offsets": F.size("packet_offsets").cast("long"), "metric": F.get_json_object("arithmetic_proof", "$.metric")}).drop("packet_offsets", "arithmetic_proof")
 
 
 def full_triage(spark, d):
-    """Alerts of all detectors after dedup, by rule."""
-    return A.dedup(_alerts(spark, d)).groupBy("rule_id", "severity").agg(F.count("*").alias("alerts"))
+    """The whole run, by rule."""
+    run = triage(packets(spark, d), {"exfil": CFG["exfil"], "ja3_intel": CFG["ja3_intel"]})
+    return run.alerts.join(run.evidence.groupBy("alert_id").agg(F.count("*").alias("refs")), "alert_id").groupBy("rule_id", "severity").agg(F.count("*").alias("alerts"), F.sum("refs").alias("refs"))
 
 
 QUERIES = {
@@ -201,7 +213,7 @@ QUERIES = {
     for f in (
         packets_projection, flow_key, flow_agg, flow_tcp_state, flow_count, flow_instances, iat_stats, beacon_prefix, cidr_internal, dns_noise_filter, subdomain_split, consonant_run,
         shannon_entropy, page_names, tcp_flag_names, http_parse, ja3_string, ja4, running_distinct, topk_targets, alert_union, alert_dedup, severity_counts, alert_search, entity_expand,
-        entity_timeline, dns_telemetry, suspicious_payloads, summary_stats, evidence_offsets, stix_objects, json_report, full_triage,
+        entity_timeline, entity_timeline_alerts, dns_telemetry, suspicious_payloads, summary_stats, alert_packets, evidence_offsets, stix_objects, json_report, full_triage,
     )
 } | {
     "subnet_sweep": _raised("sweep", "unique_target_ips_count", "sample_target_ips", "sample_target_ports"),
@@ -312,31 +324,96 @@ sr AS (SELECT ea_ip, eb_ip, n, seq, keys[1] AS name, [keys[1]] AS seen FROM so W
 PIPES = [n for n, *_ in config.PIPES]
 
 
+#: Every prefix of a flow with its gaps, and the first that is regular.
+BEACON = """bl AS (SELECT *, row_number() OVER w AS nth, first_value(ts_us) OVER w AS t0,
+  list_sort(CASE WHEN count(*) FILTER (WHERE payload_len > 0) OVER w >= 12 THEN list(ts_us) FILTER (WHERE payload_len > 0) OVER w ELSE list(ts_us) OVER w END) AS used FROM p WINDOW w AS (PARTITION BY flow_id ORDER BY seq)),
+bg AS (SELECT *, list_transform(range(2, len(used) + 1), lambda i: (used[i] - used[i - 1]) / 1000000.0::DOUBLE) AS gaps FROM bl WHERE nth >= 12 AND (ts_us - t0) / 1000000.0::DOUBLE >= 10),
+bm AS (SELECT *, list_avg(gaps) AS mean, list_stddev_pop(gaps) AS stddev, list_median(gaps) AS median FROM bg),
+bd AS (SELECT *, list_median(list_transform(gaps, lambda g: abs(g - median))) AS mad FROM bm),
+bx AS (SELECT * FROM bd WHERE mean > 0.001 AND median > 0.001 AND stddev / mean <= 0.20 AND mad / median <= 0.25 QUALIFY row_number() OVER (PARTITION BY flow_id ORDER BY seq) = 1)"""
+CREDENTIALS = "cr AS (SELECT * FROM p WHERE (src_port = 80 OR dst_port = 80) AND contains(payload, 'Authorization: Basic dXNlcjpwYXNzMTIz') QUALIFY row_number() OVER (PARTITION BY flow_id ORDER BY seq) = 1)"
+TUNNEL = """tr AS (SELECT *, count(*) OVER w AS n, CAST(sum(length(sub)) OVER w AS DOUBLE) AS chars, CAST(sum(CASE WHEN dns_qtype IN (5, 10, 15, 16) OR length(sub) > 30 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS odd, first_value(src_ip) OVER w AS first_src, first_value(dst_ip) OVER w AS first_dst
+  FROM nm WHERE sub <> '' WINDOW w AS (PARTITION BY parent ORDER BY seq)),
+tu AS (SELECT * FROM tr WHERE n >= 8 AND chars / n >= 20 QUALIFY row_number() OVER (PARTITION BY parent ORDER BY seq) = 1)"""
+MODULES = ["beacon", "credentials", "lateral", "exfil", "exfil", "entropy", "sweep", "http_audit", "ja3_fingerprint", "tcpstate", "tcpstate", "file_carver", "smb_audit", "dns_tunnel"]
+TITLED = {r: t for r, (t, _) in A.TITLES.items()}
+
+
+def _case(c: str, values: dict) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + " END"
+
+
 def _alert_rows() -> str:
-    """Alerts of six detectors in one form; module: place of the detector."""
-    one = lambda rule, key, sev, stage, module, src, proto="''": f"SELECT {rule} AS rule_id, {key} AS key, {sev} AS severity, {stage} AS stage, src_ip AS source_ip, dst_ip AS target_ip, dst_port AS target_port, ts_us, seq, {module} AS module, packet_count, flow_id, {proto} AS agent, {'method' if 'ha' in src else 'NULL'} AS method FROM {src}"
+    """Alerts of all detectors in one form; module: place of the detector."""
+
+    def one(module: int, rule: str, key: str, severity: str, stage: str, source: str, protocol: str, detail: str = "''", agent: str = "NULL", method: str = "NULL", phase: int = 0, scope: str = "packet", scope_key: str = "seq", count: str = "1", ends: tuple = ("src_ip", "dst_ip", "src_port", "dst_port")) -> str:
+        return f"""SELECT {rule} AS rule_id, {key} AS key, {severity} AS severity, {stage} AS stage, {ends[0]} AS source_ip, {ends[1]} AS target_ip, {ends[2]} AS source_port, {ends[3]} AS target_port, {protocol} AS protocol, ts_us, seq, {module} AS module,
+  CAST({count} AS BIGINT) AS packet_count, flow_id, CAST({detail} AS VARCHAR) AS detail, CAST({agent} AS VARCHAR) AS agent, CAST({method} AS VARCHAR) AS method, {phase} AS phase, '{scope}' AS scope, CAST({scope_key} AS VARCHAR) AS scope_key FROM {source}"""
+
     web = "CASE rule_id WHEN 'RULE-HTTP-WEBSHELL-01' THEN 'HIGH' ELSE 'MEDIUM' END"
     web_stage = "CASE rule_id WHEN 'RULE-HTTP-WEBSHELL-01' THEN 'Initial Access' WHEN 'RULE-HTTP-USERAGENT-01' THEN 'Reconnaissance' ELSE 'Defense Evasion' END"
     cross = lambda t: f"(SELECT l.*, g.packet_count FROM {t} l JOIN (SELECT src_ip AS of, count(*) AS packet_count FROM {t} GROUP BY src_ip) g ON l.src_ip = g.of WHERE l.seq = l.at)"
+    by_source = {"scope_key": "src_ip", "count": "packet_count"}
+    smb = [*config.PIPES, *config.SHARES]
+    sides, whole = ("ea_ip", "eb_ip", "ea_port", "eb_port"), {"phase": 1, "scope": "flow", "scope_key": "flow_id", "count": "packet_count"}
     parts = [
-        one("'RULE-EXFIL-DNS-01'", "dns_qname", "'HIGH'", "'Exfiltration'", 0, "(SELECT *, 1 AS packet_count FROM xd)"),
-        one("'RULE-DNS-DGA-01'", "qname", "'HIGH'", "'Command & Control'", 1, "(SELECT *, 1 AS packet_count FROM dg)"),
-        one("'RULE-RECON-SWEEP-01'", "src_ip", "'HIGH'", "'Reconnaissance'", 2, cross("sweep")),
-        one("rule_id", "flow_id", web, web_stage, 3, "(SELECT *, 1 AS packet_count FROM ha)", "coalesce(agent, '<none>')"),
-        one("'RULE-TCP-FLAGS-01'", "'events:' || file_offset", "'MEDIUM'", "'Reconnaissance'", 4, f"(SELECT *, 1 AS packet_count FROM p WHERE protocol = 6 AND {FLAG_KIND} IS NOT NULL)"),
-        one("'RULE-TCP-SCAN-01'", "src_ip", "'HIGH'", "'Reconnaissance'", 5, cross("scan")),
-    ]
-    prefix = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{x}'" for r, x in A.PREFIXES.items()) + " END"
-    return f"al AS ({' UNION ALL '.join(parts)}), ai AS (SELECT *, {prefix} || '-' || substr(md5(key), 1, 12) AS alert_id FROM al), ad AS (SELECT *, min(seq) OVER (PARTITION BY alert_id) AS first_seq FROM ai QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY seq DESC, module DESC) = 1)"
-
-
-ALERTS = (EXFIL_DNS, NAMES, DGA, SWEEP, HTTP, SCAN, _alert_rows())
-DETECTOR_OF = "CASE module WHEN 0 THEN 'exfil' WHEN 1 THEN 'entropy' WHEN 2 THEN 'sweep' WHEN 3 THEN 'http_audit' ELSE 'tcpstate' END"
+        one(0, "'RULE-C2-BEACON-01'", "flow_id", "'HIGH'", "'Command & Control'", "bx", "CAST(protocol AS VARCHAR)", scope="flow", scope_key="flow_id", count="nth", ends=sides),
+        one(0, "'RULE-C2-BEACON-01'", "flow_id", "'HIGH'", "'Command & Control'", "(SELECT * FROM fl JOIN gs USING (flow_id) WHERE mean > 0.001 AND median > 0.001 AND stddev / mean <= 0.20 AND mad / median <= 0.25 AND flow_id NOT IN (SELECT flow_id FROM bx))", "split_part(flow_id, ':', 1)", **whole),
+        one(1, "'RULE-CRED-CLEARTEXT-01'", "flow_id", "'HIGH'", "'Credential Access'", "cr", "'HTTP'"),
+        one(2, "'RULE-LATERAL-MOVE-01'", "src_ip", "'HIGH'", "'Lateral Movement'", cross("lat"), "'TCP/Pivoting'", scope="lateral", **by_source),
+        one(3, "'RULE-EXFIL-DNS-01'", "dns_qname", "'HIGH'", "'Exfiltration'", "xd", "'UDP/DNS'"),
+        one(4, "'RULE-EXFIL-VOL-01'", "flow_id", "'HIGH'", "'Exfiltration'", "(SELECT * FROM fl WHERE byte_count >= 50000 AND flow_id NOT IN (SELECT flow_id FROM xd))", "split_part(flow_id, ':', 1)", **whole),
+        one(5, "'RULE-DNS-DGA-01'", "qname", "'HIGH'", "'Command & Control'", "dg", "'UDP/DNS'"),
+        one(6, "'RULE-RECON-SWEEP-01'", "src_ip", "'HIGH'", "'Reconnaissance'", cross("sweep"), "'IP/Sweep'", scope="sweep", **by_source),
+        one(7, "rule_id", "flow_id", web, web_stage, "ha", "'HTTP'", "CASE rule_id WHEN 'RULE-HTTP-USERAGENT-01' THEN agent WHEN 'RULE-HTTP-METHOD-01' THEN method ELSE '' END", "coalesce(agent, '<none>')", "method"),
+        one(8, "'RULE-TLS-JA3-01'", "ja3_hash", "'CRITICAL'", "'Command & Control'", f"(SELECT * FROM tj WHERE ja3_hash = '{KNOWN_JA3}')", "'TCP/TLS'", "'Test implant'"),
+        one(9, "'RULE-TCP-FLAGS-01'", "'events:' || file_offset", "'MEDIUM'", "'Reconnaissance'", f"(SELECT * FROM p WHERE protocol = 6 AND {FLAG_KIND} IS NOT NULL)", "'TCP'", FLAG_KIND),
+        one(10, "'RULE-TCP-SCAN-01'", "src_ip", "'HIGH'", "'Reconnaissance'", cross("scan"), "'TCP'", scope="scan", **by_source),
+        one(11, "'RULE-FILE-MAGIC-01'", "flow_id || '+' || magic", "severity", _case("file", {f: g for _, f, _, g in config.MAGIC}), "(SELECT * FROM mg WHERE magic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY flow_id ORDER BY seq) = 1)", "CAST(protocol AS VARCHAR)", "file", "magic"),
+        one(12, f"CASE WHEN name IN {_in(PIPES)} THEN 'RULE-SMB-PIPE-01' ELSE 'RULE-SMB-SHARE-01' END", "ea_ip || '->' || eb_ip || ':' || name", _case("name", {n: v for n, v, _ in smb}), _case("name", {n: g for n, _, g in smb}), "(SELECT so.*, sr.name FROM sr JOIN so ON sr.seq = so.seq WHERE sr.name IS NOT NULL)", "'TCP/SMB'", "name"),
+        one(13, "'RULE-DNS-TUNNEL-01'", "parent", "'HIGH'", "'Command & Control'", "tu", "'UDP/DNS'", scope="tunnel", scope_key="parent", count="n", ends=("first_src", "first_dst", "src_port", "dst_port")),
+    ]
+    order = "phase, seq, module"
+    return f"""al AS ({' UNION ALL '.join(parts)}), ai AS (SELECT *, {_case('rule_id', A.PREFIXES)} || '-' || substr(md5('events|' || key), 1, 12) AS alert_id, {_case('rule_id', TITLED)} || detail AS title FROM al),
+ad AS (SELECT *, min({{'phase': phase, 'seq': seq, 'module': module}}) OVER (PARTITION BY alert_id) AS place FROM ai QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY phase DESC, seq DESC, module DESC) = 1)"""
+
+
+ALERTS = (EXFIL_DNS, FLOWS, NAMES, DGA, SWEEP, HTTP, SCAN, LATERAL, HELLO, MAGIC, GAPS, BEACON, CREDENTIALS, TUNNEL, SMB, _alert_rows())
+#: Packets that alerts refer to.
+BRIDGE = """sc AS (SELECT 'packet' AS scope, CAST(seq AS VARCHAR) AS scope_key, seq AS num FROM p UNION ALL SELECT 'flow', flow_id, seq FROM p UNION ALL SELECT 'sweep', src_ip, seq FROM sweep_r UNION ALL SELECT 'scan', src_ip, seq FROM scan_r
+  UNION ALL SELECT 'lateral', src_ip, seq FROM lat_r UNION ALL SELECT 'tunnel', parent, seq FROM tr),
+br AS (SELECT ad.alert_id, ad.rule_id, ad.place, sc.num, p.file_offset, p.caplen, p.src_ip, p.dns_qname, p.dns_qtype FROM ad JOIN sc USING (scope, scope_key) JOIN p ON p.seq = sc.num WHERE sc.num <= ad.seq)"""
+
+
+def with_alerts(sql: str, *more: str) -> str:
+    return "WITH RECURSIVE " + with_packets(sql, *ALERTS, *more)[5:]
+
+
+DETECTOR_OF = "CASE module " + " ".join(f"WHEN {i} THEN '{m}'" for i, m in enumerate(MODULES)) + " END"
 ENTITIES = "en AS (SELECT source_ip AS entity_ip, * FROM ad WHERE source_ip <> '' UNION ALL SELECT target_ip, * FROM ad WHERE target_ip <> '' AND target_ip <> source_ip)"
-TIMELINE = f"""es AS (SELECT entity_ip, stage, min(ts_us * 1000000 + seq * 10 + module) AS t0, count(*) AS n, list_position({[*config.STAGES]}, stage) AS ord FROM (SELECT entity_ip, stage, CAST(ts_us AS HUGEINT) AS ts_us, seq, module FROM en) GROUP BY entity_ip, stage),
+TIMELINE = f"""es AS (SELECT entity_ip, stage, min({{'ts': ts_us, 'phase': phase, 'seq': seq, 'module': module}}) AS t0, count(*) AS n, list_position({[*config.STAGES]}, stage) AS ord FROM en GROUP BY entity_ip, stage),
 el AS (SELECT *, lag(ord) OVER (PARTITION BY entity_ip ORDER BY t0) AS earlier FROM es),
 et_ AS (SELECT entity_ip, CAST(sum(n) AS BIGINT) AS total_alerts, string_agg(stage, '>' ORDER BY t0) AS stages, count(*) AS k, bool_and(earlier IS NULL OR earlier <= ord) AS rising FROM el GROUP BY entity_ip)"""
 
+
+def _address(c: str) -> str:
+    return f"CASE WHEN contains({c}, ':') THEN 'ipv6-addr' ELSE 'ipv4-addr' END"
+
+
+SEEN = "strftime(make_timestamp(ts_us), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(ts_us // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z'"
+STIX = f"""si AS (SELECT *, {SEEN} AS seen, {', '.join(f"'{k}--' || substr(h_{n}, 1, 8) || '-' || substr(h_{n}, 9, 4) || '-5' || substr(h_{n}, 14, 3) || '-a' || substr(h_{n}, 18, 3) || '-' || substr(h_{n}, 21, 12) AS id_{n}" for n, k in enumerate(("indicator", "observed-data", "relationship")))}
+  FROM (SELECT *, {', '.join(f"sha1('{k}|' || alert_id) AS h_{n}" for n, k in enumerate(("indicator", "observed-data", "relationship")))} FROM ad))"""
+STIX_ROWS = f"""SELECT 'indicator' AS type, id_0 AS id, CAST(json_object('type', 'indicator', 'spec_version', '2.1', 'id', id_0, 'name', title, 'pattern', '[' || {_address('source_ip')} || ':value = ' || chr(39) || source_ip || chr(39) || ']', 'pattern_type', 'stix', 'valid_from', seen) AS VARCHAR) AS json FROM si
+UNION ALL SELECT 'observed-data', id_1, CAST(json_object('type', 'observed-data', 'spec_version', '2.1', 'id', id_1, 'first_observed', seen, 'last_observed', seen, 'number_observed', greatest(packet_count, 1), 'objects', json_object('0', json_object('type', {_address('source_ip')}, 'value', source_ip), '1', json_object('type', {_address('target_ip')}, 'value', target_ip),
+  '2', json_object('type', 'network-traffic', 'src_ref', '0', 'dst_ref', '1', 'src_port', source_port, 'dst_port', target_port, 'protocols', [lower(protocol)]))) AS VARCHAR) FROM si
+UNION ALL SELECT 'relationship', id_2, CAST(json_object('type', 'relationship', 'spec_version', '2.1', 'id', id_2, 'relationship_type', 'indicates', 'source_ref', id_0, 'target_ref', id_1) AS VARCHAR) FROM si"""
+METRICS = {
+    "RULE-C2-BEACON-01": "Regularity of gaps", "RULE-CRED-CLEARTEXT-01": "Clear text credential", "RULE-LATERAL-MOVE-01": "Distinct internal targets", "RULE-EXFIL-DNS-01": "Length or type of a DNS query",
+    "RULE-EXFIL-VOL-01": "Bytes of a flow", "RULE-DNS-DGA-01": "Entropy and consonants of a DNS name", "RULE-RECON-SWEEP-01": "Distinct target addresses", "RULE-HTTP-WEBSHELL-01": "HTTP request", "RULE-HTTP-USERAGENT-01": "HTTP request",
+    "RULE-HTTP-METHOD-01": "HTTP request", "RULE-TLS-JA3-01": "TLS fingerprint", "RULE-TCP-FLAGS-01": "TCP flags", "RULE-TCP-SCAN-01": "Distinct target ports", "RULE-FILE-MAGIC-01": "File signature", "RULE-SMB-PIPE-01": "SMB resource",
+    "RULE-SMB-SHARE-01": "SMB resource", "RULE-DNS-TUNNEL-01": "Queries and length of subdomains",
+}
+
 ORACLE_SQL = {
     "packets_projection": with_packets("SELECT seq, ts_us, file_offset, wirelen, src_ip, src_port, dst_ip, dst_port, protocol, tcp_flags, dns_qname, dns_qtype, payload_len, flow_id, array_to_string(ciphers, '-') AS ciphers FROM p"),
     "flow_key": with_packets("SELECT DISTINCT flow_id, ea_ip AS endpoint_a_ip, ea_port AS endpoint_a_port, eb_ip AS endpoint_b_ip, eb_port AS endpoint_b_port FROM p"),
@@ -350,8 +427,8 @@ ORACLE_SQL = {
     "flow_count": with_packets("SELECT count(DISTINCT flow_id) AS total_flows, count(*) AS total_packets FROM p"),
     "flow_instances": with_packets(
         f"""SELECT flow_id, CAST(instance AS INTEGER) AS flow_instance, count(*) AS packets FROM (SELECT flow_id, sum(opens) OVER (PARTITION BY flow_id ORDER BY seq) AS instance FROM (
-        SELECT a.flow_id, a.seq, CASE WHEN a.prev IS NOT NULL AND (SELECT count(DISTINCT b.flow_id) FROM s b WHERE b.seq > a.prev AND b.seq < a.seq) >= {CAPACITY} THEN 1 ELSE 0 END AS opens FROM s a)) GROUP BY ALL""",
-        "s AS (SELECT flow_id, seq, lag(seq) OVER (PARTITION BY flow_id ORDER BY seq) AS prev FROM p WHERE seq < 3000 AND protocol = 17)",
+        SELECT a.flow_id, a.seq, CASE WHEN count(b.seq) >= {CAPACITY} THEN 1 ELSE 0 END AS opens FROM s a LEFT JOIN s b ON b.seq > a.prev AND b.seq < a.seq AND coalesce(b.next, 9223372036854775807) > a.seq GROUP BY a.flow_id, a.seq)) GROUP BY ALL""",
+        "s AS (SELECT flow_id, seq, lag(seq) OVER (PARTITION BY flow_id ORDER BY seq) AS prev, lead(seq) OVER (PARTITION BY flow_id ORDER BY seq) AS next FROM p)",
     ),
     "iat_stats": with_packets("SELECT flow_id, n, round(mean, 3) AS mean, round(stddev, 3) AS stddev, round(median, 3) AS median, round(mad, 3) AS mad FROM gs", GAPS),
     "cidr_internal": with_packets(
@@ -376,12 +453,8 @@ ORACLE_SQL = {
     "exfil_dns": with_packets(f"SELECT 'RULE-EXFIL-DNS-01' AS rule_id, dns_qname AS alert_key, 'HIGH' AS {RAISED}, dns_qname, length(dns_qname) AS payload_char_len, dns_qtype AS qtype FROM (SELECT *, 1 AS packet_count FROM xd)", EXFIL_DNS),
     "exfil_volume": with_packets(f"SELECT 'RULE-EXFIL-VOL-01' AS rule_id, flow_id AS alert_key, 'HIGH' AS {RAISED}, byte_count AS total_bytes_transferred, round(byte_count / 1048576.0::DOUBLE, 2) AS volume_mb FROM fl WHERE byte_count >= 50000 AND flow_id NOT IN (SELECT flow_id FROM xd)", EXFIL_DNS, FLOWS),
     "dns_entropy_dga": with_packets(f"SELECT 'RULE-DNS-DGA-01' AS rule_id, qname AS alert_key, 'HIGH' AS {RAISED}, sub AS subdomain_analyzed, parent AS parent_domain, entropy AS shannon_entropy_calculated, CAST(run AS INTEGER) AS consonant_cluster_run FROM (SELECT *, 1 AS packet_count FROM dg)", NAMES, DGA),
-    "dns_tunnel": with_packets(
-        """SELECT 'RULE-DNS-TUNNEL-01' AS rule_id, parent AS alert_key, 'HIGH' AS severity, first_src AS source_ip, first_dst AS target_ip, src_port AS source_port, dst_port AS target_port, ts_us, flow_id, seq, n AS packet_count, n AS total_queries_received, round(chars / n, 2) AS avg_subdomain_len_calculated, odd AS txt_cname_null_queries
-        FROM r WHERE n >= 8 AND chars / n >= 20 QUALIFY row_number() OVER (PARTITION BY parent ORDER BY seq) = 1""",
-        NAMES,
-        "r AS (SELECT *, count(*) OVER w AS n, CAST(sum(length(sub)) OVER w AS DOUBLE) AS chars, CAST(sum(CASE WHEN dns_qtype IN (5, 10, 15, 16) OR length(sub) > 30 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS odd, first_value(src_ip) OVER w AS first_src, first_value(dst_ip) OVER w AS first_dst FROM nm WHERE sub <> '' WINDOW w AS (PARTITION BY parent ORDER BY seq))",
-    ),
+    "dns_tunnel": with_packets("SELECT 'RULE-DNS-TUNNEL-01' AS rule_id, parent AS alert_key, 'HIGH' AS severity, first_src AS source_ip, first_dst AS target_ip, src_port AS source_port, dst_port AS target_port, ts_us, flow_id, seq, n AS packet_count, n AS total_queries_received, round(chars / n, 2) AS avg_subdomain_len_calculated, odd AS txt_cname_null_queries FROM tu", NAMES, TUNNEL),
+    "beacon_prefix": with_packets("SELECT flow_id, seq, nth AS packet_count, len(gaps) + 1 AS samples, round(stddev / mean, 4) AS cov, round(mad / median, 4) AS mad_ratio FROM bx", BEACON),
     "http_audit_one_per_flow": with_packets(f"SELECT rule_id, flow_id AS alert_key, CASE rule_id WHEN 'RULE-HTTP-WEBSHELL-01' THEN 'HIGH' ELSE 'MEDIUM' END AS {RAISED}, method AS http_method, uri AS request_uri, shell AS signature_matched, CASE WHEN shell IS NULL THEN script END AS matched_agent_keyword FROM (SELECT *, 1 AS packet_count FROM ha)", HTTP),
     "ja3_match": with_packets(f"SELECT 'RULE-TLS-JA3-01' AS rule_id, ja3_hash AS alert_key, 'CRITICAL' AS {RAISED}, ja3 AS ja3_string, ja4 AS ja4_fingerprint, 'Test implant' AS threat_intel_match, sni AS sni_hostname FROM (SELECT *, 1 AS packet_count FROM tj) WHERE ja3_hash = '{KNOWN_JA3}'", HELLO),
     "file_magic": with_packets(f"SELECT 'RULE-FILE-MAGIC-01' AS rule_id, flow_id || '+' || magic AS alert_key, {RAISED}, file AS detected_file_type, magic AS magic_bytes_hex, CAST(at_ AS INTEGER) AS payload_offset FROM (SELECT *, 1 AS packet_count FROM mg WHERE magic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY flow_id ORDER BY seq) = 1)", MAGIC),
@@ -390,26 +463,39 @@ ORACLE_SQL = {
         so.src_ip AS source_ip, so.dst_ip AS target_ip, so.src_port AS source_port, so.dst_port AS target_port, so.ts_us, so.flow_id, so.seq, 1 AS packet_count, sr.name AS resource, so.dst_port AS smb_port FROM sr JOIN so ON sr.seq = so.seq WHERE sr.name IS NOT NULL""",
         SMB,
     )[5:],
-    "cleartext_credentials": with_packets(
-        f"""SELECT 'RULE-CRED-CLEARTEXT-01' AS rule_id, flow_id AS alert_key, 'HIGH' AS {RAISED}, 'user' AS extracted_user, 'HTTP' AS protocol
-        FROM (SELECT *, 1 AS packet_count FROM p WHERE (src_port = 80 OR dst_port = 80) AND contains(payload, 'Authorization: Basic dXNlcjpwYXNzMTIz') QUALIFY row_number() OVER (PARTITION BY flow_id ORDER BY seq) = 1)"""
-    ),
+    "cleartext_credentials": with_packets(f"SELECT 'RULE-CRED-CLEARTEXT-01' AS rule_id, flow_id AS alert_key, 'HIGH' AS {RAISED}, 'user' AS extracted_user, 'HTTP' AS protocol FROM (SELECT *, 1 AS packet_count FROM cr)", CREDENTIALS),
     "beacon_whole_flow": with_packets(
         f"""SELECT 'RULE-C2-BEACON-01' AS rule_id, flow_id AS alert_key, 'HIGH' AS {RAISED}, n + 1 AS sample_count_N, round(stddev / mean, 4) AS cov_calculated, round(mad / median, 4) AS mad_ratio_calculated
         FROM fl JOIN gs USING (flow_id) WHERE mean > 0.001 AND median > 0.001 AND stddev / mean <= 0.20 AND mad / median <= 0.25""",
         FLOWS, GAPS,
     ),
-    "alert_union": with_packets(f"SELECT rule_id, {DETECTOR_OF} AS detector, severity, stage, count(*) AS alerts, CAST(sum(packet_count) AS BIGINT) AS packets FROM ai GROUP BY ALL", *ALERTS),
-    "alert_dedup": with_packets("SELECT alert_id, rule_id, source_ip, seq, first_seq FROM ad", *ALERTS),
-    "severity_counts": with_packets(f"SELECT s.severity, count(ad.alert_id) AS alerts FROM (SELECT unnest({[*config.SEVERITIES]}) AS severity) s LEFT JOIN ad ON ad.severity = s.severity GROUP BY s.severity", *ALERTS),
-    "alert_search": with_packets("SELECT alert_id, rule_id, source_ip, target_ip FROM ad WHERE severity = 'HIGH' AND (contains(source_ip, '10.0.1.') OR contains(target_ip, '10.0.1.'))", *ALERTS),
-    "entity_expand": with_packets("SELECT entity_ip, count(*) AS alerts FROM en GROUP BY entity_ip", *ALERTS, ENTITIES),
-    "entity_timeline": with_packets("SELECT entity_ip, total_alerts, stages, round(least(k / 5.0::DOUBLE, 1.0::DOUBLE) * 60 + CASE WHEN rising AND k > 1 THEN 40.0::DOUBLE ELSE 15.0::DOUBLE END, 1) AS plausibility_score, CASE WHEN rising THEN 'High' ELSE 'Moderate' END AS chronological_alignment FROM et_", *ALERTS, ENTITIES, TIMELINE),
-    "dns_telemetry": with_packets(
-        """SELECT dns_qname AS domain, count(*) AS count, arg_min(CASE dns_qtype WHEN 16 THEN 'TXT' ELSE 'A' END, seq) AS qtype, arg_min(src_ip, seq) AS client_ip, CASE WHEN bool_or(rule_id = 'RULE-DNS-DGA-01') THEN 'HIGH ENTROPY / DGA' ELSE 'BENIGN' END AS threat_status
-        FROM (SELECT ad.rule_id, p.* FROM ad JOIN p ON ad.seq = p.seq WHERE ad.module IN (0, 1)) GROUP BY dns_qname""", *ALERTS,
+    "alert_union": with_alerts(f"SELECT rule_id, {DETECTOR_OF} AS detector, severity, stage, count(*) AS alerts, CAST(sum(packet_count) AS BIGINT) AS packets FROM ai GROUP BY ALL"),
+    "alert_dedup": with_alerts("SELECT alert_id, rule_id, source_ip, packet_count, seq, place.seq AS first_seq FROM ad"),
+    "severity_counts": with_alerts(f"SELECT s.severity, count(ad.alert_id) AS alerts FROM (SELECT unnest({[*config.SEVERITIES]}) AS severity) s LEFT JOIN ad ON ad.severity = s.severity GROUP BY s.severity"),
+    "alert_search": with_alerts("SELECT alert_id, rule_id, source_ip, target_ip FROM ad WHERE severity = 'HIGH' AND (contains(source_ip, '10.0.1.') OR contains(target_ip, '10.0.1.'))"),
+    "entity_expand": with_alerts("SELECT entity_ip, count(*) AS alerts FROM en GROUP BY entity_ip", ENTITIES),
+    "entity_timeline": with_alerts("SELECT entity_ip, total_alerts, stages, round(least(k / 5.0::DOUBLE, 1.0::DOUBLE) * 60 + CASE WHEN rising AND k > 1 THEN 40.0::DOUBLE ELSE 15.0::DOUBLE END, 1) AS plausibility_score, CASE WHEN rising THEN 'High' ELSE 'Moderate' END AS chronological_alignment FROM et_", ENTITIES, TIMELINE),
+    "entity_timeline_alerts": with_alerts("SELECT entity_ip, row_number() OVER (PARTITION BY entity_ip ORDER BY ts_us, phase, seq, module) AS nth, alert_id, ts_us, stage, severity FROM en", ENTITIES),
+    "dns_telemetry": with_alerts(
+        f"""SELECT s.dns_qname AS domain, s.count, s.qtype, s.client_ip, coalesce(t.said, 'BENIGN') AS threat_status FROM
+        (SELECT dns_qname, count(*) AS count, arg_min(CASE dns_qtype {' '.join(f"WHEN {n} THEN '{t}'" for n, t in config.QTYPES)} ELSE 'TYPE-' || dns_qtype END, {{'p': place, 'n': num}}) AS qtype, arg_min(src_ip, {{'p': place, 'n': num}}) AS client_ip FROM br WHERE dns_qname <> '' GROUP BY dns_qname) s
+        LEFT JOIN (SELECT dns_qname, arg_max(CASE WHEN contains(rule_id, 'TUNNEL') THEN 'COVERT DNS TUNNELING' ELSE 'HIGH ENTROPY / DGA' END, place) AS said FROM
+          (SELECT alert_id, rule_id, place, arg_max(dns_qname, num) AS dns_qname FROM br WHERE dns_qname <> '' AND (contains(rule_id, 'TUNNEL') OR contains(rule_id, 'DGA')) GROUP BY ALL) GROUP BY dns_qname) t USING (dns_qname)""",
+        BRIDGE,
+    ),
+    "suspicious_payloads": with_alerts(
+        """SELECT alert_id, source_ip, target_ip, target_port, CASE module WHEN 7 THEN 'http://' || target_ip || ':' || target_port || '/' WHEN 1 THEN 'http://' || target_ip || ':' || target_port ELSE 'tcp://' || target_ip || ':' || target_port END AS url_or_path,
+        CASE module WHEN 7 THEN method WHEN 1 THEN 'AUTH' ELSE 'BINARY TRANSFER' END AS method, CASE module WHEN 1 THEN 'N/A' ELSE agent END AS user_agent,
+        CASE module WHEN 7 THEN title WHEN 1 THEN 'Exposed Cleartext Credentials' ELSE 'Cleartext Binary File Transfer (' || detail || ')' END AS threat_category FROM ad WHERE module IN (1, 7, 11)"""
+    ),
+    "summary_stats": with_alerts(f"SELECT (SELECT count(*) FROM p) AS total_packets, (SELECT count(DISTINCT flow_id) FROM p) AS total_flows, count(*) AS total_alerts, {', '.join(f"count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}" for s in config.SEVERITIES)} FROM ad"),
+    "alert_packets": with_alerts("SELECT alert_id, count(*) AS packets, CAST(sum(num) AS BIGINT) AS seqs FROM br GROUP BY alert_id", BRIDGE),
+    "evidence_offsets": with_alerts("SELECT alert_id, file_offset, caplen FROM br", BRIDGE),
+    "stix_objects": with_alerts(STIX_ROWS, STIX),
+    "json_report": with_alerts(
+        f"""SELECT alert_id, rule_id, title, severity, stage, source_ip, target_ip, source_port, target_port, protocol, flow_id, packet_count, {SEEN} AS timestamp, offsets, {_case('rule_id', METRICS)} AS metric
+        FROM ad JOIN (SELECT alert_id, count(*) AS offsets FROM br GROUP BY alert_id) USING (alert_id)""",
+        BRIDGE,
     ),
-    "suspicious_payloads": with_packets("SELECT source_ip, target_ip, target_port, 'http://' || target_ip || ':' || target_port || '/' AS url_or_path, method, agent AS user_agent FROM ad WHERE module = 3", *ALERTS),
-    "summary_stats": with_packets(f"SELECT (SELECT count(*) FROM p) AS total_packets, (SELECT count(DISTINCT flow_id) FROM p) AS total_flows, count(*) AS total_alerts, {', '.join(f'''count(*) FILTER (WHERE severity = '{s}') AS {s.lower()}''' for s in config.SEVERITIES)} FROM ad", *ALERTS),
-    "evidence_offsets": with_packets("SELECT ad.alert_id, p.file_offset, p.caplen FROM ad JOIN p ON ad.flow_id = p.flow_id AND p.seq <= ad.seq WHERE ad.module = 3", *ALERTS),
+    "full_triage": with_alerts("SELECT rule_id, severity, count(*) AS alerts, CAST(sum(refs) AS BIGINT) AS refs FROM ad JOIN (SELECT alert_id, count(*) AS refs FROM br GROUP BY alert_id) USING (alert_id) GROUP BY rule_id, severity", BRIDGE),
 }

@@ -7,11 +7,14 @@ import json
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowlens import config
+from flowlens import VERSION, config
 from flowlens.operators import alerts as A
 from flowlens.operators import flows
+from flowlens.sources.carve import carve
 from flowlens.sources.pcap import read_captures
+from flowlens.tables import cut, drop
 
 
 class Triage(NamedTuple):
@@ -19,29 +22,48 @@ class Triage(NamedTuple):
     flows: DataFrame
     alerts: DataFrame
     hosts: DataFrame
+    timelines: DataFrame
     dns: DataFrame
     payloads: DataFrame
+    evidence: DataFrame
     summary: DataFrame
 
+    def close(self) -> None:
+        """Give back the tables that the results share."""
+        drop(self.packets, self.alerts)
+
 
 def triage(packets: DataFrame, rules: dict | None = None, detectors: dict | None = None) -> Triage:
-    """All results over packets. Many branches share the packets, so they are kept."""
-    packets = packets.persist()
-    alerts = A.dedup(A.union(packets, config.configured(rules), detectors)).persist()
+    """All results over packets. Many branches share packets and alerts, so these are written as tables; close() deletes them."""
+    cfg = config.configured(rules)
+    packets = cut(packets)
+    alerts = cut(A.dedup(A.union(packets, cfg, detectors)))
     with_ids = flows.with_flow(packets)
-    return Triage(packets, flows.aggregate(packets), alerts, A.timelines(alerts), A.dns_telemetry(alerts, packets), A.suspicious_payloads(alerts), A.summary(with_ids, alerts))
+    return Triage(packets, flows.aggregate(packets), alerts, A.timelines(alerts), A.timeline_alerts(alerts), A.dns_telemetry(alerts, packets, cfg), A.suspicious_payloads(alerts), A.evidence(alerts, packets, cfg), A.summary(with_ids, alerts))
 
 
 def triage_path(spark: SparkSession, path: str, rules: dict | None = None) -> Triage:
     return triage(read_captures(spark, path), rules)
 
 
+def carved(spark: SparkSession, run: Triage) -> DataFrame:
+    """alert_id and capture (bytes) of each alert: its packets, read again from their files."""
+    files = spark.read.format("binaryFile").load([r["capture_id"] for r in run.packets.select("capture_id").distinct().collect()])
+    return carve(files, run.evidence.select("alert_id", F.col("capture_id").alias("path"), "file_offset"))
+
+
+def _first(rows: DataFrame, order, most: int, line) -> list[str]:
+    """Lines of the first rows of a report, and how many more there are."""
+    left = rows.count() - most
+    return [line(r) for r in rows.orderBy(order).limit(most).collect()] + ([f"... and {left} more, in the JSON output"] if left > 0 else [])
+
+
 def text_report(run: Triage, most: int = 50) -> str:
-    """Summary, and the first alerts and hosts."""
+    """Summary, and the first `most` alerts and hosts; a line tells how many more there are."""
     s = run.summary.first().asDict()
     out = ["TRIAGE SUMMARY", ", ".join(f"{k}: {v}" for k, v in s.items()), "", "ALERTS"]
-    out += [f"[{r['severity']}] {r['alert_id']} {r['title']}: {r['source_ip']} -> {r['target_ip']}" for r in run.alerts.orderBy("place").limit(most).collect()]
-    out += ["", "HOSTS"] + [f"{r['entity_ip']}: {r['plausibility_score']} ({r['chronological_alignment']}) {' > '.join(r['stages_covered'])}" for r in run.hosts.orderBy("plausibility_score", ascending=False).limit(most).collect()]
+    out += _first(run.alerts, "place", most, lambda r: f"[{r['severity']}] {r['alert_id']} {r['title']}: {r['source_ip']} -> {r['target_ip']}")
+    out += ["", "HOSTS"] + _first(run.hosts, F.desc("plausibility_score"), most, lambda r: f"{r['entity_ip']}: {r['plausibility_score']} ({r['chronological_alignment']}) {' > '.join(r['stages_covered'])}")
     return "\n".join(out)
 
 
@@ -51,8 +73,10 @@ def html_report(run: Triage, most: int = 50) -> str:
 
 
 def write_json(run: Triage, folder: str) -> None:
-    """Alerts, hosts and summary as JSON lines in folders."""
-    for name in ("alerts", "hosts", "summary", "dns", "payloads"):
+    """Alerts with the offsets of their packets, hosts, timelines, telemetry, payloads, summary and metadata as JSON lines in folders."""
+    A.json_lines(run.alerts, run.evidence).select("json").write.mode("overwrite").text(f"{folder}/alerts")
+    run.summary.select(F.lit("flowlens").alias("tool"), F.lit(VERSION).alias("version"), F.struct("*").alias("summary")).write.mode("overwrite").json(f"{folder}/metadata")
+    for name in ("hosts", "timelines", "summary", "dns", "payloads"):
         getattr(run, name).write.mode("overwrite").json(f"{folder}/{name}")
 
 
@@ -61,7 +85,7 @@ def write_stix(run: Triage, folder: str) -> None:
     A.stix_objects(run.alerts).select("json").write.mode("overwrite").text(folder)
 
 
-def stix_bundle(run: Triage, most: int = 10_000) -> str:
-    """One bundle of the objects of at most this many alerts' objects, for small runs."""
-    rows = A.stix_objects(run.alerts).limit(most).collect()
+def stix_bundle(run: Triage) -> str:
+    """One bundle of all objects, for small runs: it is built on the driver. Others take write_stix()."""
+    rows = A.stix_objects(run.alerts).collect()
     return json.dumps({"type": "bundle", "id": "bundle--" + rows[0]["id"].split("--")[1] if rows else "bundle--0", "objects": [json.loads(r["json"]) for r in rows]})

@@ -20,19 +20,37 @@ def capture_bytes(found: list[tuple[int, int, int, bytes]], link: int = 1) -> by
     return HEADER[:-4] + struct.pack("<I", link) + body
 
 
-def carve(files: DataFrame, evidence: DataFrame) -> DataFrame:
-    """alert_id and capture (bytes): records of the files (path, content) that evidence (alert_id, path, file_offset) names, in the
-    order of the files. Works for classic files and PCAPNG, as frames are read anew. One alert's records are one capture."""
+def frames(files: DataFrame) -> DataFrame:
+    """path, file_offset, ts_us, wirelen, caplen, link and frame of every record of files (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for alert, content, offsets in zip(b["alert_id"], b["content"], b["offsets"], strict=True):
-                wanted = set(offsets)
-                own = [(ts, wire, cap, frame, link) for _, ts, at, cap, wire, link, frame in records(content) if at in wanted]
-                yield pd.DataFrame({"alert_id": [alert], "capture": [capture_bytes([r[:4] for r in own], own[0][4] if own else 1)]})
+            for path, content in zip(b["path"], b["content"], strict=True):
+                part: list[tuple] = []
+                for _, ts, at, cap, wire, link, frame in records(content):
+                    part.append((path, at, ts, wire, cap, link, frame))
+                    if len(part) == 10_000:
+                        yield pd.DataFrame(part, columns=names)
+                        part = []
+                yield pd.DataFrame(part, columns=names)
+
+    names = ["path", "file_offset", "ts_us", "wirelen", "caplen", "link", "frame"]
+    return files.select("path", "content").mapInPandas(run, "path string, file_offset long, ts_us long, wirelen long, caplen long, link int, frame binary")
+
+
+def carve(files: DataFrame, evidence: DataFrame) -> DataFrame:
+    """alert_id and capture (bytes): records of the files (path, content) that evidence (alert_id, path, file_offset) names, in the
+    order of path and offset, once each. Works for classic files and PCAPNG, as frames are read anew. One alert's records are one
+    capture, a value of a row; its link type is that of its first record."""
+    found = frames(files).join(evidence.select("alert_id", "path", "file_offset").distinct(), ["path", "file_offset"])
+    whole = found.groupBy("alert_id").agg(F.array_sort(F.collect_list(F.struct("path", "file_offset", "ts_us", "wirelen", "caplen", "link", "frame"))).alias("f"))
+
+    @F.pandas_udf("binary")
+    def written(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([capture_bytes([(r["ts_us"], r["wirelen"], r["caplen"], bytes(r["frame"])) for r in rows], int(rows[0]["link"])) for rows in s], dtype=object)
 
-    named = evidence.groupBy("alert_id", "path").agg(F.collect_set("file_offset").alias("offsets"))
-    return files.select("path", "content").join(named, "path").select("alert_id", "content", "offsets").mapInPandas(run, "alert_id string, capture binary")
+    return whole.select("alert_id", written(F.col("f")).alias("capture"))
 
 
 def enhanced_block(frame: bytes, ts_us: int, comment: str | None = None, order: str = ">") -> bytes:

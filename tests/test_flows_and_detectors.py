@@ -1,4 +1,7 @@
 import hashlib
+import json
+import random
+import statistics
 
 import pytest
 
@@ -8,6 +11,7 @@ from flowlens.operators import alerts as A
 from flowlens.operators import detectors as D
 from flowlens.operators import flows
 from flowlens.plans import queries
+from flowlens.plans.triage import stix_bundle, text_report, triage
 from pyspark.sql import functions as F
 
 BASE = {"capture_id": "c", "caplen": 60, "wirelen": 60, "src_ip": "10.0.0.1", "dst_ip": "10.0.0.2", "src_port": 1234, "dst_port": 80, "protocol": 6, "tcp_seq": 0, "tcp_ack": 0, "tcp_flags": 24, "dns_qname": None, "dns_qtype": None, "tls_info": None, "payload": None, "payload_len": 0, "decode_error": None}
@@ -129,8 +133,8 @@ def test_volume_tls_files_and_smb(spark):
 
 
 def test_alerts_are_deduplicated_and_correlated(spark):
-    rows = [(f"A{i}", rule, "t", "HIGH", stage, "10.0.0.1", "", 1, 2, "TCP", ts, "f", 1, "{}", "d", "k", i, 0, 0) for i, (rule, stage, ts) in enumerate([("R1", "Reconnaissance", 0), ("R2", "Lateral Movement", 100), ("R3", "Command & Control", 200)])]
-    alerts = spark.createDataFrame([*rows, rows[0][:16] + (9, 0, 0)], A.empty(spark).schema)
+    rows = [(f"A{i}", rule, "t", "d", "HIGH", stage, "10.0.0.1", "", 1, 2, "TCP", ts, "f", 1, "{}", "d", "c", "k", i, 0, 0, "packet", str(i)) for i, (rule, stage, ts) in enumerate([("R1", "Reconnaissance", 0), ("R2", "Lateral Movement", 100), ("R3", "Command & Control", 200)])]
+    alerts = spark.createDataFrame([*rows, rows[0][:18] + (9, 0, 0, "packet", "9")], A.empty(spark).schema)
     one = A.dedup(alerts)
     assert one.count() == 3 and one.where("alert_id = 'A0'").select("seq", "place.seq").first()[:] == (9, 0)
     top = A.timelines(one).first()
@@ -138,3 +142,75 @@ def test_alerts_are_deduplicated_and_correlated(spark):
     assert {r["severity"]: r["alerts"] for r in A.severity_counts(one).collect()} == {"CRITICAL": 0, "HIGH": 3, "MEDIUM": 0, "LOW": 0, "INFO": 0}
     assert A.stix_objects(one).count() == 9 and A.search(one, "HIGH", "a1").count() == 1
     assert A.timelines(A.empty(spark)).count() == 0
+
+
+def test_captures_of_a_folder_are_judged_by_themselves(spark):
+    hosts = [{"src_ip": "10.0.0.9", "dst_ip": f"10.0.0.{20 + i}", "src_port": 1000 + i, "tcp_flags": 2, "capture_id": c, "seq": i} for c in ("a.pcap", "b.pcap") for i in range(12)]
+    p = packets(spark, *hosts)
+    sweeps = A.dedup(A.union(p, cfg(), {"sweep": D.subnet_sweep})).collect()
+    assert sorted((r["capture_id"], r["packet_count"]) for r in sweeps) == [("a.pcap", 10), ("b.pcap", 10)]
+    assert flows.aggregate(p).where("packet_count = 1").count() == 24
+    beacons = packets(spark, *({"capture_id": c, "seq": i, "ts_us": 10**15 + i * 10**6} for c in ("a", "b") for i in range(7)))
+    assert D.beacon(beacons, cfg(beacon={"min_samples": 8})).count() == 0 and D.beacon(beacons, cfg(beacon={"min_samples": 6})).count() == 2
+
+
+def test_alerts_refer_to_the_packets_that_raised_them(spark):
+    syn = {"tcp_flags": 2, "src_ip": "10.0.0.9"}
+    rows = [syn | {"dst_ip": f"10.0.0.{20 + i}", "dst_port": 80} for i in range(4)] + [{"payload": b"plain"}, {"payload": b"MZ\x90\x00"}, {"payload": b"more"}]
+    rows += [{"protocol": 17, "dst_port": 53, "src_port": 40 + i, "dns_qname": f"sub{i}.verylongencodedpayloadchunk{i * 1000}.covert-tunnel.org", "dns_qtype": 16} for i in range(10)]
+    p, rules = packets(spark, *rows), cfg(sweep={"sweep_threshold": 3})
+    alerts = A.dedup(A.union(p, rules, {k: D.DETECTORS[k] for k in ("sweep", "file_magic", "dns_tunnel")}))
+    got = {r["rule_id"]: r["at"] for r in A.evidence(alerts, p, rules).join(alerts.select("alert_id", "rule_id"), "alert_id").groupBy("rule_id").agg(F.sort_array(F.collect_list("seq")).alias("at")).collect()}
+    assert got == {"RULE-RECON-SWEEP-01": [0, 1, 2], "RULE-FILE-MAGIC-01": [5], "RULE-DNS-TUNNEL-01": list(range(7, 15))}
+    told = {r["domain"]: (r["count"], r["qtype"], r["threat_status"]) for r in A.dns_telemetry(alerts, p, rules).collect()}
+    assert len(told) == 8 and told[rows[14]["dns_qname"]] == (1, "TXT", "COVERT DNS TUNNELING") and {v[2] for k, v in told.items() if k != rows[14]["dns_qname"]} == {"BENIGN"}
+    (tunnel,) = D.dns_tunnel(p, rules).collect()
+    assert tunnel["proof"]["sample_subdomains"] == [r["dns_qname"].rsplit(".", 2)[0] for r in rows[7:12]]
+
+
+@pytest.mark.parametrize("section, detector, row", [("dns_tunnel", "dns_tunnel", None), ("file_carver", "file_magic", {"payload": b"MZ\x90\x00"}), ("smb_audit", "smb_audit", {"payload": b"svcctl", "dst_port": 445}), ("credentials", "credentials", {"payload": b"USER bob\r\n", "dst_port": 21})])
+def test_detectors_can_be_turned_off(spark, section, detector, row):
+    names = [{"protocol": 17, "dns_qname": f"sub{i}.verylongencodedpayloadchunk{i * 1000}.covert-tunnel.org", "dns_qtype": 16} for i in range(10)]
+    p = packets(spark, *([row] if row else names))
+    assert D.DETECTORS[detector](p, cfg()).count() == 1 and D.DETECTORS[detector](p, cfg(**{section: {"enabled": False}})).count() == 0
+
+
+def brute_prefix(rows, own):
+    """First regular prefix of one flow's (ts_us, payload_len), each prefix judged anew."""
+    for k in range(own["min_samples"], len(rows) + 1):
+        if (rows[k - 1][0] - rows[0][0]) / 1e6 < own["min_duration_sec"]:
+            continue
+        full = [t for t, n in rows[:k] if n]
+        used = sorted(full if len(full) >= own["min_samples"] else [t for t, _ in rows[:k]])
+        gaps = [(b - a) / 1e6 for a, b in zip(used, used[1:], strict=False)]
+        mean, median = statistics.fmean(gaps), statistics.median(gaps)
+        if mean > 0.001 and median > 0.001 and statistics.pstdev(gaps) / mean <= own["max_cov"] and statistics.median(abs(g - median) for g in gaps) / median <= own["max_mad_ratio"]:
+            return k
+    return None
+
+
+def test_beacon_prefixes_equal_judging_each_anew(spark):
+    own = {"min_samples": 5, "max_cov": 0.20, "max_mad_ratio": 0.12, "min_duration_sec": 2.0}
+    rng, rows, want = random.Random(4), [], {}
+    for port in range(40):
+        t, flow = 10**15, []
+        for i in range(30):
+            t += int(10**6 * rng.choice([1, 1, 1, 1.3, 0.9, 1.1] if port % 4 else [1, 5, -2, 0.2]))
+            if port % 8 == 3 and i < 12:
+                t += rng.randrange(9) * 10**6
+            flow.append((t, rng.choice([0, 0, 7]) if port % 3 else 0))
+        rows += [{"src_port": port, "ts_us": t, "payload_len": n} for t, n in flow]
+        if (k := brute_prefix(flow, own)) is not None:
+            want[port] = k
+    got = {r["source_port"]: r["packet_count"] for r in D.beacon_prefix(packets(spark, *rows), cfg(beacon=own)).collect()}
+    assert got == want and 0 < len(want) < 40
+    late = packets(spark, *({"ts_us": 10**15 + x} for x in (0, 1, 2, 10**6, 2 * 10**6, 3 * 10**6, 4 * 10**6)))
+    assert D.beacon_online(late, cfg(beacon=own)).count() == D.beacon(late, cfg(beacon=own)).count()
+
+
+def test_triage_as_a_whole(spark):
+    run = triage(packets(spark, *({"src_ip": "10.0.0.9", "dst_ip": f"10.0.0.{i}", "tcp_flags": 2, "src_port": i} for i in range(20, 33))))
+    assert run.evidence.count() == 20 and run.timelines.where("entity_ip = '10.0.0.9'").orderBy("nth").first()["nth"] == 1
+    text = text_report(run, most=1)
+    assert "ALERTS" in text and "more, in the JSON output" in text and len(json.loads(stix_bundle(run))["objects"]) == 3 * run.alerts.count()
+    run.close()
