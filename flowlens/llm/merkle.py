@@ -1,24 +1,29 @@
-"""Document fingerprints: a Merkle tree over spans, paragraphs and sections.
+"""Document fingerprints: a Merkle tree over paragraphs and sections.
 
-A paragraph is a line with its line feed. In it, spans end at words chosen by their hash (one in SPAN_WORDS), and a
-section ends at a paragraph chosen by its last span's hash (one in SECTION_PARAGRAPHS), so that cuts move with the text and
-an edit changes the spans it touches and the nodes above them. Every byte of a text belongs to one span. A span's node is
-its hash; paragraphs, sections and the root hash their children.
+A paragraph is a line with its line feed, and its node the BLAKE2 hash of its bytes; sections and the root hash their children.
+A section ends at a paragraph chosen by its last span's hash (one in SECTION_PARAGRAPHS). In a paragraph, spans end at words
+chosen by their hash (one in SPAN_WORDS), so that all cuts move with the text. Every byte of a text belongs to one span, one
+paragraph and one section.
 
-The fingerprint is text: the root, a colon, and the spans' hashes (SPAN_HEX digits each) with "." after a paragraph and
-"/" after a section. Equal texts have equal fingerprints, and roots test equality. Where two trees differ, equal nodes are
-passed over and the other branches tell the spans. Likeness is the share of spans in common (twice those in common by all of
-both), 1 for equal roots.
+The fingerprint is text: the root, a colon, and the sections, each followed by "/": NODE_HEX digits of its hash, and its paragraphs,
+each followed by ".": NODE_HEX digits and SPAN_HEX for each span. Equal texts have equal fingerprints, and roots test equality.
+
+Two trees are compared from the root down. Equal nodes are passed over; the children of others are lined up, in order: what they
+begin and end with in common, then children that both have once, as many as keep their order, and what is equal beside these. The
+runs between them are the differing branches, and are gone into, down to spans. So edits are located, and likeness is the
+share of spans passed over (twice these by all of both), 1 for equal roots; what moved past something else is not passed over.
 
 Null texts count as empty; an empty text has one empty span. Rows that are equal in id come in the order of their text
-hashes, a null id last. Repeated rows give repeated results; an empty table gives none; other columns don't matter.
+hashes, a null id last. Repeated rows give repeated results; an empty table gives none; other columns don't matter. Rows are dealt
+by ranges of ids, one id's by ranges of text hashes, one text's by lot, of about PART_BYTES each.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from typing import NamedTuple
 
 import numpy as np
@@ -26,95 +31,178 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm._text import hash_runs, words
+from flowlens.llm._text import hash_runs, mix, words
 
-SPAN_WORDS, SECTION_PARAGRAPHS, SPAN_HEX = 4, 8, 6
+SPAN_WORDS, SECTION_PARAGRAPHS, SPAN_HEX, NODE_HEX = 4, 8, 6, 8
 DOCS_AT_ONCE = 256
 LEAST_ID = -(1 << 63)
+PART_BYTES = 64 << 20
 
 _VALUES = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-class Trees(NamedTuple):
-    at: np.ndarray  #: first span of each document; one more entry at the end
-    span: np.ndarray  #: hash of each span
-    level: np.ndarray  #: 0 a span inside a paragraph, 1 the last of a paragraph, 2 the last of a section
+class Paragraph(NamedTuple):
+    node: int
+    spans: tuple[int, ...]
 
+    @property
+    def size(self) -> int:
+        return len(self.spans)
 
-def trees(texts: list[str | None]) -> Trees:
-    counts, spans, levels = [np.zeros(1, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
-    for w in words(texts):
-        ends = np.unique(np.concatenate([w.end[w.key % np.uint64(SPAN_WORDS) == 0], np.flatnonzero(w.buf == 0x0A) + 1, w.begin[1:]]))
-        start = np.concatenate([[0], ends[:-1]])
-        span = hash_runs(w.buf, start, ends, _VALUES)
-        last = np.isin(ends, w.begin[1:])
-        level = ((w.buf[ends - 1] == 0x0A) | last).astype(np.int8)
-        level[(level == 1) & (last | (span % np.uint64(SECTION_PARAGRAPHS) == 0))] = 2
-        counts.append(np.diff(np.searchsorted(start, w.begin)))
-        spans.append(span)
-        levels.append(level)
-    return Trees(np.cumsum(np.concatenate(counts)), np.concatenate(spans), np.concatenate(levels))
 
+class Section(NamedTuple):
+    node: int
+    paragraphs: tuple[Paragraph, ...]
 
-def _node(children: bytes) -> bytes:
-    return hashlib.blake2b(children, digest_size=16).digest()
+    @property
+    def size(self) -> int:
+        return sum(len(p.spans) for p in self.paragraphs)
 
 
-def fingerprints(t: Trees) -> list[str]:
-    out = []
-    short = (t.span & np.uint64((1 << 4 * SPAN_HEX) - 1)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - SPAN_HEX // 2 :]
-    raw, cut = t.span.astype(">u8").tobytes(), np.flatnonzero(t.level)
-    bounds = np.searchsorted(cut, t.at)
-    for i in range(len(t.at) - 1):
-        at, sections, paragraphs, text = int(t.at[i]), [], [], []
-        for c in cut[bounds[i] : bounds[i + 1]].tolist():
-            paragraphs.append(_node(raw[8 * at : 8 * (c + 1)]))
-            text.append(short[at : c + 1].tobytes().hex())
-            at = c + 1
-            if t.level[c] == 2:
-                sections.append(_node(b"".join(paragraphs)))
-                paragraphs = []
-                text.append("/")
-            else:
-                text.append(".")
-        out.append(_node(b"".join(sections)).hex() + ":" + "".join(text))
-    return out
+class Tree(NamedTuple):
+    root: str
+    sections: tuple[Section, ...]
 
+    @property
+    def size(self) -> int:
+        return sum(s.size for s in self.sections)
 
-def likenesses(a: Trees, first: np.ndarray, b: Trees, second: np.ndarray) -> np.ndarray:
-    """Likeness of documents first[i] of a and second[i] of b."""
+    def text(self) -> str:
+        body = "".join(f"{s.node:0{NODE_HEX}x}" + "".join(f"{p.node:0{NODE_HEX}x}" + "".join([f"{x:0{SPAN_HEX}x}" for x in p.spans]) + "." for p in s.paragraphs) + "/" for s in self.sections)
+        return f"{self.root}:{body}"
 
-    def keyed(t: Trees, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = (t.at[1:] - t.at[:-1])[which]
-        at = np.repeat(t.at[:-1][which], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return (t.span[at] & np.uint64((1 << 4 * SPAN_HEX) - 1)) | (np.repeat(np.arange(len(which), dtype=np.uint64), n) << np.uint64(4 * SPAN_HEX)), n
 
-    (x, n), (y, m) = keyed(a, first), keyed(b, second)
-    key, where = np.unique(np.concatenate([x, y]), return_inverse=True)
-    common = np.minimum(np.bincount(where[: len(x)], minlength=len(key)), np.bincount(where[len(x) :], minlength=len(key)))
-    return 2 * np.bincount((key >> np.uint64(4 * SPAN_HEX)).astype(np.int64), common, len(first)) / (n + m)
+def read(fingerprint: str) -> Tree:
+    """The tree of a fingerprint."""
+    root, body = fingerprint.split(":")
+    sections = []
+    for part in body.split("/")[:-1]:
+        inner = [Paragraph(int(p[:NODE_HEX], 16), tuple(int(p[i : i + SPAN_HEX], 16) for i in range(NODE_HEX, len(p), SPAN_HEX))) for p in part[NODE_HEX:].split(".")[:-1]]
+        sections.append(Section(int(part[:NODE_HEX], 16), tuple(inner)))
+    return Tree(root, tuple(sections))
 
 
-def likeness(a: str, b: str) -> float:
-    """Of two fingerprints; as likenesses() of their trees."""
-    if a.split(":")[0] == b.split(":")[0]:
-        return 1.0
-    x, y = (np.unique(spans_of(f), return_counts=True) for f in (a, b))
-    _, i, j = np.intersect1d(x[0], y[0], return_indices=True)
-    return 2 * float(np.minimum(x[1][i], y[1][j]).sum()) / float(x[1].sum() + y[1].sum())
+def _hash(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
-def spans_of(fingerprint: str) -> list[str]:
-    body = fingerprint.split(":")[1].replace(".", "").replace("/", "")
-    return [body[i : i + SPAN_HEX] for i in range(0, len(body), SPAN_HEX)]
+def trees(texts: list[str | None]) -> list[Tree]:
+    out = []
+    for w in words(texts):
+        last_of_doc = w.begin[1:]
+        ends = np.unique(np.concatenate([w.end[w.key % np.uint64(SPAN_WORDS) == 0], np.flatnonzero(w.buf == 0x0A) + 1, last_of_doc]))
+        start = np.concatenate([[0], ends[:-1]])
+        span = hash_runs(w.buf, start, ends, _VALUES)
+        last = np.isin(ends, last_of_doc)
+        stops = np.flatnonzero((w.buf[ends - 1] == 0x0A) | last)  # last spans of paragraphs
+        closes = (last | (span % np.uint64(SECTION_PARAGRAPHS) == 0))[stops]
+        short, raw = (span & np.uint64((1 << 4 * SPAN_HEX) - 1)).tolist(), w.buf.tobytes()
+        at, sections, paragraphs, nodes, section_nodes = 0, [], [], [], []
+        ends_, final = ends.tolist(), last[stops].tolist()
+        begin = 0
+        for k, (stop, close) in enumerate(zip(stops.tolist(), closes.tolist(), strict=True)):
+            end = ends_[stop] - final[k]  # without the space that ends a document in the buffer
+            nodes.append(_hash(raw[begin:end]))
+            paragraphs.append(Paragraph(int.from_bytes(nodes[-1][: NODE_HEX // 2], "big"), tuple(short[at : stop + 1])))
+            at, begin = stop + 1, ends_[stop]
+            if close:
+                section_nodes.append(_hash(b"".join(nodes)))
+                sections.append(Section(int.from_bytes(section_nodes[-1][: NODE_HEX // 2], "big"), tuple(paragraphs)))
+                paragraphs, nodes = [], []
+            if final[k]:
+                out.append(Tree(_hash(b"".join(section_nodes)).hex(), tuple(sections)))
+                sections, section_nodes = [], []
+    return out
 
 
-def edits(a: str, b: str) -> list[tuple[int, int, int, int]]:
-    """Branches that differ: paragraphs i to j of the first fingerprint became k to l of the second; none if roots are equal."""
-    if a.split(":")[0] == b.split(":")[0]:
-        return []
-    x, y = (f.split(":")[1].replace("/", ".").rstrip(".").split(".") for f in (a, b))
-    return [tuple(o[1:]) for o in SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if o[0] != "equal"]
+def lined_up(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of equal values in both, in order: common ends, then values that occur once in both, as many as rise, and equal ones beside them."""
+    head, most = 0, min(len(a), len(b))
+    while head < most and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    pairs = [(i, i) for i in range(head)]
+    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
+    if x and y:
+        once_x, once_y = Counter(x), Counter(y)
+        place = {v: j for j, v in enumerate(y) if once_y[v] == 1}
+        both = [(i, place[v]) for i, v in enumerate(x) if once_x[v] == 1 and v in place]
+        i, j = 0, 0  # what is not yet taken
+        for p, q in [*rising(both), (len(x), len(y))]:
+            if p < i or q < j:
+                continue
+            back = []
+            while p - 1 - len(back) >= i and q - 1 - len(back) >= j and x[p - 1 - len(back)] == y[q - 1 - len(back)]:
+                back.append((p - 1 - len(back), q - 1 - len(back)))
+            pairs += [(head + u, head + v) for u, v in reversed(back)]
+            i, j = p, q
+            while i < len(x) and j < len(y) and x[i] == y[j]:
+                pairs.append((head + i, head + j))
+                i, j = i + 1, j + 1
+    return pairs + [(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
+
+
+def rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest run of pairs, in order of the first, whose second rises."""
+    ends, at, before = [], [], [-1] * len(pairs)
+    for k, (_, q) in enumerate(pairs):
+        place = bisect_left(ends, q)
+        before[k] = at[place - 1] if place else -1
+        ends[place : place + 1], at[place : place + 1] = [q], [k]
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def gaps(pairs: list[tuple[int, int]], n: int, m: int) -> Iterator[tuple[int, int, int, int]]:
+    """Runs i to j of one and k to l of the other between pairs."""
+    i = k = 0
+    for j, q in [*pairs, (n, m)]:
+        if i < j or k < q:
+            yield i, j, k, q
+        i, k = j + 1, q + 1
+
+
+def _children(nodes: tuple) -> list:
+    return [c for s in nodes for c in (s.paragraphs if isinstance(s, Section) else s.spans)]
+
+
+def compared(a: tuple, b: tuple, at: tuple[int, int] = (0, 0), branches: list | None = None) -> int:
+    """Spans in common of two runs of sections, paragraphs or spans, from the top down; branches: takes in differing runs of paragraphs."""
+    inner = bool(a or b) and not isinstance((a or b)[0], int)
+    same = lined_up([x.node for x in a], [x.node for x in b]) if inner else lined_up(list(a), list(b))
+    if not inner:
+        return len(same)
+    common = sum(a[i].size for i, _ in same)
+    deeper = isinstance((a or b)[0], Section)
+    for i, j, k, m in gaps(same, len(a), len(b)):
+        before = [at[0] + (sum(len(s.paragraphs) for s in a[:i]) if deeper else i), at[1] + (sum(len(s.paragraphs) for s in b[:k]) if deeper else k)] if branches is not None else (0, 0)
+        if branches is not None and not deeper:
+            branches.append((before[0], before[0] + j - i, before[1], before[1] + m - k))
+        if i < j and k < m:
+            common += compared(tuple(_children(a[i:j])), tuple(_children(b[k:m])), tuple(before), branches if deeper else None)
+        elif branches is not None and deeper:
+            branches.append((before[0], before[0] + len(_children(a[i:j])), before[1], before[1] + len(_children(b[k:m]))))
+    return common
+
+
+def likeness(a: Tree | str, b: Tree | str) -> float:
+    """Share of spans in common of two trees or fingerprints."""
+    a, b = (read(x) if isinstance(x, str) else x for x in (a, b))
+    return 1.0 if a.root == b.root else 2 * compared(a.sections, b.sections) / (a.size + b.size)
+
+
+def edits(a: Tree | str, b: Tree | str) -> list[tuple[int, int, int, int]]:
+    """Branches that differ: paragraphs i to j of the first became k to l of the second; none if roots are equal."""
+    a, b = (read(x) if isinstance(x, str) else x for x in (a, b))
+    branches: list[tuple[int, int, int, int]] = []
+    if a.root != b.root:
+        compared(a.sections, b.sections, branches=branches)
+    return branches
 
 
 def fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint") -> DataFrame:
@@ -123,32 +211,54 @@ def fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint") ->
     @F.pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([x for k in range(0, len(s), DOCS_AT_ONCE) for x in fingerprints(trees(list(s[k : k + DOCS_AT_ONCE])))], dtype=object)
+            yield pd.Series([t.text() for k in range(0, len(s), DOCS_AT_ONCE) for t in trees(list(s[k : k + DOCS_AT_ONCE]))], dtype=object)
 
     return df.withColumn(into, of(F.col(text)))
 
 
+def bounds(rows: DataFrame, parts: int) -> np.ndarray:
+    """Where each part but the first begins, as sorted bytes of place(): at quantiles of ids; ids and texts with more than a part's
+    share of rows (so fewer than there are parts) are divided by text hash and by lot."""
+    ids = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
+    out = {place(i) for i in ids}
+    least = max(2, rows.count() // parts)
+    for r in rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > least).collect():
+        steps = -(-r["n"] // least)
+        out |= {place(r["id"]), place(r["id"] - 1) if r["id"] > LEAST_ID else place(r["id"], "g")} | {place(r["id"], f"{k * 65536 // steps:04x}") for k in range(1, steps)}
+    for r in rows.groupBy("id", "hash").agg(F.count("*").alias("n")).where(F.col("n") > least).collect():
+        steps = -(-r["n"] // least)
+        out |= {place(r["id"], r["hash"]), place(r["id"], r["hash"] + "~")} | {place(r["id"], r["hash"], f"{k * 65536 // steps:04x}") for k in range(1, steps)}
+    return np.array(sorted(out), "S52")
+
+
+def place(key: int, text_hash: str = "", lot: str = "") -> bytes:
+    """Bytes in the order of rows: descending ids, then text hashes, then the lot."""
+    return f"{(1 << 63) - 1 - key:016x}{text_hash:32}{lot}".encode()
+
+
 def with_next(df: DataFrame) -> DataFrame:
     """Rows (part, last, doc_id, text) in partitions sorted by part, then last, then descending doc_id. A part is a range of
-    ids, and ends with a row (last true) that repeats the first row of the part after it, or of all after the last one."""
+    places, and ends with a row (last true) that repeats the first row of the part after it, or of all after the last one."""
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"))
-    found = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0]
-    bounds = np.unique(np.array(found or [], np.int64))
+    text = F.coalesce("text", F.lit(""))
+    rows = df.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), F.md5(text.cast("binary")).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
+    begins = bounds(rows.select("id", "hash"), 4 * tasks)  # some parts for each task, so that tasks are even
 
     @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series((len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64))).astype(np.int32))
+    def part(ids: pd.Series, hashes: pd.Series, numbers: pd.Series) -> pd.Series:
+        lots = mix(numbers.to_numpy(np.int64).view(np.uint64)) >> np.uint64(48)
+        own = np.array([place(i, h, f"{k:04x}") for i, h, k in zip(ids.tolist(), hashes.tolist(), lots.tolist(), strict=True)], "S52")
+        return pd.Series(np.searchsorted(begins, own, "right").astype(np.int32))
 
-    ids = rows.select("id").withColumn("part", part("id"))
-    firsts = sorted((r["part"], r["first"]) for r in ids.groupBy("part").agg(F.max("id").alias("first")).collect())  # a row for each part
-    links = [(before[0], after[1]) for before, after in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)]
-    ends = F.broadcast(spark.createDataFrame(links, "part int, id long"))
-    repeated = rows.join(ends, "id").groupBy("part").agg(F.min_by(F.struct("doc_id", "text", "id"), F.md5(F.col("text").cast("binary"))).alias("r")).select("part", F.lit(True).alias("last"), "r.*")
-    all_rows = rows.withColumn("part", part("id")).withColumn("last", F.lit(False))
-    dealt = all_rows.select("part", "last", "doc_id", "text", "id").unionByName(repeated.select("part", "last", "doc_id", "text", "id")).repartition(parts, "part")
-    return dealt.sortWithinPartitions("part", "last", F.desc("id"), F.md5(F.col("text").cast("binary"))).drop("id")
+    dealt = rows.withColumn("part", part("id", "hash", "row")).drop("row")
+    ordered = F.struct((-F.col("id").cast("decimal(20,0)")).alias("down"), "hash", "id")
+    firsts = sorted((r["part"], r["first"]["id"], r["first"]["hash"]) for r in dealt.groupBy("part").agg(F.min(ordered).alias("first")).collect())  # a row for each part
+    links = [(before[0], *after[1:]) for before, after in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)]
+    ends = F.broadcast(spark.createDataFrame(links, "to int, id long, hash string"))
+    repeated = rows.join(ends, ["id", "hash"]).groupBy("to").agg(F.first(F.struct("doc_id", "text", "id", "hash")).alias("r")).select(F.col("to").alias("part"), F.lit(True).alias("last"), "r.*")
+    dealt = dealt.withColumn("last", F.lit(False)).select("part", "last", "doc_id", "text", "id", "hash").unionByName(repeated).repartition(tasks, "part")
+    return dealt.sortWithinPartitions("part", "last", F.desc("id"), "hash").drop("id", "hash")
 
 
 def compare_with_edit(df: DataFrame) -> DataFrame:
@@ -159,21 +269,23 @@ def compare_with_edit(df: DataFrame) -> DataFrame:
         for b in batches:
             rows = rest + list(zip(b["part"], b["last"], b["doc_id"], b["text"], strict=True))
             for k in range(0, len(rows) - 1, DOCS_AT_ONCE):
-                yield compared(rows[k : k + DOCS_AT_ONCE + 1])
+                yield edited_and_next(rows[k : k + DOCS_AT_ONCE + 1])
             rest = rows[-1:]
 
-    def compared(rows: list[tuple]) -> pd.DataFrame:
+    def edited_and_next(rows: list[tuple]) -> pd.DataFrame:
         """Of all rows but the last one, each with the row after it."""
-        own = np.array([i for i, r in enumerate(rows[:-1]) if not r[1]], np.int64)
+        own = [i for i, r in enumerate(rows[:-1]) if not r[1]]
         texts = [r[3] for r in rows]
         edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in own]
         t, e = trees(texts), trees(edited)
-        out = pd.DataFrame({"doc_id": [rows[i][2] for i in own], "n_chars": [len(texts[i]) for i in own]}, dtype=object)
-        out["edited_sha256"] = [hashlib.sha256(x.encode("utf-8", "replace")).hexdigest() for x in edited]
-        prints = fingerprints(t)
-        out["fingerprint"], out["edited_fingerprint"] = [prints[i] for i in own], fingerprints(e)
-        out["near_edited"], out["near_next"] = likenesses(t, own, e, np.arange(len(own))), likenesses(t, own, t, own + 1)
-        return out
+        return pd.DataFrame(
+            [
+                (rows[i][2], len(texts[i]), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), t[i].text(), x.text(), likeness(t[i], x), likeness(t[i], t[i + 1]))
+                for i, new, x in zip(own, edited, e, strict=True)
+            ],
+            columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            dtype=object,
+        )
 
     kind = df.schema["doc_id"].dataType.simpleString()
     return with_next(df).mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

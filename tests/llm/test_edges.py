@@ -142,10 +142,70 @@ def test_merkle(docs, nothing):
     assert got == want and merkle.compare_with_edit(nothing).count() == 0
 
 
+def brute_common(a, b):
+    """Spans in common of two trees by longest common subsequences (quadratic) of sections, of paragraphs between these, of spans between those."""
+
+    def lcs(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i in range(len(x) - 1, -1, -1):
+            for j in range(len(y) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(x) and j < len(y):
+            if x[i] == y[j]:
+                yield i, j
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+
+    def go(x, y, level):
+        names = [v if level == 2 else v.node for v in x], [v if level == 2 else v.node for v in y]
+        total = i = j = 0
+        for p, q in [*lcs(*names), (len(x), len(y))]:
+            if level < 2:
+                below = lambda run: [c for v in run for c in (v.paragraphs if level == 0 else v.spans)]
+                total += go(below(x[i:p]), below(y[j:q]), level + 1)
+                total += x[p].size if p < len(x) else 0
+            else:
+                total += p < len(x)
+            i, j = p + 1, q + 1
+        return total
+
+    return go(list(a.sections), list(b.sections), 0)
+
+
 def test_merkle_branches():
-    a, b, c, empty = merkle.fingerprints(merkle.trees(["one two three\nfour five six\nseven eight", "one two three\nfour FIVE six\nseven eight", "one two three\nfour five six\nseven eight", ""]))
-    assert a == c and a != b and merkle.likeness(a, c) == 1.0 and 0 < merkle.likeness(a, b) < 1 and merkle.likeness(a, empty) == 0
-    assert merkle.edits(a, b) == [(1, 2, 1, 2)] and merkle.edits(a, c) == []
+    a, b, c, empty = merkle.trees(["one two three\nfour five six\nseven eight", "one two three\nfour FIVE six\nseven eight", "one two three\nfour five six\nseven eight", ""])
+    assert a.text() == c.text() and a.root != b.root and merkle.likeness(a, c) == 1.0 and 0 < merkle.likeness(a, b) < 1 and merkle.likeness(a, empty) == 0
+    assert merkle.edits(a.text(), b.text()) == [(1, 2, 1, 2)] and merkle.edits(a, c) == []
+    assert all(merkle.read(t.text()) == t for t in (a, b, empty))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_merkle_likeness_and_located_edits(seed):
+    old = [" ".join(f"w{seed}_{k}_{j}" for j in range(4 + (7 * k + seed) % 30)) for k in range(60)]
+    new = list(old)
+    new[10 + seed] = "another paragraph"
+    new[40:43] = ["one for three", "and another"]
+    new.insert(55, "put in")
+    a, b = merkle.trees(["\n".join(old), "\n".join(new)])
+    assert merkle.edits(a, b) == [(10 + seed, 11 + seed, 10 + seed, 11 + seed), (40, 43, 40, 42), (56, 56, 55, 56)]
+    assert merkle.likeness(a, b) == merkle.likeness(a.text(), b.text()) == 2 * brute_common(a, b) / (a.size + b.size)
+    moved = merkle.trees(["\n".join(old[30:] + old[:30])])[0]
+    assert moved.root != a.root and merkle.likeness(a, moved) < 0.8
+
+
+def test_merkle_where_ids_and_texts_are_shared(spark):
+    rows = [(7, "a copied text of some words")] * 40 + [(7, f"text {i} of one id") for i in range(30)] + [(None, f"no id {i}") for i in range(25)] + [(i, f"own {i}\nline") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))
+    want = Counter()
+    for (key, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        want[key, len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest(), round(merkle.likeness(*merkle.trees([text, after])), 9)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_next"], 9)) for r in merkle.compare_with_edit(df).collect()) == want
 
 
 @pytest.mark.parametrize("copies", [3, 40])
@@ -258,3 +318,25 @@ def test_lines_of_a_very_long_text(spark):
     df = spark.createDataFrame([(0, body, "s0"), *((i, f"Footer\nown {i}", f"s{i}") for i in range(1, 7)), (1, "Footer\nown 1", "s1")], "doc_id long, text string, source string")
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in lines.remove_boilerplate(df).collect()}
     assert got == {0: ("\n".join(f"line {i}" for i in range(20_000)), 20_000)} | {i: (f"own {i}", 1) for i in range(1, 7)}
+
+
+def test_substring_index_counts_as_plain_search():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    parts = [rng.zipf(1.4, 90) % 40 + 1 for _ in range(6)]
+    parts.append(parts[0][20:80])
+    text = np.concatenate([[0], *(np.append(p, 0) for p in parts)]).astype(np.int64)
+    index = substrings.FmIndex(text, 12)
+    for _ in range(200):
+        at, n = int(rng.integers(1, len(text) - 13)), int(rng.integers(1, 12))
+        pattern = text[at : at + n]
+        if (pattern == 0).any():
+            continue
+        low, high = np.array([0]), np.array([index.size])
+        for letter in pattern[::-1]:
+            low, high = index.extend(np.array([letter]), low, high)
+        assert high[0] - low[0] == sum((text[i : i + n] == pattern).all() for i in range(len(text) - n + 1))
+    counts = np.bincount(text)
+    share = counts[counts > 0] / len(text)
+    assert (counts * index.tree.length).sum() / len(text) < min(-(share * np.log2(share)).sum() + 1, np.log2(len(counts)))
