@@ -9,9 +9,10 @@ with one anchor are a unit of text. Units of an anchor go to the shard of the an
 it, each window is a unit and goes to the shard of its own hash. Equal units are added up where they are made, so that a
 shard gets each once from a task, however often it stands in the texts.
 
-A shard keeps its units in an FM-index: the Burrows-Wheeler transform in a wavelet matrix of bit vectors with counts for
-each 64 bits. Units are streamed against it: backward search from a window's end takes in words as long as what
-is matched occurs twice. Where it stops, no window that starts up to there can be repeated, so the search goes on behind.
+A shard keeps its units in an FM-index: the Burrows-Wheeler transform in a wavelet tree shaped by Huffman's codes, so that a word
+takes about as many bits as its frequency says, in bit vectors with counts for each 64 bits. A unit that stands in the texts
+more than once is in it twice. Units are streamed against it: backward search from a window's end takes in words as long as
+what is matched occurs twice. Where it stops, no window that starts up to there can be repeated, so the search goes on behind.
 The first and the last repeated window of a unit give its interval, for windows of a unit overlap. Intervals of all units
 of a text are joined with it again by its hash, and their words removed.
 
@@ -34,6 +35,7 @@ from flowlens.llm._spark import cut
 from flowlens.llm._text import Words, inside, mix, powers, windows, words
 
 SIZE, GRAM, HOT = 35, 8, 2000
+SHARD_WORDS = 4 << 20
 
 
 def sequence_ids(key: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -67,24 +69,19 @@ def anchors(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return doc, gram[best[start]], start - w.at[doc], stop - w.at[doc]
 
 
-def text_ids(texts: pd.Series) -> pd.Series:
-    """doc of bases(): hash of the words of each text."""
-    return pd.Series(np.concatenate([np.zeros(0, np.int64), *(sequence_ids(w.key, w.at) for w in words(list(texts)))]))
-
-
 def bases(df: DataFrame) -> DataFrame:
-    """doc_id, doc (hash of the words), n_words and digest of all words of each row."""
+    """doc_id, hash (of the text), doc (hash of its words), n_words and digest of all words of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for w in words(list(b["text"])):
                 raw = w.buf.tobytes()
                 digest = [hashlib.sha256(b" ".join(raw[i:j].split())).hexdigest() for i, j in zip(w.begin[:-1], w.begin[1:], strict=True)]
-                own = b["doc_id"].iloc[w.first : w.first + w.n].to_numpy()
-                yield pd.DataFrame({"doc_id": own, "doc": sequence_ids(w.key, w.at), "n_words": np.diff(w.at), "digest": digest})
+                own = b.iloc[w.first : w.first + w.n]
+                yield pd.DataFrame({"doc_id": own["doc_id"].to_numpy(), "hash": own["hash"].to_numpy(), "doc": sequence_ids(w.key, w.at), "n_words": np.diff(w.at), "digest": digest})
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    return df.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, doc long, n_words long, digest string")
+    return df.select("doc_id", F.md5(F.col("text").cast("binary")).alias("hash"), "text").mapInPandas(run, f"doc_id {kind}, hash string, doc long, n_words long, digest string")
 
 
 def anchored(df: DataFrame, size: int) -> DataFrame:
@@ -130,7 +127,6 @@ class Bits:
         packed = np.packbits(bits, bitorder="little")
         self.word = np.concatenate([packed, np.zeros(16 - len(packed) % 8, np.uint8)]).view(np.uint64)
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.word))[:-1]]).astype(np.int32)
-        self.zeros = int(len(bits) - bits.sum())
 
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Ones before place i."""
@@ -139,23 +135,90 @@ class Bits:
         return self.before[block] + np.bitwise_count(self.word[block] & mask)
 
 
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Bits of each letter in Huffman's code; 0: the letter doesn't occur. Two queues, of letters by count and of joined ones."""
+    own = np.flatnonzero(counts)
+    own = own[np.argsort(counts[own], kind="stable")]
+    n, out = len(own), np.zeros(len(counts), np.int64)
+    if n < 2:
+        out[own] = 1
+        return out
+    weight, parent, leaf, joined = counts[own].tolist(), [0] * (2 * n - 1), 0, n
+    for new in range(n, 2 * n - 1):
+        total = 0
+        for _ in range(2):
+            if leaf < n and (joined >= new or weight[leaf] <= weight[joined]):
+                at, leaf = leaf, leaf + 1
+            else:
+                at, joined = joined, joined + 1
+            total += weight[at]
+            parent[at] = new
+        weight.append(total)
+    depth = [0] * (2 * n - 1)
+    for at in range(2 * n - 3, -1, -1):
+        depth[at] = depth[parent[at]] + 1
+    out[own] = depth[:n]
+    return out
+
+
+class WaveletTree:
+    """How often a letter occurs before a place: a level of bits for each bit of the letters' codes, its nodes side by side."""
+
+    def __init__(self, text: np.ndarray, letters: int):
+        self.length = code_lengths(np.bincount(text, minlength=letters))
+        self.code = np.zeros(letters, np.int64)
+        order = np.lexsort((np.arange(letters), self.length))
+        order, code, last = order[self.length[order] > 0], 0, 0
+        for letter, n in zip(order.tolist(), self.length[order].tolist(), strict=True):  # canonical: shorter ones first
+            code <<= n - last
+            self.code[letter], last = code, n
+            code += 1
+        self.levels, self.start, self.ones_before = [], [], []
+        for level in range(int(self.length.max(initial=0))):
+            left = self.length[text] - level
+            node, bits = self.code[text] >> left, (self.code[text] >> (left - 1)) & 1
+            own = Bits(bits.astype(bool))
+            alive = self.length > level
+            start = np.zeros(letters, np.int64)
+            start[alive] = np.searchsorted(node, self.code[alive] >> (self.length[alive] - level))
+            self.levels.append(own)
+            self.start.append(start)
+            self.ones_before.append(own.ones(start))
+            ones = np.cumsum(bits) - bits
+            opens = np.concatenate([[True], node[1:] != node[:-1]])
+            begin = np.maximum.accumulate(np.where(opens, np.arange(len(text)), 0))
+            ends = np.append(np.flatnonzero(opens)[1:], len(text))[np.cumsum(opens) - 1]
+            one_rank = ones - ones[begin]
+            zeros = (ends - begin) - (np.append(ones, ones[-1] + bits[-1])[ends] - ones[begin])
+            place = begin + np.where(bits == 1, zeros + one_rank, np.arange(len(text)) - begin - one_rank)
+            following = np.empty_like(text)
+            following[place] = text
+            text = following[self.length[following] > level + 1]
+
+    def count(self, letter: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How often each letter occurs before place i."""
+        length, code, out = self.length[letter], self.code[letter], i.copy()
+        live = np.arange(len(letter))
+        for level, (bits, start, before) in enumerate(zip(self.levels, self.start, self.ones_before, strict=True)):
+            live = live[length[live] > level]
+            if not len(live):
+                break
+            own, at = letter[live], out[live]
+            ones = bits.ones(start[own] + at) - before[own]
+            out[live] = np.where((code[live] >> (length[live] - 1 - level)) & 1, ones, at - ones)
+        return out
+
+
 class FmIndex:
     """Counts of word sequences of at most `depth` words in texts, by backward search."""
 
     def __init__(self, text: np.ndarray, depth: int):
         """text: numbers from 1, with 0 between texts and at the end."""
-        self.letters = int(text.max(initial=0)) + 1
-        self.levels = max(1, int(self.letters - 1).bit_length())
+        letters = int(text.max(initial=0)) + 1
         last = text[self._sorted(text, depth) - 1]  # what stands before each suffix
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=self.letters))]).astype(np.int64)
-        self.matrix = []
-        for level in range(self.levels - 1, -1, -1):
-            bits = ((last >> level) & 1).astype(bool)
-            self.matrix.append(Bits(bits))
-            last = np.concatenate([last[~bits], last[bits]])
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=letters))]).astype(np.int64)
+        self.tree = WaveletTree(last, letters)
         self.size = len(text)
-        letter = np.arange(self.letters)
-        self.shift = self.first[:-1] - self._down(letter, np.zeros(self.letters, np.int64))
 
     @staticmethod
     def _sorted(text: np.ndarray, depth: int) -> np.ndarray:
@@ -172,16 +235,10 @@ class FmIndex:
             if width >= depth + 1 or fresh[-1] == len(text) - 1:
                 return order
 
-    def _down(self, letter: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for level, bits in zip(range(self.levels - 1, -1, -1), self.matrix, strict=True):
-            ones = bits.ones(i)
-            i = np.where((letter >> level) & 1, bits.zeros + ones, i - ones)
-        return i
-
     def extend(self, letter: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes that begin with the letter and then with what those from low to high begin with."""
-        shift = self.shift[letter]
-        return self._down(letter, low) + shift, self._down(letter, high) + shift
+        both = self.tree.count(np.concatenate([letter, letter]), np.concatenate([low, high])) + np.tile(self.first[letter], 2)
+        return both[: len(low)], both[len(low) :]
 
 
 def repeated(index: FmIndex, text: np.ndarray, begin: np.ndarray, windows_of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,31 +272,31 @@ def judged(unit: np.ndarray, copies: np.ndarray, parts: list[np.ndarray], size:
     """Of one shard's units: the first and last repeated window of those that have any."""
     _, one, where = np.unique(unit, return_index=True, return_inverse=True)
     total = np.bincount(where, copies).astype(np.int64)
-    parts = [parts[i] for i in one]
+    twice = np.minimum(total, 2)  # once more is enough to be found again
+    parts = [parts[i] for i, k in zip(one.tolist(), twice.tolist(), strict=True) for _ in range(k)]
     n = np.array([len(p) for p in parts])
     text = np.zeros(n.sum() + len(n) + 1, np.int64)
     begin = 1 + np.cumsum(n + 1) - (n + 1)
     places = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
     text[places] = np.unique(np.concatenate(parts), return_inverse=True)[1] + 1
-    count = n - size + 1
-    first, last = np.where(total > 1, 0, -1), np.where(total > 1, count - 1, -1)
-    once = np.flatnonzero(total == 1)
-    if len(once):
-        first[once], last[once] = repeated(FmIndex(text, size), text, begin[once], count[once], size)
+    own = np.cumsum(twice) - twice
+    first, last = repeated(FmIndex(text, size), text, begin[own], n[own] - size + 1, size)
     hit = first >= 0
     return pd.DataFrame({"unit": unit[one][hit], "from": first[hit].astype(np.int32), "to": last[hit].astype(np.int32)})
 
 
 def removals(df: DataFrame, base: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFrame:
     """doc, n_removed and kept (text) of texts that lose words."""
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     places = cut(anchored(df, size))
     counts = cut(places.groupBy("anchor").agg(F.count("*").alias("places")).where("places > 1"))
     near = places.join(counts, "anchor").groupBy("doc").agg(F.collect_set(F.struct("first", "last", "anchor", "places")).alias("units"))
-    heads = base.where(F.col("n_words") >= size).groupBy("doc").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
-    wanted = cut(near.join(heads, "doc"))
-    own = df.select("doc_id", "text", F.pandas_udf(text_ids, "long")("text").alias("own"))  # other texts can have the head's id, and its row can be repeated
-    texts = own.join(wanted, (F.col("own") == F.col("doc")) & F.col("doc_id").eqNullSafe(F.col("head"))).dropDuplicates(["doc"])
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash"))
+    heads = base.where(F.col("n_words") >= size).groupBy("doc").agg(head.alias("head"), F.count("*").alias("copies"))
+    wanted = cut(near.join(heads, "doc").select("doc", "units", "copies", F.col("head.doc_id").alias("head_id"), F.col("head.hash").alias("hash")))
+    volume = F.sum(F.aggregate("units", F.lit(0).cast("long"), lambda n, u: n + u["last"] - u["first"] + size))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1, (wanted.agg(volume).first()[0] or 0) // SHARD_WORDS)
+    own = df.select("doc_id", "text", F.md5(F.col("text").cast("binary")).alias("hash"))  # other texts can have the head's id, and its row can be repeated
+    texts = own.join(wanted, (own["hash"] == wanted["hash"]) & F.col("doc_id").eqNullSafe(F.col("head_id"))).dropDuplicates(["doc"])
     found = cut(texts.select("doc", "text", "copies", *(F.col(f"units.{c}").alias(c) for c in ("first", "last", "anchor", "places"))))
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
