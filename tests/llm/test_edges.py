@@ -1,10 +1,13 @@
 """Every operator over nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names, against plain code."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -93,22 +96,65 @@ def test_perplexity_has_a_model_and_a_band_of_every_language(spark):
             assert r == got[r["doc_id"]]
 
 
-def test_perplexity_tells_letters_of_every_plane_apart():
-    kinds = [[int(c) & 31 for _, _, _, code in perplexity.grams([text]) for c in code] for text in ("\U0001e922\U0001e923\U0001e924", "\u0434\u0440\u0443", "\u0414\u0440\u0443")]
-    assert len(set(kinds[0][:3])) == 3 and kinds[1] == kinds[2]
-
-
-def test_perplexity_sums_to_one_and_repeats_count():
-    import numpy as np
-    import pandas as pd
-
-    codes = Counter(int(c) for _, _, _, code in perplexity.grams(["der hund und die katze", "ABC 12!", "", None]) for c in code)
-    model = perplexity.kneser_ney(pd.DataFrame({"model": 0, "gram": list(codes), "n": list(codes.values())}))
+def test_perplexity_tells_all_characters_apart():
+    texts = ["\U0001e922\U0001e923\U0001e924", "\u0434\u0440\u0443", "\u0414\u0440\u0443", "\u6f22\u5b57", "123", "456", "ab  \n c", "ab c"]
+    found = [[tuple(int(x) for x in code[doc == d]) for d in range(n)] for _, n, doc, code in perplexity.grams(texts)][0]
+    assert len(set(found)) == len(texts) - 1 and found[-1] == found[-2] and found[3][0] == 0x6F22 and found[7][3] == 0x0061_0062_0020_0063
+
+
+def plain_kneser_ney(texts, order=4, kinds=1 << 16):
+    """Probability of a unit after a context of order - 1 units, by dictionaries: modified Kneser-Ney as a text book has it."""
+    runs = [[0] * (order - 1) + list(np.frombuffer((" ".join(t.split()) + " ").encode("utf-16-le"), np.uint16).tolist()) for t in texts]
+    counts = {order: Counter(tuple(r[i : i + order]) for r in runs for i in range(len(r) - order + 1))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    taken = {n: perplexity.discounts(np.array(list(c.values()))) for n, c in counts.items()}
+
+    def chance(gram):
+        n = len(gram)
+        if not n:
+            return 1.0 / kinds
+        beside = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        if not beside:
+            return chance(gram[1:])
+        total, off = sum(beside.values()), taken[n]
+        own = beside.get(gram, 0)
+        return (own - off[min(own, 3)] + sum(off[min(c, 3)] for c in beside.values()) * chance(gram[1:])) / total
+
+    return chance
+
+
+def test_perplexity_equals_plain_counting(spark):
+    texts = ["der hund und die katze", "die katze und der hund bellt", "ABC 12!", "\u6f22\u5b57 \u6f22"]
+    codes = Counter(int(c) for _, _, _, code in perplexity.grams([*texts, "", None]) for c in code)
+    model = perplexity.kneser_ney(pd.DataFrame({"model": 0, "gram": np.array(list(codes), np.uint64).view(np.int64), "n": list(codes.values())}))
+    chance = plain_kneser_ney(texts)
+    for code in [*codes, 0x0064_0065_0072_0078, 0x0078_0078_0078_0064, 0x0020_0064_0065_006E]:
+        gram = tuple(code >> s & 0xFFFF for s in (48, 32, 16, 0))
+        assert abs(np.exp(model.log_probability(0, np.array([code], np.uint64)))[0] - chance(gram)) < 1e-12
     for context in (0, int(next(iter(codes))) >> perplexity.BITS, 12345):
-        assert abs(np.exp(model.log_probability(0, (context << 5) + np.arange(32))).sum() - 1) < 1e-9
+        assert abs(np.exp(model.log_probability(0, np.uint64(context << 16) + np.arange(1 << 16, dtype=np.uint64))).sum() - 1) < 1e-9
     assert perplexity.base_counts(["a b c a b c\n\nx #\nx #"]).tolist() == [[10, 10, 2, 1, 6]]
 
 
+def test_perplexity_bands(spark):
+    """perplexity, low, high and kept of every row, from the plain model and the definition of the band."""
+    rows = [(i, prose(55 + i, i), "en" if i % 3 else "de") for i in range(24)] + [(100, "zq " * 60 + prose(50, 3), "en"), (101, "short", "de"), (102, None, "de")]
+    got = {r["doc_id"]: r for r in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rarest=0.0).collect()}
+    assert len(got) == len(rows)
+    for lang in ("en", "de"):
+        own = [r for r in rows if r[2] == lang]
+        codes = Counter(int(c) for _, _, _, code in perplexity.grams([r[1] for r in own]) for c in code)
+        model = perplexity.kneser_ney(pd.DataFrame({"model": 0, "gram": np.array(list(codes), np.uint64).view(np.int64), "n": list(codes.values())}))
+        logs = {key: -float(np.mean(model.log_probability(0, code))) if words(text) else 0.0 for key, text, _ in own for _, _, _, code in perplexity.grams([text])}
+        low, high = np.percentile([round(logs[key], 3) for key, *_ in own if not got[key]["base_failed"]], [25, 75])
+        width = 3 * max(high - low, 0.02)
+        for key, *_ in own:
+            r = got[key]
+            assert abs(math.log(r["perplexity"]) - logs[key]) < 1e-9 and abs(math.log(r["low"]) - (low - width)) < 1e-9 and abs(math.log(r["high"]) - (high + width)) < 1e-9
+            assert r["kept"] == (not r["base_failed"] and low - width <= logs[key] <= high + width)
+
+
 def test_lines(spark, nothing):
     rows = [(i, f"All rights are reserved.\nown line number {i} here\nand one more line {i}", f"s{i % 8}") for i in range(40)]
     rows += [(50 + i, "first line of a copy\nsecond line of a copy", f"s{i}") for i in range(8)] + [(60, None, "s1"), (61, "", None), (62, "All rights are reserved.", None)]
@@ -321,8 +367,6 @@ def test_lines_of_a_very_long_text(spark):
 
 
 def test_substring_index_counts_as_plain_search():
-    import numpy as np
-
     rng = np.random.default_rng(5)
     parts = [rng.zipf(1.4, 90) % 40 + 1 for _ in range(6)]
     parts.append(parts[0][20:80])
