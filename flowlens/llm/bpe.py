@@ -53,10 +53,13 @@ class Pieces(dict):
 
 
 class ForcedBoundaryBpe:
-    """A byte-level vocabulary with merges, read from the JSON text of a tokenizer file."""
+    """A byte-level vocabulary with merges, read from the JSON text of a tokenizer file; another kind of file is an error."""
 
     def __init__(self, source: str, kept_pieces: int = 300_000):
         spec = json.loads(source)
+        before = spec.get("pre_tokenizer") or {}
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer") or spec["model"].get("dropout"):
+            raise ValueError("not a byte-level vocabulary that this splits as its file says")
         letters = byte_letters()
         vocab = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +54,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # where it is missing, this query fails and the others don't
+
     vocabulary = bpe.read_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary)
 
