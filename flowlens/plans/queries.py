@@ -21,11 +21,12 @@ def _p(spark: SparkSession, d: str) -> DataFrame:
     return flows.with_flow(packets(spark, d))
 
 
-def _raised(detector: str, *proof: str):
-    """Rows of a detector with some fields of its proof as columns."""
+def _raised(detector, *proof: str):
+    """Rows of a detector, or of the one of this name, with some fields of its proof as columns."""
+    detect = detectors.DETECTORS[detector] if isinstance(detector, str) else detector
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        rows = detectors.DETECTORS[detector](packets(spark, d), CFG)
+        rows = detect(packets(spark, d), CFG)
         fields = [F.array_join(f"proof.{p}", ",").alias(p) if dict(rows.select("proof.*").dtypes)[p].startswith("array") else F.col(f"proof.{p}").alias(p) for p in proof]
         return rows.select("rule_id", F.col("key").alias("alert_key"), "severity", "source_ip", "target_ip", "source_port", "target_port", "ts_us", "flow_id", F.col("seq").cast("long").alias("seq"), "packet_count", *fields)
 
@@ -229,7 +230,7 @@ QUERIES = {
     "file_magic": _raised("file_magic", "detected_file_type", "magic_bytes_hex", "payload_offset"),
     "smb_audit": _raised("smb_audit", "resource", "smb_port"),
     "cleartext_credentials": _raised("credentials", "extracted_user", "protocol"),
-    "beacon_whole_flow": _raised("beacon", "sample_count_N", "cov_calculated", "mad_ratio_calculated"),
+    "beacon_whole_flow": _raised(detectors.beacon, "sample_count_N", "cov_calculated", "mad_ratio_calculated"),
 }
 
 # DuckDB SQL -----------------------------------------------------------------------------------------------------------

@@ -196,7 +196,7 @@ def client_hello(payload: bytes) -> dict | None:
 
 
 def rows(name: str, found: Iterator[tuple]) -> Iterator[tuple]:
-    """Rows of schemas.PACKETS from records; numbers run over records that could be decoded."""
+    """Rows of schemas.PACKETS from records that can be decoded; numbers run over all records."""
     for seq, ts, offset, caplen, wirelen, link, frame in found:
         if (p := decode(frame, link)) is not None:
             yield tuple((p | {"capture_id": name, "seq": seq, "ts_us": ts, "file_offset": offset, "caplen": caplen, "wirelen": wirelen})[c] for c in COLUMNS)

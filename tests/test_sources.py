@@ -3,7 +3,7 @@ import struct
 import pytest
 
 from flowlens.plans import triage as T
-from flowlens.sources import carve, history, pcap, rules
+from flowlens.sources import carve, history, pcap, ranges, rules
 from flowlens.streaming import detect
 
 
@@ -111,3 +111,23 @@ def test_rules():
     assert rules.parse("- 1\n- b") == {"items": [1, "b"]} and rules.parse("") == {}
     with pytest.raises(rules.RulesError, match="line 3"):
         rules.parse("a: 1\nb: 2\nnonsense")
+
+
+def test_ranges_give_what_whole_files_give(spark, tmp_path):
+    """Small ranges, a capture inside a packet, records longer than a range, interface blocks on the way, tails that are cut off."""
+    udp = lambda n, body: eth(0x0800, ip4(17, struct.pack(">HHHH", 1000 + n, 8080, 8 + len(body), 0) + body))
+    inner = classic([FRAME] * 30)
+    frames = [udp(i, b"x" * (i * 7 % 90)) for i in range(120)] + [udp(500, inner), b"none", udp(501, b"y" * 3000)] + [udp(600 + i, b"z") for i in range(40)]
+    (tmp_path / "in").mkdir()
+    for k, form in enumerate(FORMS):
+        (tmp_path / "in" / f"{k}.pcap").write_bytes(classic(frames, form) + b"\0" * (9 * k))
+    for k, order in enumerate("<>"):
+        section = b"\x0a\x0d\x0d\x0a" + struct.pack(order + "I", 28) + struct.pack(order + "I", 0x1A2B3C4D) + struct.pack(order + "HHq", 1, 0, -1) + struct.pack(order + "I", 28)
+        face = lambda link: block(1, struct.pack(order + "HHI", link, 0, 0), order)  # noqa: B023, E731
+        packet = lambda f, i: block(6, struct.pack(order + "IIIII", i % 2, 0, 10**9 + i, len(f), len(f)) + f, order)  # noqa: B023, E731
+        data = section + face(1) + b"".join(packet(f, 2 * i) for i, f in enumerate(frames)) + face(101) + b"".join(packet(f[14:] if i % 2 else f, i) for i, f in enumerate(frames))
+        (tmp_path / "in" / f"n{k}.pcapng").write_bytes(data + section + face(101) + b"".join(packet(f[14:], 2 * i) for i, f in enumerate(frames)) + b"\0" * 30)
+    path = str(tmp_path / "in")
+    columns = ["capture_id", "seq", "ts_us", "file_offset", "caplen", "src_ip", "src_port", "payload"]
+    want = sorted(pcap.read_captures(spark, path).select(columns).collect())
+    assert len(want) > 1500 and sorted(ranges.read_ranges(spark, path, 1500).select(columns).collect()) == want
