@@ -1,12 +1,15 @@
-"""python -m flowlens CAPTURE [--rules FILE] [--json FOLDER] [--stix FOLDER] [--html FILE]"""
+"""python -m flowlens CAPTURE [--rules FILE] [--capacity N] [--json FOLDER] [--stix FOLDER] [--html FILE] [--carve-all FOLDER] [--version]"""
 
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
+from flowlens import VERSION
+from flowlens.operators import flows
 from flowlens.plans import triage as T
 from flowlens.sources import rules
 
@@ -14,13 +17,18 @@ from flowlens.sources import rules
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser("flowlens")
     parser.add_argument("capture")
-    for name in ("--rules", "--json", "--stix", "--html"):
+    for name in ("--rules", "--json", "--stix", "--html", "--carve-all"):
         parser.add_argument(name)
+    parser.add_argument("--capacity", type=int, help="also count the flows that a flow table of this capacity would open")
+    parser.add_argument("--version", action="version", version=f"flowlens {VERSION}")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("flowlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
         run = T.triage_path(spark, a.capture, rules.load(a.rules) if a.rules else None)
         print(T.text_report(run))
+        if a.capacity is not None:
+            opened = flows.instances(run.packets, a.capacity).select("capture_id", "flow_id", "flow_instance").distinct().count()
+            print(f"\nFLOWS OPENED by a table of {a.capacity}: {opened}")
     except Exception as e:  # noqa: BLE001
         print(f"error: {e}", file=sys.stderr)
         return 1
@@ -31,6 +39,11 @@ def main(argv: list[str] | None = None) -> int:
     if a.html:
         with open(a.html, "w", encoding="utf-8") as f:
             f.write(T.html_report(run))
+    if a.carve_all:
+        os.makedirs(a.carve_all, exist_ok=True)
+        for row in T.carved(spark, run).toLocalIterator():  # one alert's capture after the other
+            with open(os.path.join(a.carve_all, f"{row['alert_id']}.pcap"), "wb") as f:
+                f.write(row["capture"])
     return 0
 
 

@@ -10,6 +10,7 @@ from flowlens.functions import net
 from flowlens.operators import alerts as A
 from flowlens.operators import detectors as D
 from flowlens.operators import flows
+from flowlens.operators.combinators import running
 from flowlens.plans import queries
 from flowlens.plans.triage import stix_bundle, text_report, triage
 from pyspark.sql import functions as F
@@ -214,3 +215,10 @@ def test_triage_as_a_whole(spark):
     text = text_report(run, most=1)
     assert "ALERTS" in text and "more, in the JSON output" in text and len(json.loads(stix_bundle(run))["objects"]) == 3 * run.alerts.count()
     run.close()
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_running_sums_by_blocks(spark, block):
+    rows = [{"capture_id": c, "seq": i, "wirelen": i * i, "src_port": i % 2} for c in "ab" for i in range(20)]
+    got = {(r["capture_id"], r["seq"]): (r["n"], r["bytes"]) for r in running(packets(spark, *rows), ["src_port"], {"n": F.lit(1), "bytes": F.col("wirelen")}, block=block).collect()}
+    assert got == {(c, i): (i // 2 + 1, sum(k * k for k in range(i % 2, i + 1, 2))) for c in "ab" for i in range(20)}

@@ -2,6 +2,7 @@ import struct
 
 import pytest
 
+from flowlens.__main__ import main
 from flowlens.plans import triage as T
 from flowlens.sources import carve, history, pcap, ranges, rules
 from flowlens.streaming import detect
@@ -102,7 +103,10 @@ def test_spark_readers_carving_and_triage(spark, tmp_path):
     told.awaitTermination(120)
     batch = run.alerts.where("rule_id = 'RULE-RECON-SWEEP-01'").first()
     assert [tuple(r) for r in spark.table("told").select("key", "seq").collect()] == [("10.0.0.1", batch["seq"])]
-    run.packets.unpersist()
+    run.close()
+    assert main([path, "--carve-all", str(tmp_path / "c"), "--capacity", "3"]) == 0
+    carved = {x.name: [r[6] for r in pcap.records(x.read_bytes())] for x in (tmp_path / "c").iterdir()}
+    assert len(carved) == 1 and [*carved.values()] == [syn[:10]]
 
 
 def test_rules():
