@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.llm import bpe, clusters, conversations, jaccard, lines, merkle, mixing, perplexity, quality, sharding, substrings, toxicity
+from flowlens.llm import bpe, clusters, conversations, jaccard, lines, merkle, mixing, perplexity, quality, setsketch, sharding, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +64,18 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clustered(table(spark, sf_dir, "embeddings"), k=40, rounds=5, size=64)
 
 
+def op12_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.components(table(spark, sf_dir, "documents"), threshold=0.8, shingle=2)
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
 QUERIES = {
     "op1_quality": op1_quality, "op2_jaccard": op2_jaccard, "op3_perplexity": op3_perplexity, "op4_sharding": op4_sharding, "op5_toxicity": op5_toxicity, "op6_lines": op6_lines,
-    "op7_merkle": op7_merkle, "op8_substrings": op8_substrings, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe, "op11_clusters": op11_clusters, "op13_conversations": op13_conversations,
+    "op7_merkle": op7_merkle, "op8_substrings": op8_substrings, "op9_mixing": op9_mixing, "op10_bpe": op10_bpe, "op11_clusters": op11_clusters, "op12_setsketch": op12_setsketch, "op13_conversations": op13_conversations,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_lines": lines.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op11_clusters": clusters.oracle_sql(), "op12_setsketch": setsketch.ORACLE_SQL, "op13_conversations": conversations.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op6_lines": lines.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op11_clusters": clusters.oracle_sql(), "op13_conversations": conversations.ORACLE_SQL}
