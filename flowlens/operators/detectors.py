@@ -8,9 +8,6 @@ packet_count and proof, a struct of the numbers that justify it. Every capture i
 
 from __future__ import annotations
 
-import math
-from bisect import bisect_left, insort
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,17 +15,20 @@ from pyspark.sql import functions as F
 from flowlens import config
 from flowlens.functions import net
 from flowlens.operators import flows
-from flowlens.operators.combinators import at_crossing, first_crossing, first_match, running, smallest, so_far
+from flowlens.operators.beacons import Prefix, interval_stats
+from flowlens.operators.combinators import crossed, first_match, running
+from flowlens.streaming import state
+from flowlens.tables import cut
 
 FLOW = ["capture_id", "flow_id"]
 
 
-def alerts(rows: DataFrame, detector: str, rule: Column | str, key: Column, severity: Column | str, stage: Column | str, protocol: Column | str, proof: list[Column], count: Column | None = None, phase: int = 0, source: Column | None = None, target: Column | None = None, scope: str = "packet", scope_key: str | None = None) -> DataFrame:
+def alerts(rows: DataFrame, detector: str, rule: Column | str, key: Column, severity: Column | str, stage: Column | str, protocol: Column | str, proof: list[Column], count: Column | None = None, phase: Column | int = 0, source: Column | None = None, target: Column | None = None, scope: str = "packet", scope_key: str | None = None) -> DataFrame:
     text = lambda x: F.lit(x) if isinstance(x, str) else x
     return rows.select(
         F.lit(detector).alias("detector"), text(rule).alias("rule_id"), "capture_id", key.alias("key"), text(severity).alias("severity"), text(stage).alias("stage"),
         (F.col("src_ip") if source is None else source).alias("source_ip"), (F.col("dst_ip") if target is None else target).alias("target_ip"),
-        F.col("src_port").alias("source_port"), F.col("dst_port").alias("target_port"), text(protocol).alias("protocol"), "ts_us", "flow_id", "seq", F.lit(phase).alias("phase"),
+        F.col("src_port").alias("source_port"), F.col("dst_port").alias("target_port"), text(protocol).alias("protocol"), "ts_us", "flow_id", "seq", (F.lit(phase) if isinstance(phase, int) else phase).alias("phase"),
         F.lit(scope).alias("scope"), F.col(scope_key or "seq").cast("string").alias("scope_key"), (F.lit(1) if count is None else count).cast("long").alias("packet_count"), F.struct(*proof).alias("proof"),
     )
 
@@ -55,10 +55,8 @@ def subnet_sweep(packets: DataFrame, cfg: dict) -> DataFrame:
     """Sources that try to open connections to many addresses."""
     limit = cfg["sweep"]["sweep_threshold"]
     rows = flows.with_flow(packets).where(scopes(cfg)["sweep"][0])
-    found = first_crossing(rows, "src_ip", ["dst_ip"], limit)
-    seen = so_far(rows, found, "src_ip", [F.count("*").alias("n"), F.countDistinct("dst_ip").alias("targets"), smallest("dst_ip").alias("ips"), smallest("dst_port").alias("ports")])
-    raised = at_crossing(rows, found, "src_ip").join(seen, ["capture_id", "src_ip"])
-    proof = [F.lit("Distinct target addresses").alias("metric"), F.col("src_ip").alias("source_sweeper_host"), F.col("targets").alias("unique_target_ips_count"), F.lit(limit).alias("sweep_threshold"), F.col("ips").alias("sample_target_ips"), F.col("ports").alias("sample_target_ports"), F.lit(True).alias("passed_threshold")]
+    raised = crossed(rows, "src_ip", ["dst_ip"], limit, cfg)
+    proof = [F.lit("Distinct target addresses").alias("metric"), F.col("src_ip").alias("source_sweeper_host"), F.col("targets").alias("unique_target_ips_count"), F.lit(limit).alias("sweep_threshold"), F.slice("ips", 1, 5).alias("sample_target_ips"), F.slice("ports", 1, 5).alias("sample_target_ports"), F.lit(True).alias("passed_threshold")]
     return alerts(raised, "sweep", "RULE-RECON-SWEEP-01", F.col("src_ip"), "HIGH", "Reconnaissance", "IP/Sweep", proof, F.col("n"), scope="sweep", scope_key="src_ip")
 
 
@@ -66,9 +64,7 @@ def syn_scan(packets: DataFrame, cfg: dict) -> DataFrame:
     """Sources whose SYN packets reach many ports."""
     limit = cfg["tcpstate"]["syn_scan_threshold"]
     rows = flows.with_flow(packets).where(scopes(cfg)["scan"][0])
-    found = first_crossing(rows, "src_ip", ["dst_ip", "dst_port"], limit)
-    seen = so_far(rows, found, "src_ip", [F.count("*").alias("n"), F.countDistinct("dst_ip", "dst_port").alias("targets")])
-    raised = at_crossing(rows, found, "src_ip").join(seen, ["capture_id", "src_ip"])
+    raised = crossed(rows, "src_ip", ["dst_ip", "dst_port"], limit, cfg)
     proof = [F.lit("Distinct target ports").alias("metric"), F.col("src_ip").alias("source_host"), F.col("targets").alias("unique_target_ports_count"), F.lit(limit).alias("scan_threshold"), F.lit("SYN without ACK").alias("state_pattern"), F.lit(True).alias("passed_gate")]
     return alerts(raised, "tcpstate", "RULE-TCP-SCAN-01", F.col("src_ip"), "HIGH", "Reconnaissance", "TCP", proof, F.col("n"), scope="scan", scope_key="src_ip")
 
@@ -77,6 +73,7 @@ def flag_anomalies(packets: DataFrame, cfg: dict) -> DataFrame:
     """TCP packets with flags that no handshake has."""
     rows = flows.with_flow(packets).where("protocol = 6").withColumn("anomaly", net.flag_anomaly(F.col("tcp_flags"))).where("anomaly is not null")
     rows = rows.where(F.lit(bool(cfg["tcpstate"]["flag_anomalies_enabled"])))
+    rows = watch.rows(rows, [], None) if (watch := state.watching(cfg)) else rows
     proof = [F.lit("TCP flags").alias("metric"), F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("tcp_flags")), 3, "0")).alias("raw_flags_hex"), net.flag_names(F.col("tcp_flags")).alias("parsed_flag_names"), F.col("anomaly").alias("anomaly_classification")]
     return alerts(rows, "tcpstate", "RULE-TCP-FLAGS-01", F.concat_ws(":", "capture_id", F.col("file_offset").cast("string")), "MEDIUM", "Reconnaissance", "TCP", proof)
 
@@ -85,12 +82,10 @@ def lateral(packets: DataFrame, cfg: dict) -> DataFrame:
     """Internal sources that reach many internal hosts on management ports."""
     own = cfg["lateral"]
     rows = flows.with_flow(packets).where(scopes(cfg)["lateral"][0])
-    found = first_crossing(rows, "src_ip", ["dst_ip", "dst_port"], own["fanout_threshold"])
-    seen = so_far(rows, found, "src_ip", [F.count("*").alias("n"), F.countDistinct("dst_ip", "dst_port").alias("targets"), F.array_sort(F.collect_set("dst_port")).alias("ports"), smallest("dst_ip").alias("ips")])
-    raised = at_crossing(rows, found, "src_ip").join(seen, ["capture_id", "src_ip"])
+    raised = crossed(rows, "src_ip", ["dst_ip", "dst_port"], own["fanout_threshold"], cfg)
     proof = [
         F.lit("Distinct internal targets").alias("metric"), F.col("src_ip").alias("source_internal_host"), F.col("targets").alias("unique_internal_targets_count"), F.lit(own["fanout_threshold"]).alias("fanout_threshold"),
-        F.col("ports").alias("ports_contacted"), F.array(*map(F.lit, own["high_risk_ports"])).alias("high_risk_ports_monitored"), F.col("ips").alias("sample_target_ips"), F.lit(True).alias("passed_threshold"),
+        F.col("ports").alias("ports_contacted"), F.array(*map(F.lit, own["high_risk_ports"])).alias("high_risk_ports_monitored"), F.slice("ips", 1, 5).alias("sample_target_ips"), F.lit(True).alias("passed_threshold"),
     ]
     return alerts(raised, "lateral", "RULE-LATERAL-MOVE-01", F.col("src_ip"), "HIGH", "Lateral Movement", "TCP/Pivoting", proof, F.col("n"), scope="lateral", scope_key="src_ip")
 
@@ -99,7 +94,7 @@ def exfil_dns(packets: DataFrame, cfg: dict) -> DataFrame:
     """The first DNS query of a flow that is long or of type TXT."""
     rows = flows.with_flow(packets).where((F.col("dns_qname") != "") & ((F.col("dns_qtype") == 16) | (F.length("dns_qname") > 64)))
     proof = [F.lit("Length or type of a DNS query").alias("metric"), F.col("dns_qname").alias("dns_qname"), F.length("dns_qname").alias("payload_char_len"), F.col("dns_qtype").alias("qtype"), F.lit(64).alias("threshold_len")]
-    return alerts(first_match(rows, ["flow_id"]), "exfil", "RULE-EXFIL-DNS-01", F.col("dns_qname"), "HIGH", "Exfiltration", "UDP/DNS", proof)
+    return alerts(first_match(rows, ["flow_id"], cfg=cfg), "exfil", "RULE-EXFIL-DNS-01", F.col("dns_qname"), "HIGH", "Exfiltration", "UDP/DNS", proof)
 
 
 def _ended(flow_rows: DataFrame) -> DataFrame:
@@ -109,9 +104,18 @@ def _ended(flow_rows: DataFrame) -> DataFrame:
 def exfil_volume(packets: DataFrame, cfg: dict) -> DataFrame:
     """Flows of many bytes that raised no DNS alert."""
     least = cfg["exfil"]["min_exfil_bytes"]
-    big = flows.aggregate(packets).where(F.col("byte_count") >= least).join(exfil_dns(packets, cfg).select(*FLOW), FLOW, "left_anti")
+    if state.watching(cfg):
+        closed = state.flow_events(flows.with_flow(packets), cfg).where((F.col("event") == "closed") & (F.col("byte_count") >= least) & ~F.col("dns"))
+        big = closed.withColumn("duration_sec", F.when(F.col("packet_count") > 1, (F.col("ts_us") - F.col("start_ts_us")) / F.lit(1e6)).otherwise(0.0))
+    else:
+        big = _large(packets, cfg, least)
     proof = [F.lit("Bytes of a flow").alias("metric"), F.col("byte_count").alias("total_bytes_transferred"), F.round(F.col("byte_count") / 1048576, 2).alias("volume_mb"), F.lit(least).alias("volume_threshold_bytes"), F.col("duration_sec")]
-    return alerts(_ended(big), "exfil", "RULE-EXFIL-VOL-01", F.col("flow_id"), "HIGH", "Exfiltration", F.col("protocol").cast("string"), proof, F.col("packet_count"), 1, scope="flow", scope_key="flow_id")
+    return alerts(big, "exfil", "RULE-EXFIL-VOL-01", F.col("flow_id"), "HIGH", "Exfiltration", F.col("protocol").cast("string"), proof, F.col("packet_count"), 1, scope="flow", scope_key="flow_id")
+
+
+def _large(packets: DataFrame, cfg: dict, least: int) -> DataFrame:
+    big = flows.aggregate(packets).where(F.col("byte_count") >= least).join(exfil_dns(packets, cfg).select(*FLOW), FLOW, "left_anti")
+    return _ended(big)
 
 
 def _names(packets: DataFrame) -> DataFrame:
@@ -124,7 +128,7 @@ def _names(packets: DataFrame) -> DataFrame:
 def dga(packets: DataFrame, cfg: dict) -> DataFrame:
     """DNS names that look generated: high entropy or long runs of consonants."""
     own = cfg["entropy"]
-    rows = first_match(_names(packets).where(F.length("sub") >= own["min_subdomain_len"]), ["qname"])
+    rows = first_match(_names(packets).where(F.length("sub") >= own["min_subdomain_len"]), ["qname"], cfg=cfg)
     rows = rows.withColumn("entropy", net.entropy(F.col("sub"))).withColumn("run", net.consonant_run(F.col("sub")))
     rows = rows.where((F.col("entropy") >= own["entropy_threshold"]) | (F.col("run") >= own["consonant_cluster_len"]))
     proof = [
@@ -140,13 +144,10 @@ def _enabled(cfg: dict, section: str) -> Column:
     return F.lit(bool(cfg[section].get("enabled", True)))
 
 
-def dns_tunnel(packets: DataFrame, cfg: dict) -> DataFrame:
-    """Parent domains with many queries for long subdomains."""
-    own = cfg["dns_tunnel"]
-    rows = _names(packets).where(F.col("sub") != "").where(_enabled(cfg, "dns_tunnel"))
-    odd = F.coalesce(F.col("dns_qtype").isin(5, 10, 15, 16), F.lit(False)) | (F.length("sub") > 30)
-    sums = {"n": F.lit(1), "chars": F.length("sub"), "odd": odd.cast("long")}
-    hit = running(rows.select("capture_id", "parent", "seq", "sub", "dns_qtype"), ["parent"], sums)
+def _tunnels(rows: DataFrame, own: dict) -> DataFrame:
+    """rows (parent, sub, is_odd) at the first that passes, with n, chars, odd, samples, and first, the ends of the first query."""
+    sums = {"n": F.lit(1), "chars": F.length("sub"), "odd": F.col("is_odd").cast("long")}
+    hit = running(rows.select("capture_id", "parent", "seq", "sub", "is_odd"), ["parent"], sums)
     hit = hit.where((F.col("n") >= own["min_queries"]) & (F.col("chars") / F.col("n") >= own["min_avg_subdomain_len"]))
     found = hit.groupBy("capture_id", "parent").agg(F.min_by(F.struct("seq", "n", "chars", "odd"), "seq").alias("c")).select("capture_id", "parent", "c.*")
     begun = rows.groupBy("capture_id", "parent").agg(F.min_by(F.struct("src_ip", "dst_ip"), "seq").alias("first"))
@@ -154,7 +155,16 @@ def dns_tunnel(packets: DataFrame, cfg: dict) -> DataFrame:
     samples = samples.groupBy("capture_id", "parent", "sub").agg(F.min("seq").alias("seq"))
     nth = F.row_number().over(Window.partitionBy("capture_id", "parent").orderBy("seq"))
     samples = samples.withColumn("nth", nth).where("nth <= 5").groupBy("capture_id", "parent").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "sub"))), lambda x: x["sub"]).alias("samples"))
-    raised = rows.join(found, ["capture_id", "parent", "seq"]).join(begun, ["capture_id", "parent"]).join(samples, ["capture_id", "parent"])
+    return rows.join(found, ["capture_id", "parent", "seq"]).join(begun, ["capture_id", "parent"]).join(samples, ["capture_id", "parent"])
+
+
+def dns_tunnel(packets: DataFrame, cfg: dict) -> DataFrame:
+    """Parent domains with many queries for long subdomains."""
+    own = cfg["dns_tunnel"]
+    rows = _names(packets).where(F.col("sub") != "").where(_enabled(cfg, "dns_tunnel"))
+    odd = F.coalesce(F.col("dns_qtype").isin(5, 10, 15, 16), F.lit(False)) | (F.length("sub") > 30)
+    rows = rows.withColumn("is_odd", odd)
+    raised = state.tunnels(rows, own["min_queries"], own["min_avg_subdomain_len"], watch) if (watch := state.watching(cfg)) else _tunnels(rows, own)
     proof = [
         F.lit("Queries and length of subdomains").alias("metric"), F.col("parent").alias("target_parent_domain"), F.col("n").alias("total_queries_received"), F.lit(own["min_queries"]).alias("min_queries_threshold"),
         F.round(F.col("chars") / F.col("n"), 2).alias("avg_subdomain_len_calculated"), F.lit(own["min_avg_subdomain_len"]).alias("min_avg_subdomain_len_threshold"), F.col("odd").alias("txt_cname_null_queries"), F.col("samples").alias("sample_subdomains"),
@@ -178,23 +188,23 @@ def http_audit(packets: DataFrame, cfg: dict) -> DataFrame:
     script = net.first_of([(F.lower("agent").contains(a), a) for a in config.SCRIPT_AGENTS])
     rows = rows.withColumns({"shell": shell, "script": F.when(F.col("agent") != "", script)})
     rule = F.when(F.col("shell").isNotNull(), "RULE-HTTP-WEBSHELL-01").when(F.col("script").isNotNull(), "RULE-HTTP-USERAGENT-01").when(F.col("method").isin(config.RISKY_METHODS), "RULE-HTTP-METHOD-01")
-    found = first_match(rows.withColumn("rule", rule).where("rule is not null"), ["flow_id"])
+    found = first_match(rows.withColumn("rule", rule).where("rule is not null"), ["flow_id"], cfg=cfg)
     severity = F.when(F.col("shell").isNotNull(), "HIGH").otherwise("MEDIUM")
     stage = F.when(F.col("shell").isNotNull(), "Initial Access").when(F.col("script").isNotNull(), "Reconnaissance").otherwise("Defense Evasion")
     proof = [F.lit("HTTP request").alias("metric"), F.col("method").alias("http_method"), F.col("uri").alias("request_uri"), F.col("shell").alias("signature_matched"), F.when(F.col("shell").isNull(), F.col("script")).alias("matched_agent_keyword"), F.coalesce("agent", F.lit("<none>")).alias("user_agent")]
     return alerts(found, "http_audit", F.col("rule"), F.col("flow_id"), severity, stage, "HTTP", proof)
 
 
-def tls_hellos(packets: DataFrame) -> DataFrame:
+def tls_hellos(packets: DataFrame, cfg: dict | None = None) -> DataFrame:
     """The first Client Hello of each flow with its fingerprints."""
-    first = first_match(flows.with_flow(packets).where("tls_info is not null"), ["flow_id"])
+    first = first_match(flows.with_flow(packets).where("tls_info is not null"), ["flow_id"], cfg=cfg)
     return first.withColumn("ja3", net.ja3_text(F.col("tls_info"))).withColumn("ja3_hash", F.md5(F.col("ja3").cast("binary"))).withColumn("ja4", net.ja4(F.col("tls_info")))
 
 
 def ja3(packets: DataFrame, cfg: dict) -> DataFrame:
     """Known fingerprints of malware."""
     intel = packets.sparkSession.createDataFrame(cfg.get("ja3_intel") or config.JA3_INTEL, "ja3_hash string, malware string")
-    found = tls_hellos(packets).join(F.broadcast(intel), "ja3_hash")  # a list of the rules, some rows
+    found = tls_hellos(packets, cfg).join(F.broadcast(intel), "ja3_hash")  # a list of the rules, some rows
     proof = [F.lit("TLS fingerprint").alias("metric"), F.col("ja3").alias("ja3_string"), F.col("ja3_hash").alias("ja3_hash_md5"), F.col("ja4").alias("ja4_fingerprint"), F.col("malware").alias("threat_intel_match"), F.col("tls_info.sni").alias("sni_hostname")]
     return alerts(found, "ja3_fingerprint", "RULE-TLS-JA3-01", F.col("ja3_hash"), "CRITICAL", "Command & Control", "TCP/TLS", proof)
 
@@ -205,24 +215,18 @@ def file_magic(packets: DataFrame, cfg: dict) -> DataFrame:
     at = {m: F.expr(f"position(X'{m.hex()}', substring(payload, 1, 512))") for m, *_ in config.MAGIC}
     pick = lambda value: F.coalesce(*(F.when(at[m[0]] > 0, value(m)) for m in config.MAGIC))
     rows = rows.withColumns({"magic": pick(lambda m: F.lit(m[0].hex())), "file": pick(lambda m: F.lit(m[1])), "sev": pick(lambda m: F.lit(m[2])), "stg": pick(lambda m: F.lit(m[3])), "at": pick(lambda m: at[m[0]] - 1)})
-    found = first_match(rows.where("magic is not null"), ["flow_id"])
+    found = first_match(rows.where("magic is not null"), ["flow_id"], cfg=cfg)
     proof = [F.lit("File signature").alias("metric"), F.col("flow_id").alias("flow_id"), F.lit(True).alias("unencrypted_channel"), F.col("file").alias("detected_file_type"), F.col("magic").alias("magic_bytes_hex"), F.decode(F.unhex("magic"), "ISO-8859-1").alias("magic_bytes_ascii"), F.col("at").alias("payload_offset")]
     return alerts(found, "file_carver", "RULE-FILE-MAGIC-01", F.concat("flow_id", F.lit("+"), "magic"), F.col("sev"), F.col("stg"), F.col("protocol").cast("string"), proof)
 
 
-def smb_audit(packets: DataFrame, cfg: dict) -> DataFrame:
-    """Named pipes and administrative shares: a packet reports its first key that its hosts have not reported before.
+def _unseen(rows: DataFrame, most: int) -> DataFrame:
+    """rows (keys, of `most` different ones) at each first of a pair of hosts' keys, with its name.
 
     Only packets with new combinations of keys matter: after as many equal packets as they have keys all are reported. Those
     few of each pair of hosts are folded in order."""
-    rows = flows.with_flow(packets).where((F.col("endpoint_a_port").isin(config.SMB_PORTS) | F.col("endpoint_b_port").isin(config.SMB_PORTS)) & (F.octet_length("payload") > 0) & _enabled(cfg, "smb_audit"))
-    text = F.lower(F.decode("payload", "ISO-8859-1"))
-    three = text.contains("\\" * 3)
-    tests = [(name, text.contains(name)) for name, *_ in config.PIPES] + [(name, text.contains("\\\\" + name) | (three & text.contains(name))) for name, *_ in config.SHARES]
-    keys = F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in tests)), lambda x: x.isNotNull())
-    rows = rows.withColumn("keys", keys).where(F.size("keys") > 0)
     again = Window.partitionBy("capture_id", "endpoint_a_ip", "endpoint_b_ip", "keys").orderBy("seq")
-    rows = rows.withColumn("turn", F.row_number().over(again)).where(F.col("turn") <= len(tests)).where(F.col("turn") <= F.size("keys"))
+    rows = rows.withColumn("turn", F.row_number().over(again)).where(F.col("turn") <= most).where(F.col("turn") <= F.size("keys"))
     state = "struct<seen:array<string>,out:array<struct<seq:bigint,name:string>>>"
     start = F.from_json(F.lit('{"seen":[],"out":[]}'), state)
 
@@ -234,7 +238,19 @@ def smb_audit(packets: DataFrame, cfg: dict) -> DataFrame:
     pair = ["capture_id", "endpoint_a_ip", "endpoint_b_ip"]
     folded = rows.groupBy(*pair).agg(F.array_sort(F.collect_list(F.struct("seq", "keys"))).alias("rows"))
     told = folded.select(*pair, F.explode(F.aggregate("rows", start, step)["out"]).alias("o")).select(*pair, F.col("o.seq").alias("seq"), F.col("o.name").alias("name"))
-    found = rows.drop("keys", "turn").join(told, [*pair, "seq"])
+    return rows.drop("keys", "turn").join(told, [*pair, "seq"])
+
+
+def smb_audit(packets: DataFrame, cfg: dict) -> DataFrame:
+    """Named pipes and administrative shares: a packet reports its first key that its hosts have not reported before."""
+    rows = flows.with_flow(packets).where((F.col("endpoint_a_port").isin(config.SMB_PORTS) | F.col("endpoint_b_port").isin(config.SMB_PORTS)) & (F.octet_length("payload") > 0) & _enabled(cfg, "smb_audit"))
+    text = F.lower(F.decode("payload", "ISO-8859-1"))
+    three = text.contains("\\" * 3)
+    tests = [(name, text.contains(name)) for name, *_ in config.PIPES] + [(name, text.contains("\\\\" + name) | (three & text.contains(name))) for name, *_ in config.SHARES]
+    keys = F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in tests)), lambda x: x.isNotNull())
+    rows = rows.withColumn("keys", keys).where(F.size("keys") > 0)
+    pair = ["endpoint_a_ip", "endpoint_b_ip"]
+    found = state.unseen(rows, pair, watch) if (watch := state.watching(cfg)) else _unseen(rows, len(tests))
     pick = lambda i: F.coalesce(*(F.when(F.col("name") == r[0], F.lit(r[i])) for r in [*config.PIPES, *config.SHARES]))
     rule = F.when(F.col("name").isin([r[0] for r in config.PIPES]), "RULE-SMB-PIPE-01").otherwise("RULE-SMB-SHARE-01")
     is_pipe = F.col("name").isin([r[0] for r in config.PIPES])
@@ -257,29 +273,11 @@ def credentials(packets: DataFrame, cfg: dict) -> DataFrame:
         .when(on(23), F.regexp_extract("text", r"(?i)login:\s*(\S+)", 1))
     )
     service = F.when(on(*config.HTTP_PORTS), "HTTP").when(on(21), "FTP").when(on(110), "POP3").when(on(25, 587), "SMTP").otherwise("TELNET")
-    found = first_match(rows.withColumn("user", user).withColumn("service", service).where("user <> ''"), ["flow_id"])
+    found = first_match(rows.withColumn("user", user).withColumn("service", service).where("user <> ''"), ["flow_id"], cfg=cfg)
     proof = [F.lit("Clear text credential").alias("metric"), F.col("user").alias("extracted_user"), F.col("user").alias("username"), F.col("service").alias("protocol")]
     return alerts(found, "credentials", "RULE-CRED-CLEARTEXT-01", F.col("flow_id"), "HIGH", "Credential Access", F.col("service"), proof)
 
 
-def intervals(packets: DataFrame, least: int) -> DataFrame:
-    """Gaps in seconds between packets of flows that have `least` packets or more; packets without payload count only in
-    flows that have less than `least` others."""
-    rows = flows.with_flow(packets).select(*FLOW, "seq", "ts_us", "payload_len")
-    sizes = rows.groupBy(*FLOW).agg(F.count("*").alias("all"), F.count_if(F.col("payload_len") > 0).alias("full")).where(F.col("all") >= least)
-    used = rows.join(sizes, FLOW).where((F.col("full") < least) | (F.col("payload_len") > 0))
-    by = Window.partitionBy(*FLOW).orderBy("ts_us", "seq")
-    return used.withColumn("gap", (F.col("ts_us") - F.lag("ts_us").over(by)) / F.lit(1e6)).where("gap is not null").select(*FLOW, "gap")
-
-
-def interval_stats(packets: DataFrame, least: int) -> DataFrame:
-    """n, mean, stddev, median and median absolute deviation of each flow's gaps."""
-    gaps = intervals(packets, least)
-    stats = gaps.groupBy(*FLOW).agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("stddev"), F.percentile("gap", F.lit(0.5)).alias("median"))
-    away = gaps.join(stats.select(*FLOW, "median"), FLOW).groupBy(*FLOW).agg(F.percentile(F.abs(F.col("gap") - F.col("median")), F.lit(0.5)).alias("mad"))
-    return stats.join(away, FLOW)
-
-
 def _beacon_proof(own: dict) -> list[Column]:
     r = lambda c: F.round(F.col(c), 4)
     return [
@@ -293,8 +291,7 @@ def _beacon_proof(own: dict) -> list[Column]:
 def beacon(packets: DataFrame, cfg: dict) -> DataFrame:
     """Flows with regular gaps, judged when they end."""
     own = cfg["beacon"]
-    stats = interval_stats(packets, own["min_samples"]).where((F.col("mean") > 0.001) & (F.col("median") > 0.001))
-    stats = stats.where((F.col("stddev") / F.col("mean") <= own["max_cov"]) & (F.col("mad") / F.col("median") <= own["max_mad_ratio"]))
+    stats = interval_stats(packets, own["min_samples"], own).where((F.col("median") > 0.001) & (F.col("mad") / F.col("median") <= own["max_mad_ratio"]))
     rows = _ended(flows.aggregate(packets).join(stats, FLOW))
     return alerts(rows, "beacon", "RULE-C2-BEACON-01", F.col("flow_id"), "HIGH", "Command & Control", F.col("protocol").cast("string"), _beacon_proof(own), F.col("packet_count"), 1, scope="flow", scope_key="flow_id")
 
@@ -320,73 +317,19 @@ def _regular_so_far(rows: DataFrame, own: dict) -> DataFrame:
     return sums.where(enough).groupBy(*FLOW).agg(F.max("seq").alias("last"))
 
 
-class Gaps:
-    """Gaps between times that come one after the other, with what regularity asks of them. An insertion takes one bisection."""
-
-    def __init__(self):
-        self.times, self.gaps, self.total, self.square = [], [], 0, 0
-
-    def _count(self, gap: int, sign: int) -> None:
-        self.total, self.square = self.total + sign * gap, self.square + sign * gap * gap
-        if sign > 0:
-            insort(self.gaps, gap)
-        else:
-            del self.gaps[bisect_left(self.gaps, gap)]
-
-    def add(self, time: int) -> None:
-        at = bisect_left(self.times, time)
-        before, after = self.times[at - 1 : at] if at else [], self.times[at : at + 1]
-        if before and after:
-            self._count(after[0] - before[0], -1)
-        for gap in [time - b for b in before] + [a - time for a in after]:
-            self._count(gap, 1)
-        self.times.insert(at, time)
-
-    def spread(self) -> tuple[float, float]:
-        """Mean and standard deviation in seconds."""
-        n = len(self.gaps)
-        return self.total / n / 1e6, math.sqrt(max(self.square * n - self.total * self.total, 0)) / n / 1e6
-
-    def middle(self) -> tuple[float, float]:
-        """Median and median absolute deviation in seconds: the k nearest gaps to the median are a run of the sorted ones."""
-        g, n = self.gaps, len(self.gaps)
-        median = (g[(n - 1) // 2] + g[n // 2]) / 2
-
-        def kth(k: int) -> float:
-            low, high = 0, n - k  # the run of k gaps from `low` whose farther end is nearest
-            while low < high:
-                at = (low + high) // 2
-                low, high = (at + 1, high) if median - g[at] > g[at + k] - median else (low, at)
-            return max(median - g[low], g[low + k - 1] - median)
-
-        return median / 1e6, (kth((n - 1) // 2 + 1) + kth(n // 2 + 1)) / 2 / 1e6
-
-
 def beacon_prefix(packets: DataFrame, cfg: dict) -> DataFrame:
     """Flows with regular gaps, judged after each packet once enough and long enough: the first prefix that passes.
 
     Running sums in Spark leave the flows whose mean and deviation pass somewhere. These are folded packet by packet, each
     insertion and each judgement by bisection, as far as the first pass; a flow's fold keeps its times and gaps, 16 bytes a packet."""
     own = cfg["beacon"]
-    least = own["min_samples"]
     rows = flows.with_flow(packets).select(*FLOW, "seq", "ts_us", "payload_len")
 
     def first_pass(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        ts, full, every, filled = pdf["ts_us"].tolist(), (pdf["payload_len"] > 0).tolist(), Gaps(), Gaps()
-        for k, (t, f) in enumerate(zip(ts, full, strict=True), 1):
-            every.add(t)
-            if f:
-                filled.add(t)
-            if k < least or (t - ts[0]) / 1e6 < own["min_duration_sec"]:
-                continue
-            used = filled if len(filled.times) >= least else every
-            mean, spread = used.spread()
-            if mean <= 0.001 or spread / mean > own["max_cov"]:
-                continue
-            median, mad = used.middle()
-            if median > 0.001 and mad / median <= own["max_mad_ratio"]:
-                return pd.DataFrame([(pdf["capture_id"].iloc[0], pdf["flow_id"].iloc[0], int(pdf["seq"].iloc[k - 1]), k, len(used.gaps), mean, spread, median, mad)], columns=names)
+        pdf, prefix = pdf.sort_values("seq"), Prefix(own)
+        for k, (t, f) in enumerate(zip(pdf["ts_us"].tolist(), (pdf["payload_len"] > 0).tolist(), strict=True), 1):
+            if (stats := prefix.add(t, f)) is not None:
+                return pd.DataFrame([(pdf["capture_id"].iloc[0], pdf["flow_id"].iloc[0], int(pdf["seq"].iloc[k - 1]), k, *stats)], columns=names)
         return pd.DataFrame([], columns=names)
 
     names = ["capture_id", "flow_id", "seq", "packet_count", "n", "mean", "stddev", "median", "mad"]
@@ -398,7 +341,10 @@ def beacon_prefix(packets: DataFrame, cfg: dict) -> DataFrame:
 
 def beacon_online(packets: DataFrame, cfg: dict) -> DataFrame:
     """Once for a flow: at its first prefix with regular gaps, else when it ends if its gaps are regular then."""
-    early = beacon_prefix(packets, cfg)
+    if state.watching(cfg):
+        told = state.flow_events(flows.with_flow(packets), cfg).where("n is not null")
+        return alerts(told, "beacon", "RULE-C2-BEACON-01", F.col("flow_id"), "HIGH", "Command & Control", F.col("protocol").cast("string"), _beacon_proof(cfg["beacon"]), F.col("packet_count"), F.when(F.col("event") == "closed", 1).otherwise(0), scope="flow", scope_key="flow_id")
+    early = cut(beacon_prefix(packets, cfg))
     return early.unionByName(beacon(packets, cfg).join(early.select(*FLOW), FLOW, "left_anti"))
 
 

@@ -11,6 +11,7 @@ from flowlens.operators import alerts as A
 from flowlens.operators import combinators, detectors, flows
 from flowlens.plans.projection import KNOWN_JA3, packets, with_packets
 from flowlens.plans.triage import triage
+from flowlens.streaming import alerts as streamed
 from flowlens.tables import cut
 
 CFG = config.configured({"exfil": {"min_exfil_bytes": 50_000}}) | {"ja3_intel": [*config.JA3_INTEL, (KNOWN_JA3, "Test implant")]}
@@ -129,7 +130,9 @@ def running_distinct(spark, d):
 
 
 def topk_targets(spark, d):
-    return _p(spark, d).groupBy("src_ip").agg(F.array_join(combinators.smallest("dst_ip"), ",").alias("ips"), F.array_join(combinators.smallest("dst_port"), ",").alias("ports"))
+    p = _p(spark, d)
+    joined = lambda c, name: combinators.smallest(p, "src_ip", c).select("src_ip", F.array_join(c, ",").alias(name))
+    return joined("dst_ip", "ips").join(joined("dst_port", "ports"), "src_ip")
 
 
 def _alerts(spark, d):
@@ -137,6 +140,15 @@ def _alerts(spark, d):
     return A.dedup(A.union(packets(spark, d), CFG))
 
 
+def stream_alerts(spark, d):
+    """Alerts of three detectors over the packets as a stream that is stopped and started again on the way."""
+    p = cut(packets(spark, d))
+    far = CFG | {"stream": {"late": "36500 days", "idle": "3650 days", "ttl": "3650 days"}}  # times of events are in no order
+    half = p.agg(F.percentile_approx("seq", 0.5)).first()[0] or 0
+    kinds = {k: detectors.DETECTORS[k] for k in ("beacon", "exfil_volume", "sweep")}
+    return streamed.replay(p, far, [half], kinds).select("rule_id", "severity", "source_ip", "target_ip", "ts_us", "flow_id", F.col("seq").cast("long").alias("seq"), "packet_count", "phase")
+
+
 def alert_union(spark, d):
     rows = A.union(packets(spark, d), CFG)
     return rows.groupBy("rule_id", "detector", "severity", "stage").agg(F.count("*").alias("alerts"), F.sum("packet_count").alias("packets"))
@@ -213,7 +225,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         packets_projection, flow_key, flow_agg, flow_tcp_state, flow_count, flow_instances, iat_stats, beacon_prefix, cidr_internal, dns_noise_filter, subdomain_split, consonant_run,
-        shannon_entropy, page_names, tcp_flag_names, http_parse, ja3_string, ja4, running_distinct, topk_targets, alert_union, alert_dedup, severity_counts, alert_search, entity_expand,
+        shannon_entropy, page_names, tcp_flag_names, http_parse, ja3_string, ja4, running_distinct, topk_targets, stream_alerts, alert_union, alert_dedup, severity_counts, alert_search, entity_expand,
         entity_timeline, entity_timeline_alerts, dns_telemetry, suspicious_payloads, summary_stats, alert_packets, evidence_offsets, stix_objects, json_report, full_triage,
     )
 } | {
@@ -470,6 +482,7 @@ ORACLE_SQL = {
         FROM fl JOIN gs USING (flow_id) WHERE mean > 0.001 AND median > 0.001 AND stddev / mean <= 0.20 AND mad / median <= 0.25""",
         FLOWS, GAPS,
     ),
+    "stream_alerts": with_alerts("SELECT rule_id, severity, source_ip, target_ip, ts_us, flow_id, seq, packet_count, phase FROM ai WHERE rule_id IN ('RULE-C2-BEACON-01', 'RULE-EXFIL-VOL-01', 'RULE-RECON-SWEEP-01')"),
     "alert_union": with_alerts(f"SELECT rule_id, {DETECTOR_OF} AS detector, severity, stage, count(*) AS alerts, CAST(sum(packet_count) AS BIGINT) AS packets FROM ai GROUP BY ALL"),
     "alert_dedup": with_alerts("SELECT alert_id, rule_id, source_ip, packet_count, seq, place.seq AS first_seq FROM ad"),
     "severity_counts": with_alerts(f"SELECT s.severity, count(ad.alert_id) AS alerts FROM (SELECT unnest({[*config.SEVERITIES]}) AS severity) s LEFT JOIN ad ON ad.severity = s.severity GROUP BY s.severity"),
