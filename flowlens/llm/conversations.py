@@ -147,8 +147,21 @@ def faults(rows: DataFrame) -> DataFrame:
     return _joined(slim, firsts, ["conv_id", "role", "hash"]).withColumn("fresh", fresh).drop("first")
 
 
-def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]:
-    """The rows of each conversation in each segment, from rows in order, and whether the run may go on in other segments."""
+class Run(NamedTuple):
+    """The rows of a conversation in a segment, as lists by column, and whether it may go on in other segments."""
+
+    columns: dict[str, list]
+    edge: bool
+
+    def graph(self) -> tuple[list[bool], list[Row]]:
+        """Which rows don't have to go, and these."""
+        c = self.columns
+        free = [fresh and not blank for fresh, blank in zip(c["fresh"], c["blank"], strict=True)]
+        return free, [Row(r[:1], int(late)) for r, late, f in zip(c["role"], c["late"], free, strict=True) if f]
+
+
+def runs(batches: Iterator[pd.DataFrame]) -> Iterator[Run]:
+    """The runs of rows that come in order."""
     rest = None
     for b in batches:
         b = b if rest is None else pd.concat([rest, b], ignore_index=True)
@@ -160,41 +173,39 @@ def runs(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]
         yield from _runs(rest)
 
 
-def _runs(b: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, bool]]:
-    seg, conv = b["segment"].to_numpy(), b["conv_id"].to_numpy()
-    new_seg = seg[1:] != seg[:-1]
-    differ = (conv[1:] != conv[:-1]) & ~(pd.isna(conv[1:]) & pd.isna(conv[:-1]))
-    bounds = [0, *(i + 1 for i in range(len(b) - 1) if differ[i] or new_seg[i]), len(b)]
+def _runs(b: pd.DataFrame) -> Iterator[Run]:
+    columns = {c: b[c].tolist() for c in b.columns}
+    conv, seg = columns["conv_id"], columns["segment"]
+    bounds = [0, *(i for i in range(1, len(b)) if conv[i] != conv[i - 1] or seg[i] != seg[i - 1]), len(b)]
     for a, z in zip(bounds[:-1], bounds[1:], strict=True):
-        edge = a == 0 or z == len(b) or new_seg[a - 1] or new_seg[z - 1]
-        yield b.iloc[a:z], bool(edge)
+        edge = a == 0 or z == len(b) or seg[a - 1] != seg[a] or seg[z] != seg[a]
+        yield Run({c: v[a:z] for c, v in columns.items()}, edge)
 
 
-def _graph(own: pd.DataFrame) -> list[Row]:
-    free = own[own["fresh"].to_numpy(bool) & ~own["blank"].to_numpy(bool)]
-    return [Row(r[:1], int(x)) for r, x in zip(free["role"], free["late"], strict=True)]
+SUMMARY = ["conv_id", "segment", "place", "illegal", "head", "tail", "costs"]
 
 
 def summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Of each run: illegal neighbours, first and last initial, and for runs at the edge of a segment the costs from each state at
     its begin to each at its end (16, -1: no way)."""
     out = []
-    for own, edge in runs(batches):
+    for run in runs(batches):
+        own = run.columns
         initials = [r[:1] for r in own["role"]]
-        illegal = sum(a + b not in LEGAL for a, b in zip(initials[:-1], initials[1:], strict=True)) + int((own["copies"] - 1).sum())
+        illegal = sum(a + b not in LEGAL for a, b in zip(initials[:-1], initials[1:], strict=True)) + sum(own["copies"]) - len(initials)
         costs = None
-        if edge:
-            rows, costs = _graph(own), [-1] * 16
+        if run.edge:
+            rows, costs = run.graph()[1], [-1] * 16
             for end in range(4):
                 far = distances(rows, [0 if q == end else None for q in range(4)])
                 for begin in range(4):
                     if far[begin] < FAR:
                         costs[4 * begin + end] = far[begin]
-        out.append((own["conv_id"].iloc[0], int(own["segment"].iloc[0]), int(own["place"].iloc[0]), illegal, initials[0], initials[-1], costs))
+        out.append((own["conv_id"][0], own["segment"][0], own["place"][0], illegal, initials[0], initials[-1], costs))
         if len(out) >= 4096:
-            yield pd.DataFrame(out, columns=["conv_id", "segment", "place", "illegal", "head", "tail", "costs"])
+            yield pd.DataFrame(out, columns=SUMMARY)
             out = []
-    yield pd.DataFrame(out, columns=["conv_id", "segment", "place", "illegal", "head", "tail", "costs"])
+    yield pd.DataFrame(out, columns=SUMMARY)
 
 
 def joints(own: pd.DataFrame) -> pd.DataFrame:
@@ -213,36 +224,40 @@ def joints(own: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+STEPS = ["conv_id", "segment", "entry", "place", "turn", "role", "hash", "letters", "cost", "state"]
+
+
 def walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Letters, cost and state after each row of each run: from the start, or from every state where the run is no first one."""
-    names, out, size = ["conv_id", "segment", "entry", "place", "turn", "role", "hash", "letters", "cost", "state"], [], 0
-    for own, _ in runs(batches):
-        told = own[own["kind"] == 0]
-        own = own[own["kind"] == 1]
-        first, final, ends = (bool(told["first"].iloc[0]), bool(told["final"].iloc[0]), [None if e < 0 else int(e) for e in told["ends"].iloc[0]]) if len(told) else (True, True, DONE)
-        free = (own["fresh"].to_numpy(bool) & ~own["blank"].to_numpy(bool)).tolist()
-        rows = _graph(own)
+    """Letters, cost and state after each row of each run: from the start, or from every state where the run is no first one. Before
+    the rows of a run that does not stand alone comes one of joints()."""
+    out: dict[str, list] = {n: [] for n in STEPS}
+    for run in runs(batches):
+        own, first, final, ends = run.columns, True, True, DONE
+        if own["kind"][0] == 0:
+            first, final, ends = bool(own["first"][0]), bool(own["final"][0]), [None if e < 0 else int(e) for e in own["ends"][0]]
+            run = Run({c: v[1:] for c, v in own.items()}, run.edge)
+            own = run.columns
+        free, rows = run.graph()
         far = distances(rows, ends)
         for entry in [START] if first else range(4):
             if far[entry] >= FAR:
                 continue
             steps, rest = walk(rows, far, entry)
-            steps, state, letters, costs, states = iter(steps), entry, [], [], []
-            for used, copies in zip(free, own["copies"].tolist(), strict=True):
+            steps, state, letters, costs = iter(steps), entry, out["letters"], out["cost"]
+            for used, copies in zip(free, own["copies"], strict=True):
                 step, cost, state = next(steps) if used else ("", 0, state)
                 letters.append(step + "D" * (copies - used))
                 costs.append(cost + DELETE * (copies - used))
-                states.append(state)
+                out["state"].append(state)
             if final:
                 letters[-1], costs[-1] = letters[-1] + rest, costs[-1] + INSERT * len(rest)
-            part = own[["conv_id", "segment", "place", "turn", "role", "hash"]].assign(entry=entry if not (first and final) else -1, letters=letters, cost=costs, state=states)
-            out.append(part[names])
-            size += len(part)
-        if size >= 1 << 15:
-            yield pd.concat(out, ignore_index=True)
-            out, size = [], 0
-    if out:
-        yield pd.concat(out, ignore_index=True)
+            out["entry"] += [-1 if first and final else entry] * len(free)
+            for n in ("conv_id", "segment", "place", "turn", "role", "hash"):
+                out[n] += own[n]
+        if len(out["entry"]) >= 1 << 14:
+            yield pd.DataFrame(out)
+            out = {n: [] for n in STEPS}
+    yield pd.DataFrame(out)
 
 
 def entries(own: pd.DataFrame) -> pd.DataFrame:
