@@ -90,8 +90,9 @@ def lowered(df: DataFrame) -> DataFrame:
 
 
 def pairs_of(b: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i < j of one cell on sides that meet, of different labels, whose registers allow the threshold. Rows are sorted by cell."""
-    cell, side, label, size = (b[c].to_numpy() for c in ("cell", "side", "label", "size"))
+    """Rows i < j of one cell on sides that meet, of different labels, whose registers allow the threshold, and whose first band in
+    common is the cell's (band; -1: any). Rows are sorted by cell."""
+    cell, side, label, size, band = (b[c].to_numpy() for c in ("cell", "side", "label", "size", "band"))
     registers = np.frombuffer(b"".join(b["sketch"]), np.uint8).reshape(-1, REGISTERS)
     last = np.searchsorted(cell, cell, "right")
     found, gap, left = [], 1, np.flatnonzero(last - np.arange(len(cell)) > 1)
@@ -99,15 +100,21 @@ def pairs_of(b: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarray]
         ok = ((side[left] == 2) | (side[left] != side[left + gap])) & (label[left] != label[left + gap])
         for k in range(0, int(ok.sum()), 1 << 14):
             i = left[ok][k : k + (1 << 14)]
-            x, y = registers[i], registers[i + gap]
-            equal = (x == y).sum(1)
-            i, x, y = i[equal >= FEWEST], x[equal >= FEWEST], y[equal >= FEWEST]
-            i = i[likely((x > y).sum(1), (x < y).sum(1), size[i].astype(float), size[i + gap].astype(float), threshold)]
-            found.append((i, i + gap))
+            same = registers[i] == registers[i + gap]
+            lanes = same.view(np.uint64).sum(1)  # eight counts of up to 32 in the bytes of each
+            use = np.flatnonzero(lanes.view(np.uint8).reshape(-1, 8).sum(1, dtype=np.uint16) >= FEWEST)
+            met = same[use, : BAND * BANDS].reshape(-1, BANDS, BAND).all(2)
+            use = use[(band[i[use]] < 0) | (met.argmax(1) == band[i[use]])]
+            i = i[use]
+            if len(i):
+                x, y = registers[i], registers[i + gap]
+                found.append((i, i + gap, np.count_nonzero(x > y, axis=1), np.count_nonzero(x < y, axis=1)))
         gap += 1
         left = left[left + gap < last[left]]
-    i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(2))
-    return i, j
+    i, j, greater, less = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in range(4))
+    use = [likely(greater[k : k + (1 << 16)], less[k : k + (1 << 16)], size[i[k : k + (1 << 16)]].astype(float), size[j[k : k + (1 << 16)]].astype(float), threshold) for k in range(0, len(i), 1 << 16)]
+    use = np.concatenate(use or [np.zeros(0, bool)])
+    return i[use], j[use]
 
 
 def links(b: pd.DataFrame, threshold: float, shingle: int) -> pd.DataFrame:
@@ -126,8 +133,19 @@ def links(b: pd.DataFrame, threshold: float, shingle: int) -> pd.DataFrame:
     sets: list[np.ndarray] = []
     for _, _, key, at in shingles([b["text"].iloc[x] for x in used], shingle):
         sets += [key[p:q] for p, q in zip(at[:-1], at[1:], strict=True)]
-    ids, labels = b["id"].to_numpy(), b["label"].to_numpy()
-    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+    ids = b["id"].to_numpy()
+    names, labels = np.unique(b["label"].to_numpy(), return_inverse=True)  # one cell's label may be another's, and stand for the same sets
+
+    def apart(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+        """The pairs, without those that are joined by the time their turn comes near."""
+        for k in range(0, len(i), 1 << 12):
+            roots = np.arange(len(names))
+            for x in list(parent):
+                roots[x] = root(x)
+            some = roots[labels[i[k : k + (1 << 12)]]] != roots[labels[j[k : k + (1 << 12)]]]
+            yield from zip(i[k : k + (1 << 12)][some].tolist(), j[k : k + (1 << 12)][some].tolist(), strict=True)
+
+    for x, y in apart(i, j):
         p, q = root(int(labels[x])), root(int(labels[y]))
         if p == q:
             continue
@@ -155,7 +173,7 @@ def compared(cells: DataFrame, sets: DataFrame, texts: DataFrame, threshold: flo
         for b in whole_cells(batches):
             yield links(b, threshold, shingle)
 
-    form = "cell long, side int, id long, label long, size long, sketch binary"
+    form = "cell long, side int, band int, id long, label long, size long, sketch binary"
     names = [c.split()[0] for c in form.split(", ")]
     dealt = cells.join(sets.select("id", "size", "sketch"), "id").select(names).repartition(parts, "cell").sortWithinPartitions("cell")
     near = cut(dealt.mapInPandas(wanted, form))
@@ -173,12 +191,13 @@ def stars(shared: DataFrame) -> DataFrame:
     sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     member = pairs.join(cut(sizes), "pivot").withColumn("cell", F.xxhash64("pivot", F.pmod(F.xxhash64("id"), "blocks")))
     hubs = member.select("cell", F.col("pivot").alias("id")).distinct()
-    return hubs.select("cell", F.lit(0).alias("side"), "id", F.col("id").alias("label")).unionByName(member.select("cell", F.lit(1).alias("side"), "id", F.col("id").alias("label")))
+    cells = hubs.withColumn("side", F.lit(0)).unionByName(member.select("cell", "id", F.lit(1).alias("side")))
+    return cells.withColumns({"label": F.col("id"), "band": F.lit(-1)})
 
 
 def across(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Cells of buckets with several labels, so that all sets of different labels meet."""
-    told = cut(shared.select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label")))
+    told = cut(shared.select("bucket", "band", "id").join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("label", "id").alias("label")))
     mixed = told.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
     rows = cut(told.join(cut(mixed), "bucket"))
     most = rows.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"))
@@ -193,7 +212,7 @@ def across(shared: DataFrame, labels: DataFrame) -> DataFrame:
     large = F.when(inside, F.transform(to(F.col("outer")), lambda o: F.struct(F.xxhash64("bucket", F.lit(1), o, own).alias("cell"), F.lit(1).alias("side"))))
     large = large.otherwise(F.concat(F.transform(to(F.col("inner")), met), F.transform(to(F.col("outer")), beside)))
     cells = F.when(small, F.array(F.struct(F.xxhash64("bucket", F.lit(0)).alias("cell"), F.lit(2).alias("side")))).otherwise(large)
-    return rows.select("id", "label", F.explode(cells).alias("c")).select("c.cell", "c.side", "id", "label")
+    return rows.select("id", "label", "band", F.explode(cells).alias("c")).select("c.cell", "c.side", "band", "id", "label")
 
 
 def components(df: DataFrame, threshold: float = 0.8, shingle: int = 2) -> DataFrame:
@@ -201,8 +220,8 @@ def components(df: DataFrame, threshold: float = 0.8, shingle: int = 2) -> DataF
     df = lowered(df)
     rows = cut(documents(df, shingle))
     sets = cut(rows.where("id <> 0").groupBy("id").agg(F.min("doc_id").alias("least_doc"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sketch", k * BAND + 1, F.lit(BAND))))
-    banded = sets.select("id", F.explode(bands).alias("bucket"))
+    banded = sets.select("id", F.substring("sketch", 1, BAND * BANDS).alias("sketch"), F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    banded = banded.select("id", "band", F.xxhash64("band", F.substring("sketch", F.col("band") * BAND + 1, F.lit(BAND))).alias("bucket"))
     sizes = cut(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))  # a table, so that the join can split a large bucket
     shared = cut(banded.join(sizes, "bucket"))
     keys = shared.select("id").distinct().join(sets.select("id", "least_doc"), "id").select(F.col("least_doc").alias("key")).distinct()
@@ -218,7 +237,10 @@ def components(df: DataFrame, threshold: float = 0.8, shingle: int = 2) -> DataF
     labels = classes(first)
     second = compared(across(shared, labels), sets, texts, threshold, shingle)
     if not second.isEmpty():
-        labels = classes(first.unionByName(second))
+        ends = second.join(labels.withColumnRenamed("id", "a"), "a", "left").withColumnRenamed("label", "la").join(labels.withColumnRenamed("id", "b"), "b", "left")
+        further = classes(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("label", "b").alias("b")))  # between components
+        joined = labels.join(further.select(F.col("id").alias("label"), F.col("label").alias("_to")), "label", "left").select("id", F.coalesce("_to", "label").alias("label"))
+        labels = cut(joined.unionByName(further.join(labels.select("id"), "id", "left_anti")))
     heads = labels.join(sets.select("id", "least_doc"), "id").groupBy("label").agg(F.min("least_doc").alias("component_id"))
     told = cut(sets.select("id", "least_doc").join(labels, "id", "left").join(heads, "label", "left").select("id", F.coalesce("component_id", "least_doc").alias("component_id")))
     out = rows.select("id", "doc_id", "size").join(told, "id", "left")  # a table, so that the join can split a set with many copies
