@@ -1,12 +1,13 @@
 """Quality rules: counts of a text, and perplexity bands by language under a modified Kneser-Ney model.
 
 The model is over UTF-16 units as they stand, but that a run of white space is one space; an n-gram of ORDER units is a 64-bit
-number, so no two characters are taken for one. Spark counts n-grams of all texts, adding up what each batch has counted. Lower
-orders count different left neighbours; discounts come from counts of counts. N-grams rarer than `rarest` of all n-grams of their
-language are left to shorter ones, so a model holds at most 1 / rarest of the longest, however much text there is. The model is
-kept as arrays sorted by a hash of language, order and n-gram, and looked up by binary search. Every language has a model of its
-own, built in a task; documents are scored in waves of languages whose models have about `wave` n-grams together, so that no more
-is broadcast at once.
+number, so no two characters are taken for one. Spark counts n-grams of all texts, adding up what each batch has counted, and makes
+the model of every language by aggregates and joins: lower orders count different left neighbours, discounts come from the counts of
+all counts, and nothing is left out at any size. As every text is counted, each n-gram that is looked up has a probability of its own.
+
+Probabilities are kept as arrays sorted by a hash of language and n-gram, and looked up by binary search. Documents are scored in
+waves of languages whose models have about `wave` n-grams together; a larger model is cut by hash into slices of that size, and what
+the slices give of a text is added up. So what is broadcast at once has a bound, while text is read once for each slice of its model.
 
 A document's perplexity is exp of its mean negative log probability. Of the documents of a model that pass the base rules,
 quartiles of log perplexity give the band: `reach` interquartile ranges (`least_range` at least) below and above. Documents
@@ -78,19 +79,12 @@ def count_grams(df: DataFrame) -> DataFrame:
     return df.select("model", "text").mapInPandas(run, "model int, gram long, n long").groupBy("model", "gram").agg(F.sum("n").alias("n"))
 
 
-def without_rare(counts: DataFrame, rarest: float) -> DataFrame:
-    """Counts of n-grams that are at least `rarest` of all of their model."""
-    counts = cut(counts)
-    totals = counts.groupBy("model").agg((F.sum("n") * rarest).alias("least"))
-    return counts.join(totals, "model").where(F.col("n") >= F.col("least")).drop("least")
-
-
 def address(model, order: int, gram: np.ndarray) -> np.ndarray:
     return mix(np.asarray(gram, np.uint64) ^ mix(np.array([int(model) * (ORDER + 1) + order + 1], np.uint64)))
 
 
 class KneserNey(NamedTuple):
-    """address: sorted; of each n-gram its probability (NaN: only seen as a context), and the weight that it leaves to shorter ones as a context."""
+    """The whole model of a few texts, for n-grams of other texts too. address: sorted; of each n-gram its probability (NaN: only seen as a context), and the weight that it leaves to shorter ones as a context."""
 
     address: np.ndarray
     probability: np.ndarray
@@ -205,27 +199,62 @@ def models(df: DataFrame) -> DataFrame:
     return counts.select("lang", (F.row_number().over(Window.orderBy(F.desc("rows"), F.col("lang").asc_nulls_last())) - 1).alias("model"))
 
 
-def built(counts: DataFrame) -> DataFrame:
-    """model, address, probability and rest of kneser_ney() for each model of count_grams()."""
+def taken(levels: dict[int, DataFrame]) -> DataFrame:
+    """model, order and d, discounts() of all counts of an order."""
+    parts = [own.groupBy("model").agg(F.array(*(F.count_if(F.col("n") == k) for k in range(1, 5))).alias("c")).withColumn("order", F.lit(order)) for order, own in levels.items()]
+    c = lambda k: F.col("c")[k - 1]
+    y = c(1) / (c(1) + 2 * c(2))
+    d = lambda k: F.when(c(1) == 0, 0.5).otherwise(F.greatest(F.least(F.when(c(k) > 0, k - (k + 1) * y * c(k + 1) / c(k)).otherwise(0.5), F.lit(k - 0.05)), F.lit(0.05)))
+    return reduce(DataFrame.unionByName, parts).select("model", "order", F.array(d(1), d(2), d(3)).alias("d"))
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """model, gram and log_p of every n-gram of counts (model, gram, n): the interpolated model, order by order from single units up."""
+    levels = {ORDER: cut(counts)}
+    for order in range(ORDER - 1, 0, -1):
+        shorter = F.col("gram").bitwiseAND(F.lit(int(_low(order)))).alias("gram")
+        levels[order] = cut(levels[order + 1].select("model", shorter).groupBy("model", "gram").agg(F.count("*").alias("n")))
+    off = cut(taken(levels))
+    lower = None
+    for order in range(1, ORDER + 1):
+        own = levels[order].join(off.where(F.col("order") == order).drop("order"), "model")
+        own = own.withColumns({"off": F.col("d")[F.least("n", F.lit(3)).cast("int") - 1], "context": F.shiftrightunsigned("gram", BITS)}).drop("d")
+        totals = own.groupBy("model", "context").agg(F.sum("n").alias("total"), F.sum("off").alias("saved"))
+        own = own.join(totals, ["model", "context"])
+        if lower is None:
+            own = own.withColumn("base", F.lit(1.0 / (1 << BITS)))
+        else:
+            own = own.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(int(_low(order - 1)))))
+            own = own.join(lower.select("model", F.col("gram").alias("suffix"), F.col("p").alias("base")), ["model", "suffix"])
+        lower = cut(own.select("model", "gram", ((F.col("n") - F.col("off")) / F.col("total") + F.col("saved") / F.col("total") * F.col("base")).alias("p")))
+    return lower.select("model", "gram", F.log("p").alias("log_p"))
+
+
+class Slice(NamedTuple):
+    """address: sorted; log_p of each. N-grams of other slices count nothing."""
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        m = kneser_ney(own)
-        return pd.DataFrame({"model": own["model"].iloc[0], "address": m.address.view(np.int64), "probability": m.probability, "rest": m.rest})
+    address: np.ndarray
+    log_p: np.ndarray
 
-    return counts.groupBy("model").applyInPandas(run, "model int, address long, probability double, rest double")  # 1 / rarest rows of a model at most
+    def log_probability(self, model: int, gram: np.ndarray) -> np.ndarray:
+        key = address(model, ORDER, gram)
+        at = np.minimum(np.searchsorted(self.address, key), max(len(self.address) - 1, 0))
+        return np.where(self.address[at] == key, self.log_p[at], 0.0) if len(self.address) else np.zeros(len(key))
 
 
-def joined(own: pd.DataFrame) -> KneserNey:
-    """One model of the rows of built()."""
-    key = own["address"].to_numpy(np.int64).view(np.uint64)
+def sliced(own: pd.DataFrame) -> Slice:
+    """One slice of the rows of probabilities()."""
+    gram, model = own["gram"].to_numpy(np.int64).view(np.uint64), own["model"].to_numpy()
+    key = np.concatenate([np.zeros(0, np.uint64), *(address(m, ORDER, gram[model == m]) for m in np.unique(model))])
+    value = np.concatenate([np.zeros(0), *(own["log_p"].to_numpy(np.float64)[model == m] for m in np.unique(model))])
     order = np.argsort(key)
-    return KneserNey(key[order], own["probability"].to_numpy(np.float64)[order], own["rest"].to_numpy(np.float64)[order])
+    return Slice(key[order], value[order])
 
 
 class Known:
     """Log probabilities of n-grams looked up before, by model: sorted n-grams, at most `most`."""
 
-    def __init__(self, model: KneserNey, most: int = 1 << 21):
+    def __init__(self, model: Slice, most: int = 1 << 21):
         self.model, self.most, self.kept = model, most, {}
 
     def of(self, m: int, code: np.ndarray) -> np.ndarray:
@@ -242,17 +271,19 @@ class Known:
         return value[at]
 
 
-def judge(df: DataFrame, wave: int = 1 << 21, rarest: float = 2.0**-20, reach: float = 3.0, least_range: float = 0.02) -> DataFrame:
+def judge(df: DataFrame, wave: int = 1 << 21, reach: float = 3.0, least_range: float = 0.02) -> DataFrame:
     """doc_id, the counts of base_counts(), base_failed, perplexity, low and high (its band) and kept of each row."""
+    spark = df.sparkSession
     names = cut(models(df))
     source = df.select("doc_id", F.col("lang").alias("own"), "text", F.md5(F.col("text").cast("binary")).alias("key"))
     named = lambda some: source.join(some, F.col("own").eqNullSafe(F.col("lang"))).select("doc_id", "text", "key", "model")
-    built_models = cut(built(without_rare(count_grams(named(names).dropDuplicates(["model", "key"])), rarest)))
-    sizes = names.join(built_models.groupBy("model").agg(F.count("*").alias("n")), "model", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    known_grams = cut(probabilities(count_grams(named(names).dropDuplicates(["model", "key"]))))
+    sizes = names.join(known_grams.groupBy("model").agg(F.count("*").alias("n")), "model", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     before = F.sum("n").over(Window.orderBy("model")) - F.col("n")
-    waves = cut(sizes.select("lang", "model", F.floor(before / wave).alias("wave")))
+    slices = F.greatest(F.ceil(F.col("n") / wave), F.lit(1))
+    waves = cut(sizes.select("lang", "model", slices.alias("slices"), F.when(slices > 1, -1 - F.col("model")).otherwise(F.floor(before / wave)).alias("wave")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scores(batches: Iterator[pd.DataFrame], shared) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
         known = Known(shared.value)
         for b in batches:
             b = b.reset_index(drop=True)
@@ -262,19 +293,37 @@ def judge(df: DataFrame, wave: int = 1 << 21, rarest: float = 2.0**-20, reach: f
                     at = own.index.to_numpy()[first : first + n]
                     sums[at] = np.bincount(doc, known.of(int(m), code), n)
                     places[at] = np.bincount(doc, minlength=n)
-            base = base_counts(list(b["text"]))
-            out = pd.DataFrame(base, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
-            yield out.assign(doc_id=b["doc_id"], key=b["key"], model=b["model"].astype(np.int32), log_perplexity=np.where(base[:, 0] > 0, -sums / np.maximum(places, 1), 0.0))
+            yield b, sums, places
+
+    def whole(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+        for b, sums, places in scores(batches, shared):
+            out = pd.DataFrame(base_counts(list(b["text"])), columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+            yield out.assign(doc_id=b["doc_id"], key=b["key"], model=b["model"].astype(np.int32), sums=sums, places=places)
+
+    def rest(batches: Iterator[pd.DataFrame], shared) -> Iterator[pd.DataFrame]:
+        for b, sums, _ in scores(batches, shared):
+            yield pd.DataFrame({"key": b["key"], "model": b["model"].astype(np.int32), "more": sums})
 
     kind = df.schema["doc_id"].dataType.simpleString()
-    schema = f"n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, doc_id {kind}, key string, model int, log_perplexity double"
-    parts = []
-    for (k,) in waves.select("wave").distinct().orderBy("wave").collect() or [(0,)]:
-        some = waves.where(F.col("wave") == k)
-        shared = df.sparkSession.sparkContext.broadcast(joined(built_models.join(some.select("model"), "model", "left_semi").toPandas()))  # `wave` rows and one model more, at most
-        parts.append(cut(named(some).mapInPandas(run, schema)))
-        shared.destroy()
+    schema = f"n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, doc_id {kind}, key string, model int, sums double, places double"
+    parts, others = [], []
+    for k, n in waves.groupBy("wave").agg(F.max("slices")).orderBy("wave").collect() or [(0, 1)]:
+        some = waves.where(F.col("wave") == k).select("lang", "model")
+        held = known_grams.join(some.select("model"), "model", "left_semi")
+        for piece in range(n):
+            own = held if n == 1 else held.where(F.pmod(F.xxhash64("gram"), F.lit(n)) == piece)
+            shared = spark.sparkContext.broadcast(sliced(own.toPandas()))  # about `wave` rows, with one small model more at most
+            if piece == 0:
+                parts.append(cut(named(some).mapInPandas(lambda b, shared=shared: whole(b, shared), schema)))
+            else:
+                texts = named(some).dropDuplicates(["model", "key"])
+                others.append(cut(texts.mapInPandas(lambda b, shared=shared: rest(b, shared), "key string, model int, more double")))
+            shared.destroy()
     scored = reduce(DataFrame.unionByName, parts)
+    if others:
+        more = cut(reduce(DataFrame.unionByName, others).groupBy("model", F.coalesce("key", F.lit("")).alias("_key")).agg(F.sum("more").alias("more")))
+        scored = scored.withColumn("_key", F.coalesce("key", F.lit(""))).join(more, ["model", "_key"], "left").withColumn("sums", F.col("sums") + F.coalesce("more", F.lit(0.0)))
+    scored = scored.withColumn("log_perplexity", F.when(F.col("n_words") > 0, -F.col("sums") / F.greatest("places", F.lit(1.0))).otherwise(0.0))
     scored = scored.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     q = F.percentile(F.round("log_perplexity", 3), F.array(F.lit(0.25), F.lit(0.75)))
     texts = scored.where(~F.col("base_failed")).groupBy("model", "key").agg(F.first("log_perplexity").alias("log_perplexity"))

@@ -137,10 +137,43 @@ def test_perplexity_equals_plain_counting(spark):
     assert perplexity.base_counts(["a b c a b c\n\nx #\nx #"]).tolist() == [[10, 10, 2, 1, 6]]
 
 
+def plain_log_p(texts):
+    codes = Counter(int(c) for _, _, _, code in perplexity.grams(texts) for c in code)
+    gram = np.array(list(codes), np.uint64)
+    own = pd.DataFrame({"model": 0, "gram": gram.view(np.int64), "n": list(codes.values())})
+    return own, dict(zip(own["gram"].tolist(), perplexity.kneser_ney(own).log_probability(0, gram).tolist(), strict=True))
+
+
+def test_perplexity_model_of_spark_equals_the_model_in_memory(spark):
+    """Two models at once; the last text has units above 2**15, whose n-grams are negative as long."""
+    counts, want = [], {}
+    for m, texts in enumerate([[prose(300, 5), prose(90, 6)], ["\uf222\uff57 \u6f22\uf222\uff57", "a"]]):
+        own, told = plain_log_p(texts)
+        counts.append(own.assign(model=m))
+        want |= {(m, g): p for g, p in told.items()}
+    got = {(r["model"], r["gram"]): r["log_p"] for r in perplexity.probabilities(spark.createDataFrame(pd.concat(counts), "model int, gram long, n long")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_perplexity_of_more_than_a_million_places(spark):
+    """As shipped, above 2**20 n-grams of a language: every n-gram counts, and small slices give what one model gives."""
+    rows = [(i, prose(6000, i) + f" only{i}", "en") for i in range(24)]
+    own, told = plain_log_p([r[1] for r in rows])
+    assert own["n"].sum() > 1 << 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = {r["doc_id"]: r for r in perplexity.judge(df).collect()}
+    again = {r["doc_id"]: r for r in perplexity.judge(df, wave=len(told) // 3).collect()}
+    for key, text, _ in rows:
+        ((_, _, _, code),) = perplexity.grams([text])
+        want = -np.mean([told[int(np.int64(np.uint64(c).view(np.int64)))] for c in code])
+        assert abs(math.log(got[key]["perplexity"]) - want) < 1e-9 and abs(math.log(again[key]["perplexity"]) - want) < 1e-9
+        assert got[key]["kept"] == again[key]["kept"]
+
+
 def test_perplexity_bands(spark):
     """perplexity, low, high and kept of every row, from the plain model and the definition of the band."""
     rows = [(i, prose(55 + i, i), "en" if i % 3 else "de") for i in range(24)] + [(100, "zq " * 60 + prose(50, 3), "en"), (101, "short", "de"), (102, None, "de")]
-    got = {r["doc_id"]: r for r in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rarest=0.0).collect()}
+    got = {r["doc_id"]: r for r in perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert len(got) == len(rows)
     for lang in ("en", "de"):
         own = [r for r in rows if r[2] == lang]
