@@ -257,7 +257,8 @@ def walks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if len(out["entry"]) >= 1 << 14:
             yield pd.DataFrame(out)
             out = {n: [] for n in STEPS}
-    yield pd.DataFrame(out)
+    if out["entry"]:  # Arrow takes empty lists for numbers
+        yield pd.DataFrame(out)
 
 
 def entries(own: pd.DataFrame) -> pd.DataFrame:
