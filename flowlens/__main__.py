@@ -1,9 +1,8 @@
-"""python -m flowlens CAPTURE [--rules FILE] [--capacity N] [--json FOLDER] [--stix FOLDER] [--html FILE] [--carve-all FOLDER] [--version]"""
+"""python -m flowlens CAPTURE [--rules FILE] [--capacity N] [--json FOLDER] [--stix FOLDER] [--html FILE] [--carve-all FOLDER [--carve-form FORM] [--alert ID]] [--version]"""
 
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -19,6 +18,8 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("capture")
     for name in ("--rules", "--json", "--stix", "--html", "--carve-all"):
         parser.add_argument(name)
+    parser.add_argument("--carve-form", choices=["pcap", "pcapng"], default="pcap", help="pcapng: each packet says which alert it is of")
+    parser.add_argument("--alert", help="carve this alert alone")
     parser.add_argument("--capacity", type=int, help="also count the flows that a flow table of this capacity would open")
     parser.add_argument("--version", action="version", version=f"flowlens {VERSION}")
     a = parser.parse_args(argv)
@@ -40,10 +41,7 @@ def main(argv: list[str] | None = None) -> int:
         with open(a.html, "w", encoding="utf-8") as f:
             f.write(T.html_report(run))
     if a.carve_all:
-        os.makedirs(a.carve_all, exist_ok=True)
-        for row in T.carved(spark, run).toLocalIterator():  # one alert's capture after the other
-            with open(os.path.join(a.carve_all, f"{row['alert_id']}.pcap"), "wb") as f:
-                f.write(row["capture"])
+        T.write_carved(spark, run, a.carve_all, a.carve_form, a.alert)
     return 0
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from flowlens import config
 from flowlens.functions import net
+from flowlens.functions.patterns import first_pattern
 from flowlens.operators import flows
 from flowlens.operators.beacons import Prefix, interval_stats
 from flowlens.operators.combinators import crossed, first_match, running
@@ -212,10 +213,19 @@ def ja3(packets: DataFrame, cfg: dict) -> DataFrame:
 def file_magic(packets: DataFrame, cfg: dict) -> DataFrame:
     """File signatures in the first bytes of clear payloads, once for a flow."""
     rows = flows.with_flow(packets).where(~F.col("endpoint_a_port").isin(config.ENCRYPTED_PORTS) & ~F.col("endpoint_b_port").isin(config.ENCRYPTED_PORTS) & (F.octet_length("payload") >= 4) & _enabled(cfg, "file_carver"))
+    if listed := cfg["file_carver"].get("signatures"):  # a list of the user's own: bytes, name, severity, stage
+        told = first_pattern(F.substring("payload", 1, 512), [m for m, *_ in listed])
+        facts = F.array(*(F.struct(*(F.lit(x) for x in (m.hex(), *rest))) for m, *rest in listed))
+        rows = rows.withColumn("told", told).where("told is not null").withColumn("fact", F.get(facts, F.col("told.place")))
+        return _signed(rows.select("*", *(F.col(f"fact.col{i}").alias(c) for i, c in enumerate(("magic", "file", "sev", "stg"), 1)), F.col("told.at").alias("at")).drop("told", "fact"), cfg)
     at = {m: F.expr(f"position(X'{m.hex()}', substring(payload, 1, 512))") for m, *_ in config.MAGIC}
     pick = lambda value: F.coalesce(*(F.when(at[m[0]] > 0, value(m)) for m in config.MAGIC))
     rows = rows.withColumns({"magic": pick(lambda m: F.lit(m[0].hex())), "file": pick(lambda m: F.lit(m[1])), "sev": pick(lambda m: F.lit(m[2])), "stg": pick(lambda m: F.lit(m[3])), "at": pick(lambda m: at[m[0]] - 1)})
-    found = first_match(rows.where("magic is not null"), ["flow_id"], cfg=cfg)
+    return _signed(rows.where("magic is not null"), cfg)
+
+
+def _signed(rows: DataFrame, cfg: dict) -> DataFrame:
+    found = first_match(rows, ["flow_id"], cfg=cfg)
     proof = [F.lit("File signature").alias("metric"), F.col("flow_id").alias("flow_id"), F.lit(True).alias("unencrypted_channel"), F.col("file").alias("detected_file_type"), F.col("magic").alias("magic_bytes_hex"), F.decode(F.unhex("magic"), "ISO-8859-1").alias("magic_bytes_ascii"), F.col("at").alias("payload_offset")]
     return alerts(found, "file_carver", "RULE-FILE-MAGIC-01", F.concat("flow_id", F.lit("+"), "magic"), F.col("sev"), F.col("stg"), F.col("protocol").cast("string"), proof)
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from flowlens import config
 from flowlens.functions import net
+from flowlens.functions.patterns import MOST, first_pattern
+from flowlens.functions.prefixes import longest_prefix
 from flowlens.operators import alerts as A
 from flowlens.operators import combinators, detectors, flows
 from flowlens.plans.projection import KNOWN_JA3, packets, with_packets
@@ -75,6 +77,21 @@ def cidr_internal(spark, d):
     return rows.select("ip", net.is_internal(F.col("ip"), nets).alias("internal"), net.ipv4_number(F.col("ip")).alias("number"))
 
 
+def cidr_longest(spark, d):
+    """Packets by destination and by the longest of the networks, as many as customers, that holds it."""
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*(p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts))
+    networks = spark.read.parquet(f"{d}/customer.parquet").select(text("10.", k % 2, ".", k % 5, ".", k % 256, "/", 14 + k % 18).alias("network"))
+    return longest_prefix(_p(spark, d), "dst_ip", networks, six=False).groupBy("dst_ip", "prefix_len").agg(F.count("*").alias("packets"))
+
+
+def text_signatures(spark, d):
+    """The first passage of benchmark, by the first 40 bytes, that each document holds, and where."""
+    listed = [(r["item_id"], r["head"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.substring(F.col("text").cast("binary"), 1, 40).alias("head")).orderBy("item_id").limit(MOST + 1).collect()]
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", first_pattern(F.col("text").cast("binary"), [bytes(h) for _, h in listed]).alias("told"))
+    return docs.where("told is not null").select("doc_id", F.get(F.array(*(F.lit(i) for i, _ in listed)), F.col("told.place")).alias("item_id"), F.col("told.at").alias("at"))
+
+
 def _names(spark, d):
     return _p(spark, d).where("dns_qname is not null").select("dns_qname").distinct()
 
@@ -224,7 +241,7 @@ def full_triage(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        packets_projection, flow_key, flow_agg, flow_tcp_state, flow_count, flow_instances, iat_stats, beacon_prefix, cidr_internal, dns_noise_filter, subdomain_split, consonant_run,
+        packets_projection, flow_key, flow_agg, flow_tcp_state, flow_count, flow_instances, iat_stats, beacon_prefix, cidr_internal, cidr_longest, text_signatures, dns_noise_filter, subdomain_split, consonant_run,
         shannon_entropy, page_names, tcp_flag_names, http_parse, ja3_string, ja4, running_distinct, topk_targets, stream_alerts, alert_union, alert_dedup, severity_counts, alert_search, entity_expand,
         entity_timeline, entity_timeline_alerts, dns_telemetry, suspicious_payloads, summary_stats, alert_packets, evidence_offsets, stix_objects, json_report, full_triage,
     )
@@ -248,6 +265,11 @@ QUERIES = {
 # DuckDB SQL -----------------------------------------------------------------------------------------------------------
 
 
+def _number(ip: str) -> str:
+    """An IPv4 address as a number."""
+    return "(" + " + ".join(f"CAST(split_part({ip}, '.', {i}) AS BIGINT) * {256 ** (4 - i)}" for i in range(1, 5)) + ")"
+
+
 def _in(words: list) -> str:
     return "(" + ", ".join(f"'{w}'" if isinstance(w, str) else str(w) for w in words) + ")"
 
@@ -444,6 +466,12 @@ ORACLE_SQL = {
         "s AS (SELECT flow_id, seq, lag(seq) OVER (PARTITION BY flow_id ORDER BY seq) AS prev, lead(seq) OVER (PARTITION BY flow_id ORDER BY seq) AS next FROM p)",
     ),
     "iat_stats": with_packets("SELECT flow_id, n, round(mean, 3) AS mean, round(stddev, 3) AS stddev, round(median, 3) AS median, round(mad, 3) AS mad FROM gs", GAPS),
+    "cidr_longest": with_packets(
+        "SELECT dst_ip, max(len) AS prefix_len, any_value(n) AS packets FROM t LEFT JOIN w ON t.a >> (32 - len) = w.a >> (32 - len) GROUP BY dst_ip",
+        f"w AS (SELECT DISTINCT {_number("'10.' || (c_custkey % 2) || '.' || (c_custkey % 5) || '.' || (c_custkey % 256)")} AS a, CAST(14 + c_custkey % 18 AS INTEGER) AS len FROM customer)",
+        f"t AS (SELECT dst_ip, {_number('dst_ip')} AS a, count(*) AS n FROM p GROUP BY dst_ip)",
+    ),
+    "text_signatures": "SELECT doc_id, min(item_id) AS item_id, CAST(arg_min(strlen(left(text, pos - 1)), item_id) AS INTEGER) AS at FROM (SELECT doc_id, d.text, item_id, instr(d.text, left(b.text, 40)) AS pos FROM documents d, benchmark b WHERE contains(d.text, left(b.text, 40))) GROUP BY doc_id",
     "cidr_internal": with_packets(
         """SELECT ip, starts_with(ip, '10.') OR starts_with(ip, '192.168.') OR starts_with(ip, '127.') AS internal, CAST(string_split(ip, '.')[1] AS BIGINT) * 16777216 + CAST(string_split(ip, '.')[2] AS BIGINT) * 65536 + CAST(string_split(ip, '.')[3] AS BIGINT) * 256 + CAST(string_split(ip, '.')[4] AS BIGINT) AS number
         FROM (SELECT src_ip AS ip FROM p UNION SELECT dst_ip FROM p)"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flowlens import VERSION, config
 from flowlens.operators import alerts as A
 from flowlens.operators import flows
-from flowlens.sources.carve import carve
+from flowlens.sources import carve
 from flowlens.sources.pcap import read_captures
 from flowlens.tables import cut, drop
 
@@ -46,10 +46,18 @@ def triage_path(spark: SparkSession, path: str, rules: dict | None = None) -> Tr
     return triage(read_captures(spark, path), rules)
 
 
-def carved(spark: SparkSession, run: Triage) -> DataFrame:
-    """alert_id and capture (bytes) of each alert: its packets, read again from their files."""
+def carved(spark: SparkSession, run: Triage, alert: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Files of the captures, and evidence (alert_id, path, file_offset, comment) of all alerts, or of the one with this id."""
+    some = run.alerts if alert is None else run.alerts.where(F.col("alert_id") == alert)
+    note = F.concat(F.lit("["), "alert_id", F.lit("] "), "rule_id", F.lit(" - "), "title")
+    named = run.evidence.join(some.select("alert_id", note.alias("comment")), "alert_id")
     files = spark.read.format("binaryFile").load([r["capture_id"] for r in run.packets.select("capture_id").distinct().collect()])
-    return carve(files, run.evidence.select("alert_id", F.col("capture_id").alias("path"), "file_offset"))
+    return files, named.select("alert_id", F.col("capture_id").alias("path"), "file_offset", "comment")
+
+
+def write_carved(spark: SparkSession, run: Triage, folder: str, form: str = "pcap", alert: str | None = None) -> None:
+    """A capture of its packets for each alert, or for the one with this id."""
+    carve.write_carved(*carved(spark, run, alert), folder, form)
 
 
 def _first(rows: DataFrame, order, most: int, line) -> list[str]:
