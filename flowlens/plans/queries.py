@@ -89,7 +89,7 @@ def text_signatures(spark, d):
     """The first passage of benchmark, by the first 40 bytes, that each document holds, and where."""
     listed = [(r["item_id"], r["head"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", F.substring(F.col("text").cast("binary"), 1, 40).alias("head")).orderBy("item_id").limit(MOST + 1).collect()]
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", first_pattern(F.col("text").cast("binary"), [bytes(h) for _, h in listed]).alias("told"))
-    return docs.where("told is not null").select("doc_id", F.get(F.array(*(F.lit(i) for i, _ in listed)), F.col("told.place")).alias("item_id"), F.col("told.at").alias("at"))
+    return docs.where("told is not null").select("doc_id", F.get(F.array(*(F.lit(i) for i, _ in listed)).cast("array<bigint>"), F.col("told.place")).alias("item_id"), F.col("told.at").alias("at"))
 
 
 def _names(spark, d):
