@@ -14,8 +14,10 @@ runs between them are the differing branches, and are gone into, down to spans.
 share of spans passed over (twice these by all of both), 1 for equal roots; what moved past something else is not passed over.
 
 Null texts count as empty; an empty text has one empty span. Rows that are equal in id come in the order of their text
-hashes, a null id last. Repeated rows give repeated results; an empty table gives none; other columns don't matter. Rows are dealt
-by ranges of ids, one id's by ranges of text hashes, one text's by lot, of about PART_BYTES each.
+hashes, a null id last; ids are of any type that can be ordered, numbers by size, texts by code points. Repeated rows give repeated
+results; an empty table gives none; other columns don't matter. Rows are dealt by ranges of ids, one id's by ranges of text hashes,
+one text's by lot, of about PART_BYTES each, but no more than MOST_PARTS, as a task takes its range in batches. Every task leaves its
+first and last row beside its results, and the last row of each meets the first of the next in a join of as many rows as there are tasks.
 """
 
 from __future__ import annotations
@@ -24,19 +26,24 @@ import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
 
-from flowlens.llm._text import hash_runs, mix, words
+from flowlens.llm._spark import cut
+from flowlens.llm._text import hash_runs, words
 
 SPAN_WORDS, SECTION_PARAGRAPHS, SPAN_HEX, NODE_HEX = 4, 8, 6, 8
 DOCS_AT_ONCE = 256
-LEAST_ID = -(1 << 63)
-PART_BYTES = 64 << 20
+PART_BYTES, MOST_PARTS = 64 << 20, 1 << 14
 
 _VALUES = np.random.Generator(np.random.PCG64(11)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
@@ -216,76 +223,72 @@ def fingerprint(df: DataFrame, text: str = "text", into: str = "fingerprint") ->
     return df.withColumn(into, of(F.col(text)))
 
 
-def bounds(rows: DataFrame, parts: int) -> np.ndarray:
-    """Where each part but the first begins, as sorted bytes of place(): at quantiles of ids; ids and texts with more than a part's
-    share of rows (so fewer than there are parts) are divided by text hash and by lot."""
-    ids = rows.agg(F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0] or []
-    out = {place(i) for i in ids}
-    least = max(2, rows.count() // parts)
-    for r in rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > least).collect():
-        steps = -(-r["n"] // least)
-        out |= {place(r["id"]), place(r["id"] - 1) if r["id"] > LEAST_ID else place(r["id"], "g")} | {place(r["id"], f"{k * 65536 // steps:04x}") for k in range(1, steps)}
-    for r in rows.groupBy("id", "hash").agg(F.count("*").alias("n")).where(F.col("n") > least).collect():
-        steps = -(-r["n"] // least)
-        out |= {place(r["id"], r["hash"]), place(r["id"], r["hash"] + "~")} | {place(r["id"], r["hash"], f"{k * 65536 // steps:04x}") for k in range(1, steps)}
-    return np.array(sorted(out), "S52")
+def order() -> list[Column]:
+    """How documents follow each other."""
+    return [F.desc_nulls_last("doc_id"), F.asc("hash"), F.asc("lot")]
 
 
-def place(key: int, text_hash: str = "", lot: str = "") -> bytes:
-    """Bytes in the order of rows: descending ids, then text hashes, then the lot."""
-    return f"{(1 << 63) - 1 - key:016x}{text_hash:32}{lot}".encode()
-
-
-def with_next(df: DataFrame) -> DataFrame:
-    """Rows (part, last, doc_id, text) in partitions sorted by part, then last, then descending doc_id. A part is a range of
-    places, and ends with a row (last true) that repeats the first row of the part after it, or of all after the last one."""
-    spark = df.sparkSession
+def in_order(df: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, hash, lot) in partitions that are ranges of descending ids, null last, then of text hashes, then of the lot."""
     text = F.coalesce("text", F.lit(""))
-    rows = df.select("doc_id", text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), F.md5(text.cast("binary")).alias("hash"), F.monotonically_increasing_id().alias("row"))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
-    begins = bounds(rows.select("id", "hash"), 4 * tasks)  # some parts for each task, so that tasks are even
-
-    @F.pandas_udf("int")
-    def part(ids: pd.Series, hashes: pd.Series, numbers: pd.Series) -> pd.Series:
-        lots = mix(numbers.to_numpy(np.int64).view(np.uint64)) >> np.uint64(48)
-        own = np.array([place(i, h, f"{k:04x}") for i, h, k in zip(ids.tolist(), hashes.tolist(), lots.tolist(), strict=True)], "S52")
-        return pd.Series(np.searchsorted(begins, own, "right").astype(np.int32))
-
-    dealt = rows.withColumn("part", part("id", "hash", "row")).drop("row")
-    ordered = F.struct((-F.col("id").cast("decimal(20,0)")).alias("down"), "hash", "id")
-    firsts = sorted((r["part"], r["first"]["id"], r["first"]["hash"]) for r in dealt.groupBy("part").agg(F.min(ordered).alias("first")).collect())  # a row for each part
-    links = [(before[0], *after[1:]) for before, after in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)]
-    ends = F.broadcast(spark.createDataFrame(links, "to int, id long, hash string"))
-    repeated = rows.join(ends, ["id", "hash"]).groupBy("to").agg(F.first(F.struct("doc_id", "text", "id", "hash")).alias("r")).select(F.col("to").alias("part"), F.lit(True).alias("last"), "r.*")
-    dealt = dealt.withColumn("last", F.lit(False)).select("part", "last", "doc_id", "text", "id", "hash").unionByName(repeated).repartition(tasks, "part")
-    return dealt.sortWithinPartitions("part", "last", F.desc("id"), "hash").drop("id", "hash")
+    rows = df.select("doc_id", text.alias("text"), F.md5(text.cast("binary")).alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("lot"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // PART_BYTES, MOST_PARTS), 1)
+    return rows.repartitionByRange(parts, *order()).sortWithinPartitions(*order())
 
 
 def compare_with_edit(df: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, whose second half comes from the next document by descending id."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: list[tuple] = []
+    kind = df.schema["doc_id"].dataType
+    result = "doc_id {}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double".format(kind.simpleString())
+    edge = f"{result}, edge string, task int, hash string, lot long, text string"
+    form, pairs_form = to_arrow_schema(DataType.fromDDL(edge)), to_arrow_schema(DataType.fromDDL(result))
+
+    def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+    def with_next(rows: list[tuple]) -> list[tuple]:
+        """The result of each row (doc_id, text, next text)."""
+        texts = [r[1] for r in rows]
+        edited = [t[: len(t) - len(t) // 2] + r[2][: len(t) // 2] for t, r in zip(texts, rows, strict=True)]
+        follow = [k + 1 if k + 1 < len(rows) and r[2] is texts[k + 1] else -1 for k, r in enumerate(rows)]
+        own, new = trees(texts), trees(edited)
+        after = iter(trees([r[2] for r, k in zip(rows, follow, strict=True) if k < 0]))
+        out = []
+        for r, t, e, x, k in zip(rows, own, new, edited, follow, strict=True):
+            sha = hashlib.sha256(x.encode("utf-8", "replace")).hexdigest()
+            out.append((r[0], len(r[1]), sha, t.text(), e.text(), likeness(t, e), likeness(t, own[k] if k >= 0 else next(after))))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Results of all rows but the task's last, and the task's first and last row."""
+        task, last = TaskContext.get().partitionId(), None
+        at_edge = lambda r, name: (r[0], *[None] * 6, name, task, r[2], r[3], r[1])
         for b in batches:
-            rows = rest + list(zip(b["part"], b["last"], b["doc_id"], b["text"], strict=True))
+            rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+            if not rows:
+                continue
+            if last is None:
+                yield batch([at_edge(rows[0], "first")], form)
+            else:
+                rows.insert(0, last)
+            last = rows[-1]
             for k in range(0, len(rows) - 1, DOCS_AT_ONCE):
-                yield edited_and_next(rows[k : k + DOCS_AT_ONCE + 1])
-            rest = rows[-1:]
-
-    def edited_and_next(rows: list[tuple]) -> pd.DataFrame:
-        """Of all rows but the last one, each with the row after it."""
-        own = [i for i, r in enumerate(rows[:-1]) if not r[1]]
-        texts = [r[3] for r in rows]
-        edited = [texts[i][: len(texts[i]) - len(texts[i]) // 2] + texts[i + 1][: len(texts[i]) // 2] for i in own]
-        t, e = trees(texts), trees(edited)
-        return pd.DataFrame(
-            [
-                (rows[i][2], len(texts[i]), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), t[i].text(), x.text(), likeness(t[i], x), likeness(t[i], t[i + 1]))
-                for i, new, x in zip(own, edited, e, strict=True)
-            ],
-            columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            dtype=object,
-        )
-
-    kind = df.schema["doc_id"].dataType.simpleString()
-    return with_next(df).mapInPandas(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                some = rows[k : k + DOCS_AT_ONCE + 1]
+                yield batch([(*r, *[None] * 5) for r in with_next([(r[0], r[1], after[1]) for r, after in pairwise(some)])], form)
+        if last is not None:
+            yield batch([at_edge(last, "last")], form)
+
+    def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield batch(with_next(list(zip(*(c.to_pylist() for c in b.columns), strict=True))), pairs_form)
+
+    found = cut(in_order(df).mapInArrow(run, edge))
+    names = pairs_form.names
+    first, last = (found.where(F.col("edge") == name).select("task", "doc_id", "hash", "lot", "text") for name in ("first", "last"))
+    by = Window.orderBy(*order())  # a row for each task, without its text
+    follows = first.select("task", F.coalesce(F.lead("task").over(by), F.first("task").over(by)).alias("after"))
+    pairs = last.select("task", "doc_id", "text").join(follows, "task").join(first.select(F.col("task").alias("after"), F.col("text").alias("next")), "after")
+    ends = pairs.select("doc_id", "text", "next").mapInArrow(run_pairs, result)
+    return found.where("edge IS NULL").select(*names).unionByName(ends)

@@ -4,7 +4,7 @@ Sources, in order of their names (null last), weigh 3, 1, 2, 3, 1, 2 and so on,
 target stops at `most_epochs` times its source's size; what is above is shared again by weight until none is above.
 
 A source first gives complete epochs, all its documents once each. The rest of its target is chosen: each document has
-the key -ln(u) / weight, u a hash of its id in (0, 1) and the weight its quality; documents are sorted by key within the
+the key -ln(u) / weight, u a hash of its id and text in (0, 1) and the weight its quality; documents are sorted by key within the
 source and their sizes prefix-summed, and a document is in as long as at least half of it is within the budget. So the
 words taken differ from the target by half a document at most.
 
@@ -12,8 +12,9 @@ No source is sorted as a whole. A source's keys fall into ranges, and sums by ra
 falls into ranges again, LEVELS times. What is left is added up by equal keys, and these are put in order. So every step is an
 aggregate whose size is fixed, but for the different keys of the last range: one in 2**20 of a source.
 
-Rows that are equal in id and text have the same key. Where the budget ends among them, only as many as fit are chosen: by the
-hash of a row number, its ranges counted in the same way. They can't be told apart, so reruns agree.
+Rows that are equal in id and text have the same key, and are in order of the hash of their other columns. Where the budget ends
+among rows equal in all columns, only as many as fit are chosen: by the hash of a row number, its ranges counted in the same way.
+These can't be told apart, so reruns agree.
 
 A null text or one without words has size 0 and comes with complete epochs only, though it adds nothing. A null id hashes as an
 empty one. Sources are metadata: their rows, not their documents, meet in one task. A weight that is null or below LEAST_QUALITY
@@ -44,16 +45,18 @@ def quality_weight(text: Column) -> Column:
 
 
 def keyed(df: DataFrame, weight: str | None = None, *more: Column) -> DataFrame:
-    """of (the source as text that is never null), source, size, digits (the key's ranges), key, id and hash (of the text), which order
-    a source's rows, tie and row, which order equal ones; more: further columns. weight: a column of document quality."""
+    """of (the source as text that is never null), source, size, digits (the key's ranges), key, id, hash (of the text) and look (of the
+    other columns), which order a source's rows, tie and row, which order equal ones; more: further columns. weight: a column of document quality."""
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    u = (F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+    text_hash = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    look = F.md5(F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(df.columns) if c != "text"))).cast("binary"))
+    u = (F.conv(F.substring(F.md5(F.concat(name, F.lit(":"), text_hash).cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     quality = quality_weight(F.col("text")) if weight is None else F.greatest(F.lit(LEAST_QUALITY), F.coalesce(F.col(weight).cast("double"), F.lit(LEAST_QUALITY)))
     key = -F.log(u) / quality
     bits = DIGIT * LEVELS
     rows = df.select(
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("of"), F.col("source").alias("source"), F.col("doc_id").alias("doc_id"), n_words(F.col("text")).alias("size"), key.alias("key"),
-        name.alias("id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("hash"), F.monotonically_increasing_id().alias("row"), *more,
+        name.alias("id"), text_hash.alias("hash"), look.alias("look"), F.monotonically_increasing_id().alias("row"), *more,
     )
     place = F.least(F.floor((1 - F.exp(-F.col("key"))) * float(1 << bits)), F.lit((1 << bits) - 1)).cast("long")
     digits = F.array(*(F.shiftright(place, DIGIT * (LEVELS - 1 - k)).bitwiseAND((1 << DIGIT) - 1).cast("int") for k in range(LEVELS)))
@@ -84,7 +87,7 @@ def where_it_ends(cells: DataFrame, ends: DataFrame, order: list[str], amount: s
 
 
 def plan(rows: DataFrame, share: float = 1.5, most_epochs: int = 2) -> DataFrame:
-    """For each source of keyed rows: of, source_size, target, epochs, and beyond them the last key, id and hash of which rows are
+    """For each source of keyed rows: of, source_size, target, epochs, and beyond them the last key, id, hash and look of which rows are
     chosen (null: none), with the last tie and row of these (null: none of them, only what comes before)."""
     sizes = rows.groupBy("of", "source").agg(F.sum("size").alias("source_size"))
     goal = targets(sizes.drop("of"), share, most_epochs)
@@ -98,22 +101,22 @@ def plan(rows: DataFrame, share: float = 1.5, most_epochs: int = 2) -> DataFrame
         ends = cut(where_it_ends(near.groupBy("of", "digit").agg(F.sum("size").alias("sum")), ends, ["digit"], "sum").drop("sum"))
         near = near.join(ends.select("of", "digit"), ["of", "digit"], "left_semi").drop("digit")
         ends = ends.drop("digit")
-    groups = near.groupBy("of", "key", "id", "hash", "size").agg(F.count("*").alias("rows")).withColumn("sum", F.col("rows") * F.col("size"))
-    last = where_it_ends(groups, ends, ["key", "id", "hash"], "sum")
+    groups = near.groupBy("of", "key", "id", "hash", "look", "size").agg(F.count("*").alias("rows")).withColumn("sum", F.col("rows") * F.col("size"))
+    last = where_it_ends(groups, ends, ["key", "id", "hash", "look"], "sum")
     fit = F.floor((F.col("budget") - F.col("before")) / F.col("size") + 0.5).cast("long")
-    last = cut(last.select("of", "key", "id", "hash", F.least(fit, "rows").alias("fit")))
-    tied = near.join(last.where("fit > 0").drop("fit"), ["of", "key", "id", "hash"], "left_semi").withColumn("range", F.pmod("tie", F.lit(TIES)))
+    last = cut(last.select("of", "key", "id", "hash", "look", F.least(fit, "rows").alias("fit")))
+    tied = near.join(last.where("fit > 0").drop("fit"), ["of", "key", "id", "hash", "look"], "left_semi").withColumn("range", F.pmod("tie", F.lit(TIES)))
     ties = last.where("fit > 0").select("of", F.col("fit").alias("budget"), F.lit(0).cast("long").alias("before"))
     ties = cut(where_it_ends(tied.groupBy("of", "range").agg(F.count("*").alias("sum")), ties, ["range"], "sum").drop("sum"))
     at = Window.partitionBy("of").orderBy("tie", "row")
     final = tied.join(ties, ["of", "range"]).withColumn("n", F.row_number().over(at)).where(F.col("n") == F.col("budget") - F.col("before"))
     final = final.select("of", F.struct("range", "tie", "row").alias("tied"))
-    return goal.join(last.select("of", F.struct("key", "id", "hash").alias("last")), "of", "left").join(final, "of", "left")
+    return goal.join(last.select("of", F.struct("key", "id", "hash", "look").alias("last")), "of", "left").join(final, "of", "left")
 
 
 def times(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Keyed rows with source_size, target and times: how often the mix takes each."""
-    own, tie = F.struct("key", "id", "hash"), F.struct(F.pmod("tie", F.lit(TIES)).alias("range"), F.col("tie"), F.col("row"))
+    own, tie = F.struct("key", "id", "hash", "look"), F.struct(F.pmod("tie", F.lit(TIES)).alias("range"), F.col("tie"), F.col("row"))
     chosen = (F.col("size") > 0) & ((own < F.col("last")) | ((own == F.col("last")) & F.coalesce(tie <= F.col("tied"), F.lit(False))))
     out = rows.join(sources, "of")
     return out.withColumn("times", (F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("int")).cast("int"))
@@ -137,7 +140,7 @@ ORACLE_SQL = rf"""
 WITH k AS (
   SELECT doc_id, source,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    -ln((CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+    -ln((CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
       / greatest({LEAST_QUALITY}::DOUBLE, coalesce(1.0::DOUBLE - 4.0::DOUBLE * (length(text) - length(translate(text, '{SIGNS}', ''))) / greatest(length(text), 1), 1.0::DOUBLE)) AS key,
     coalesce(CAST(doc_id AS VARCHAR), '') AS id, md5(coalesce(text, '')) AS h
   FROM documents),

@@ -41,7 +41,7 @@ def brute_mix(rows, weight=None):
     size = lambda t: len(words(t))
     by = defaultdict(list)
     for key, text, source, *_ in rows:
-        u = (int(hashlib.md5(("" if key is None else str(key)).encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        u = (int(hashlib.md5(f"{'' if key is None else key}:{hashlib.md5((text or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
         own = 1 - 4 * sum(c in mixing.SIGNS for c in text or "") / max(len(text or ""), 1) if weight is None else weight(text)
         by[source].append((-math.log(u) / max(mixing.LEAST_QUALITY, own), "" if key is None else str(key), hashlib.md5((text or "").encode()).hexdigest(), key, text))
     names = sorted(by, key=lambda s: (s is None, s or ""))

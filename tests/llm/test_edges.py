@@ -276,6 +276,19 @@ def test_merkle_likeness_and_located_edits(seed):
     assert moved.root != a.root and merkle.likeness(a, moved) < 0.8
 
 
+@pytest.mark.parametrize(("kind", "ids"), [("string", ["b", "a", None, "10", "9", "a"]), ("long", [2**60 + 1, 2**60, None, -(2**63), 2**63 - 1, 5]), ("string", ["only"])])
+def test_merkle_ids_of_any_type(spark, kind, ids):
+    rows = [(key, f"text {i} of\nsome lines") for i, key in enumerate(ids)]
+    order = sorted(rows, key=lambda r: hashlib.md5(r[1].encode()).hexdigest())
+    order = sorted((r for r in order if r[0] is not None), key=lambda r: r[0], reverse=True) + [r for r in order if r[0] is None]
+    want = Counter()
+    for (key, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(text) // 2
+        want[key, hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()] += 1
+    got = merkle.compare_with_edit(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3))
+    assert got.schema["doc_id"].dataType.simpleString() == {"long": "bigint"}.get(kind, kind) and Counter((r["doc_id"], r["edited_sha256"]) for r in got.collect()) == want
+
+
 def test_merkle_where_ids_and_texts_are_shared(spark):
     rows = [(7, "a copied text of some words")] * 40 + [(7, f"text {i} of one id") for i in range(30)] + [(None, f"no id {i}") for i in range(25)] + [(i, f"own {i}\nline") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
@@ -379,6 +392,13 @@ def test_mixing_splits_ties_and_equals_plain_sorting(spark, rows):
     assert mixed == +sum((Counter({(key, text): n * t}) for (key, text, t), n in want.items()), Counter())
 
 
+def test_mixing_tells_rows_apart_by_all_columns(spark):
+    rows = [(None, "a b c", "s", f"l{i % 9}") for i in range(70)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    runs = [Counter(map(tuple, mixing.mix(df.repartition(n, "lang"), share=0.6).collect())) for n in (1, 3)]
+    assert runs[0] == runs[1] and sum(runs[0].values()) == 42
+
+
 def test_mixing_takes_weights_from_a_column(spark):
     rows = [(i, "a b c d", "s", 1.0 if i % 2 else 0.01) for i in range(400)] + [(1000, "a b", "s", None)]
     got = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string, worth double"), share=0.5, weight="worth").collect()
