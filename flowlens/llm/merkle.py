@@ -284,8 +284,11 @@ def compare_with_edit(df: DataFrame) -> DataFrame:
         for b in batches:
             yield batch(with_next(list(zip(*(c.to_pylist() for c in b.columns), strict=True))), pairs_form)
 
-    found = cut(in_order(df).mapInArrow(run, edge))
     names = pairs_form.names
+    found = in_order(df).mapInArrow(run, edge)
+    both = F.concat("fingerprint", F.lit(" "), "edited_fingerprint").alias("both")  # in one value, so that zstd finds what they share
+    found = cut(found.select(*(c for c in found.columns if not c.endswith("fingerprint")), both), "zstd")
+    found = found.withColumns({"fingerprint": F.split_part("both", F.lit(" "), F.lit(1)), "edited_fingerprint": F.split_part("both", F.lit(" "), F.lit(2))})
     first, last = (found.where(F.col("edge") == name).select("task", "doc_id", "hash", "lot", "text") for name in ("first", "last"))
     by = Window.orderBy(*order())  # a row for each task, without its text
     follows = first.select("task", F.coalesce(F.lead("task").over(by), F.first("task").over(by)).alias("after"))
