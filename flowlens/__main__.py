@@ -21,11 +21,12 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--carve-form", choices=["pcap", "pcapng"], default="pcap", help="pcapng: each packet says which alert it is of")
     parser.add_argument("--alert", help="carve this alert alone")
     parser.add_argument("--capacity", type=int, help="also count the flows that a flow table of this capacity would open")
+    parser.add_argument("--range-bytes", type=int, help="read captures by ranges of this size, for files of any size")
     parser.add_argument("--version", action="version", version=f"flowlens {VERSION}")
     a = parser.parse_args(argv)
     spark = SparkSession.builder.appName("flowlens").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        run = T.triage_path(spark, a.capture, rules.load(a.rules) if a.rules else None)
+        run = T.triage_path(spark, a.capture, rules.load(a.rules) if a.rules else None, a.range_bytes)
         print(T.text_report(run))
         if a.capacity is not None:
             opened = flows.instances(run.packets, a.capacity).select("capture_id", "flow_id", "flow_instance").distinct().count()

@@ -14,6 +14,7 @@ from flowlens.operators import alerts as A
 from flowlens.operators import flows
 from flowlens.sources import carve
 from flowlens.sources.pcap import read_captures
+from flowlens.sources.ranges import read_ranges
 from flowlens.tables import cut, drop
 
 
@@ -42,8 +43,9 @@ def triage(packets: DataFrame, rules: dict | None = None, detectors: dict | None
     return Triage(packets, flows.aggregate(packets), alerts, A.timelines(alerts), A.timeline_alerts(alerts), A.dns_telemetry(alerts, packets, cfg), A.suspicious_payloads(alerts), A.evidence(alerts, packets, cfg), A.summary(with_ids, alerts))
 
 
-def triage_path(spark: SparkSession, path: str, rules: dict | None = None) -> Triage:
-    return triage(read_captures(spark, path), rules)
+def triage_path(spark: SparkSession, path: str, rules: dict | None = None, range_bytes: int | None = None) -> Triage:
+    """All results over the captures under a path, each file in a task; with range_bytes each range of so many bytes, for files of any size."""
+    return triage(read_captures(spark, path) if range_bytes is None else read_ranges(spark, path, range_bytes), rules)
 
 
 def carved(spark: SparkSession, run: Triage, alert: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -135,3 +135,14 @@ def test_ranges_give_what_whole_files_give(spark, tmp_path):
     columns = ["capture_id", "seq", "ts_us", "file_offset", "caplen", "src_ip", "src_port", "payload"]
     want = sorted(pcap.read_captures(spark, path).select(columns).collect())
     assert len(want) > 1500 and sorted(ranges.read_ranges(spark, path, 1500).select(columns).collect()) == want
+
+
+def test_triage_by_ranges_raises_what_whole_files_raise(spark, tmp_path):
+    tcp = lambda k: struct.pack(">HHIIBBHHH", 40000 + k, 20 + k, 1, 0, 0x50, 0x29, 1024, 0, 0)
+    (tmp_path / "a.pcap").write_bytes(classic([eth(0x0800, ip4(6, tcp(k), dst=bytes([10, 0, 1, k]))) for k in range(60)]))
+    whole, parts = (T.triage_path(spark, str(tmp_path / "a.pcap"), range_bytes=n) for n in (None, 700))
+    assert parts.packets.count() == 60
+    columns = ["alert_id", "rule_id", "source_ip", "target_ip"]
+    found = [sorted(map(str, run.alerts.select(columns).collect())) for run in (whole, parts)]
+    assert found[0] == found[1] and len(found[0]) > 0
+    whole.close(), parts.close()
