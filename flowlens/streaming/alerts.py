@@ -1,6 +1,7 @@
 """Alerts of all detectors on a stream of packets.
 
-The detectors are those of batches; what they keep by key is state here (state.py). Settings in cfg["stream"]: ttl (of what has been told once), idle (after which a flow closes) and late (how far packets may lie behind, in event time)."""
+The detectors are those of batches; what they keep by key is state here (state.py). Settings in cfg["stream"]: ttl (of what has been told once), idle (after which a flow closes), late (how far packets may lie behind, in event time) and
+buckets (of flows, each one value of state)."""
 
 from __future__ import annotations
 

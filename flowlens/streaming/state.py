@@ -17,12 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 CAPTURE = "capture_id"
-DEFAULTS = {"ttl": "7 days", "idle": "1 hour", "late": "10 minutes"}
+DEFAULTS = {"ttl": "7 days", "idle": "1 hour", "late": "10 minutes", "buckets": 1024}
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FLOW = "seq long, ts_us long, src_ip string, src_port int, dst_ip string, dst_port int, protocol int, packet_count long, byte_count long, start_ts_us long"
 STATS = "n long, mean double, stddev double, median double, mad double"
+EVENT = f"capture_id string, flow_id string, event string, {FLOW}, dns boolean, told boolean, {STATS}"
 
 
 def millis(span: str) -> int:
@@ -202,70 +204,67 @@ def watching(cfg: dict | None) -> Watch | None:
     return (cfg or {}).get("watch")
 
 
-class FlowTable(StatefulProcessor):
+class FlowTable:
     """The flow table: a flow opens with a packet, closes `idle` after its last one, and may open again. An event is told when a flow's
     gaps are regular for the first time (beacon: "prefix"), and when it closes ("closed"), with its numbers and those of its gaps.
 
-    Times are kept as a list, 17 bytes a packet, until the gaps have been found regular; nothing else grows with a flow."""
+    Flows are dealt to buckets by the hash of their id, and a bucket's flows are one value of state, which a micro-batch reads and
+    writes once: a call for each flow costs far more than its packets. Times are kept until the gaps have been found regular; nothing
+    else grows with a flow."""
 
     def __init__(self, own: dict, idle: str):
         self.own, self.idle = own, millis(idle)
+        self.numbers = [c.split()[0] for c in FLOW.split(", ")]
+        self.columns = [c.split()[0] for c in EVENT.split(", ")]
 
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.flow = handle.getValueState("flow", FLOW + ", dns boolean, told boolean, timer long")
-        self.times = handle.getListState("times", "ts_us long, full boolean")
-
-    def _state(self) -> dict | None:
-        names = [c.split()[0] for c in FLOW.split(", ")] + ["dns", "told", "timer"]
-        return dict(zip(names, row, strict=True)) if (row := self.flow.get()) is not None else None
-
-    def _event(self, event: str, state: dict, stats: tuple | None) -> pd.DataFrame:
-        names = [c.split()[0] for c in FLOW.split(", ")]
-        row = {"capture_id": self.key[0], "flow_id": self.key[1], "event": event} | {n: state[n] for n in names} | {"dns": state["dns"], "told": state["told"]}
-        row |= dict(zip((c.split()[0] for c in STATS.split(", ")), stats or (None,) * 5, strict=True))
-        return pd.DataFrame([row]).astype({"n": "Int64"})
+    def _event(self, capture: str, flow: str, event: str, state: dict, stats: tuple | None) -> tuple:
+        return (capture, flow, event, *(state[n] for n in self.numbers), state["dns"], state["told"], *(stats or (None,) * 5))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def _take(self, capture: str, flow: str, state: dict | None, rows: list) -> tuple[dict, list[tuple]]:
+        """A flow after its packets, in order, and what they tell."""
         from flowlens.operators.beacons import Prefix
 
-        self.key, state, own = key, self._state(), in_order(rows)
-        watched = not (state and state["told"])
-        prefix = Prefix(self.own, [(t, f) for t, f in self.times.get()] if state else []) if watched else None
-        new = []
-        for r in own.itertuples(index=False):
+        out = []
+        prefix = None if state and state["told"] else Prefix(self.own, state["times"] if state else [])
+        for r in rows:
             if state is None:
-                state = {"packet_count": 0, "byte_count": 0, "start_ts_us": int(r.ts_us), "dns": False, "told": False, "timer": 0, "src_ip": r.src_ip, "src_port": int(r.src_port), "dst_ip": r.dst_ip, "dst_port": int(r.dst_port), "protocol": int(r.protocol)}
+                state = {"packet_count": 0, "byte_count": 0, "start_ts_us": int(r.ts_us), "dns": False, "told": False, "times": [], "src_ip": r.src_ip, "src_port": int(r.src_port), "dst_ip": r.dst_ip, "dst_port": int(r.dst_port), "protocol": int(r.protocol)}
             state |= {"seq": int(r.seq), "ts_us": int(r.ts_us), "packet_count": state["packet_count"] + 1, "byte_count": state["byte_count"] + int(r.wirelen), "dns": state["dns"] or bool(r.dns)}
             if prefix is not None:
-                new.append((int(r.ts_us), bool(r.full)))
+                state["times"].append((int(r.ts_us), bool(r.full)))
                 if (stats := prefix.add(int(r.ts_us), bool(r.full))) is not None:
-                    state["told"], prefix = True, None
-                    yield self._event("prefix", state, stats)
-        if watched and prefix is None:
-            self.times.clear()
-        elif new:
-            self.times.appendList(new)
-        timer = state["ts_us"] // 1000 + self.idle
-        if timer != state["timer"]:
-            if state["timer"]:
-                self.handle.deleteTimer(state["timer"])
-            self.handle.registerTimer(timer)
-            state["timer"] = timer
-        self.flow.update(tuple(state[c.split()[0]] for c in FLOW.split(", ")) + (state["dns"], state["told"], timer))
+                    state |= {"told": True, "times": []}
+                    prefix = None
+                    out.append(self._event(capture, flow, "prefix", state, stats))
+        return state, out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def _closed(self, capture: str, flow: str, state: dict) -> tuple:
         from flowlens.operators.beacons import Prefix
 
-        self.key = key
-        if (state := self._state()) is not None:
-            stats = None
-            if not state["told"] and state["packet_count"] >= self.own["min_samples"]:
-                stats = Prefix(self.own, [(t, f) for t, f in self.times.get()]).whole()
-            yield self._event("closed", state, stats)
-            self.flow.clear()
-            if not state["told"]:
-                self.times.clear()
+        judged = not state["told"] and state["packet_count"] >= self.own["min_samples"]
+        return self._event(capture, flow, "closed", state, Prefix(self.own, state["times"]).whole() if judged else None)
+
+    def step(self, key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        """A bucket's packets, then the flows whose time is over."""
+        capture, table, told = key[0], json.loads(group.get[0]) if group.exists else {}, []
+        if not group.hasTimedOut:
+            fresh: dict[str, list] = {}
+            for r in in_order(frames).itertuples(index=False):
+                fresh.setdefault(r.flow_id, []).append(r)
+            for flow, rows in fresh.items():
+                table[flow], out = self._take(capture, flow, table.get(flow), rows)
+                told += out
+        now, ends = group.getCurrentWatermarkMs(), {flow: state["ts_us"] // 1000 + self.idle for flow, state in table.items()}
+        for flow in [flow for flow, end in ends.items() if end <= now]:
+            told.append(self._closed(capture, flow, table.pop(flow)))
+            del ends[flow]
+        if table:
+            group.update((json.dumps(table),))
+            group.setTimeoutTimestamp(min(ends.values()))
+        elif group.exists:
+            group.remove()
+        if told:
+            yield pd.DataFrame(told, columns=self.columns).astype({"n": "Int64"})
 
 
 def first_rows(df: DataFrame, keys: list[str], watch: Watch) -> DataFrame:
@@ -291,13 +290,15 @@ def unseen(rows: DataFrame, pair: list[str], watch: Watch) -> DataFrame:
 def flow_events(packets: DataFrame, cfg: dict) -> DataFrame:
     """Events of the flow table over packets with flows: capture_id, flow_id, event, numbers of the flow, dns (it has a query that
     tells exfiltration), told (its gaps were regular before) and numbers of regular gaps, else null. src is endpoint a."""
-    watch, form = watching(cfg), f"capture_id string, flow_id string, event string, {FLOW}, dns boolean, told boolean, {STATS}"
+    watch, form = watching(cfg), EVENT
     if watch.told is not None:
         return watch.told.where(F.col("kind") == FLOW_KIND).select(F.from_json("row", form).alias("_row")).select("_row.*")
     dns = F.coalesce((F.col("dns_qname") != "") & ((F.col("dns_qtype") == 16) | (F.length("dns_qname") > 64)), F.lit(False))
     ends = [F.col(f"endpoint_{a}_{b}").alias(f"{c}_{b}") for a, c in (("a", "src"), ("b", "dst")) for b in ("ip", "port")]
+    bucket = F.pmod(F.xxhash64("flow_id"), F.lit(int(setting(cfg, "buckets")))).alias("bucket")
     slim = packets.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", setting(cfg, "late"))
-    slim = slim.select(CAPTURE, "flow_id", "ts", "seq", "ts_us", "wirelen", (F.col("payload_len") > 0).alias("full"), "protocol", dns.alias("dns"), *ends)
-    told = slim.groupBy(CAPTURE, "flow_id").transformWithStateInPandas(FlowTable(cfg["beacon"], setting(cfg, "idle")), form, "Append", "EventTime")
+    slim = slim.select(CAPTURE, bucket, "flow_id", "ts", "seq", "ts_us", "wirelen", (F.col("payload_len") > 0).alias("full"), "protocol", dns.alias("dns"), *ends)
+    table = FlowTable(cfg["beacon"], setting(cfg, "idle"))
+    told = slim.groupBy(CAPTURE, "bucket").applyInPandasWithState(table.step, form, "flows string", "append", GroupStateTimeout.EventTimeTimeout)
     watch.flows.append(told.select(F.lit(FLOW_KIND).alias("kind"), F.to_json(F.struct("*")).alias("row"), F.lit("{}").alias("more")))
     return packets.sparkSession.createDataFrame([], form)

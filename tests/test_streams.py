@@ -82,6 +82,46 @@ def test_a_crossing_does_not_depend_on_how_rows_are_batched(size):
     assert memory["told"] and not seen.all()
 
 
+class Group:
+    """State of a group as Spark hands it out."""
+
+    def __init__(self):
+        self.value, self.exists, self.hasTimedOut, self.watermark, self.end = None, False, False, 0, None
+
+    @property
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.exists = value, True
+
+    def remove(self):
+        self.value, self.exists = None, False
+
+    def setTimeoutTimestamp(self, end):
+        assert end > self.watermark
+        self.end = end
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+
+@pytest.mark.parametrize("size", [1, 4, 100])
+def test_a_bucket_of_flows_is_one_value_of_state(size):
+    import pandas as pd
+
+    rows = [{"flow_id": f"f{i % 3}", "seq": i, "ts_us": (1_600_000_000 + i // 3 * (30 if i % 3 == 0 else 7 ** (i // 3 % 4))) * SECOND, "wirelen": 10 + i, "full": False, "dns": i == 4, "protocol": 6, "src_ip": "a", "src_port": i % 3, "dst_ip": "b", "dst_port": 80} for i in range(42)]
+    table, group, told = state.FlowTable(config.DEFAULTS["beacon"], "1 hour"), Group(), []
+    run = lambda frame: [r for f in table.step(("c", 0), iter([frame]), group) for r in f.itertuples()]
+    for k in range(0, len(rows), size):
+        told += run(pd.DataFrame(rows[k : k + size]))
+    group.hasTimedOut, group.watermark = True, 1_700_000_000_000
+    told += run(pd.DataFrame(rows[:0]))
+    assert [(r.flow_id, r.event, r.packet_count) for r in told] == [("f0", "prefix", 12), *((f"f{i}", "closed", 14) for i in range(3))]
+    assert [(r.byte_count, r.dns, r.told) for r in told[1:]] == [(sum(10 + i for i in range(k, 42, 3)), k == 1, k == 0) for k in range(3)]
+    assert not group.exists
+
+
 def test_medians_by_blocks_are_exact(spark):
     import random
     import statistics
