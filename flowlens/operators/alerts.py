@@ -38,27 +38,30 @@ def alert_id(rule: Column, capture: Column, key: Column) -> Column:
     return F.concat(F.coalesce(_of(rule, PREFIXES), F.lit("ALT")), F.lit("-"), F.substring(F.md5(F.concat(capture, F.lit("|"), key).cast("binary")), 1, 12))
 
 
-def title(rule: Column, proof: Column) -> Column:
-    field = F.call_function("get_json_object", proof, F.concat(F.lit("$."), _of(rule, {r: f or "-" for r, (_, f) in TITLES.items()})))
-    return F.concat(F.coalesce(_of(rule, {r: t for r, (t, _) in TITLES.items()}), rule), F.coalesce(field, F.lit("")))
+def title(rule: Column, fields: list[str]) -> Column:
+    """Of alerts whose proof, a struct, has these fields."""
+    told = [F.when(rule == r, F.col(f"proof.{f}").cast("string")) for r, (_, f) in TITLES.items() if f in fields]
+    return F.concat(F.coalesce(_of(rule, {r: t for r, (t, _) in TITLES.items()}), rule), F.coalesce(*told, F.lit("")))
 
 
-def description(proof: Column) -> Column:
+def description(fields: list[str]) -> Column:
     """What was measured, between which ends."""
+    metric = F.col("proof.metric") if "metric" in fields else F.lit(None).cast("string")
     of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    return F.concat(F.get_json_object(proof, "$.metric"), F.lit(": "), of("source_ip"), F.lit(":"), of("source_port"), F.lit(" to "), of("target_ip"), F.lit(":"), of("target_port"))
+    return F.concat(metric, F.lit(": "), of("source_ip"), F.lit(":"), of("source_port"), F.lit(" to "), of("target_ip"), F.lit(":"), of("target_port"))
 
 
 def union(packets: DataFrame, cfg: dict, detectors: dict | None = None) -> DataFrame:
     """Alerts of all detectors in one form; proof is JSON."""
     parts = []
     for place, (_, detect) in enumerate((detectors or DETECTORS).items()):
-        parts.append(detect(packets, cfg).withColumn("proof", F.to_json("proof")).withColumn("module", F.lit(place)))
+        rows = detect(packets, cfg)
+        fields = rows.select("proof.*").columns
+        parts.append(rows.withColumns({"title": title(F.col("rule_id"), fields), "description": description(fields)}).withColumns({"proof": F.to_json("proof"), "module": F.lit(place)}))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    told = {"alert_id": alert_id(F.col("rule_id"), F.col("capture_id"), F.col("key")), "title": title(F.col("rule_id"), F.col("proof")), "description": description(F.col("proof"))}
-    return out.withColumns(told).select(COLUMNS)
+    return out.withColumn("alert_id", alert_id(F.col("rule_id"), F.col("capture_id"), F.col("key"))).select(COLUMNS)
 
 
 def ordered() -> Column:
@@ -66,9 +69,10 @@ def ordered() -> Column:
     return F.struct("capture_id", "phase", "seq", "module")
 
 
-def dedup(alerts: DataFrame) -> DataFrame:
-    """One alert for each id: the last one, at the place of the first."""
-    rest = [c for c in alerts.columns if c != "alert_id"]
+def dedup(alerts: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One alert for each id: the last one, at the place of the first; with columns, only these and those of its place, so that
+    nothing else is made and shuffled."""
+    rest = [c for c in alerts.columns if c != "alert_id" and (columns is None or c in (*columns, "capture_id", "phase", "seq", "module"))]
     out = alerts.groupBy("alert_id").agg(F.max_by(F.struct(*rest), ordered()).alias("_last"), F.min(ordered()).alias("_place"))
     return out.select("alert_id", "_last.*", F.col("_place").alias("place"))
 

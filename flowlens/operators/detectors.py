@@ -349,13 +349,20 @@ def beacon_prefix(packets: DataFrame, cfg: dict) -> DataFrame:
     return alerts(at.join(found, [*FLOW, "seq"]), "beacon", "RULE-C2-BEACON-01", F.col("flow_id"), "HIGH", "Command & Control", F.col("protocol").cast("string"), _beacon_proof(own), F.col("packet_count"), scope="flow", scope_key="flow_id")
 
 
+def _busy(packets: DataFrame, least: int) -> DataFrame:
+    """What regularity asks of the packets of flows that have `least` packets or more; no other flow is ever regular."""
+    rows = flows.with_flow(packets).select(*FLOW, *(f"endpoint_{e}_{x}" for e in "ab" for x in ("ip", "port")), "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "seq", "ts_us", "wirelen", "payload_len")
+    return rows.join(rows.groupBy(*FLOW).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*FLOW), FLOW, "left_semi")
+
+
 def beacon_online(packets: DataFrame, cfg: dict) -> DataFrame:
     """Once for a flow: at its first prefix with regular gaps, else when it ends if its gaps are regular then."""
     if state.watching(cfg):
         told = state.flow_events(flows.with_flow(packets), cfg).where("n is not null")
         return alerts(told, "beacon", "RULE-C2-BEACON-01", F.col("flow_id"), "HIGH", "Command & Control", F.col("protocol").cast("string"), _beacon_proof(cfg["beacon"]), F.col("packet_count"), F.when(F.col("event") == "closed", 1).otherwise(0), scope="flow", scope_key="flow_id")
-    early = cut(beacon_prefix(packets, cfg))
-    return early.unionByName(beacon(packets, cfg).join(early.select(*FLOW), FLOW, "left_anti"))
+    busy = cut(_busy(packets, cfg["beacon"]["min_samples"]))
+    early = cut(beacon_prefix(busy, cfg))
+    return early.unionByName(beacon(busy, cfg).join(early.select(*FLOW), FLOW, "left_anti"))
 
 
 #: In the order in which a packet is shown to them; a detector is any function of packets and configuration that returns alerts.

@@ -18,7 +18,9 @@ BLOCK = 1 << 16
 
 
 def with_flow(packets: DataFrame) -> DataFrame:
-    """packets with flow_id and both ends."""
+    """packets with flow_id and both ends; as they are where they have them."""
+    if {"flow_id", "endpoint_a_ip", "endpoint_a_port", "endpoint_b_ip", "endpoint_b_port"} <= set(packets.columns):
+        return packets
     c = [F.col(x) for x in ("src_ip", "src_port", "dst_ip", "dst_port")]
     a, b = net.flow_ends(*c)
     ends = {"endpoint_a_ip": a["ip"], "endpoint_a_port": a["port"], "endpoint_b_ip": b["ip"], "endpoint_b_port": b["port"]}
@@ -28,9 +30,9 @@ def with_flow(packets: DataFrame) -> DataFrame:
 def aggregate(packets: DataFrame) -> DataFrame:
     """A row for each flow of a capture: counts, bytes, and times in order of arrival."""
     first, last = F.min_by("ts_us", "seq"), F.max_by("ts_us", "seq")
-    ends = [F.first(c).alias(c) for c in ("endpoint_a_ip", "endpoint_a_port", "endpoint_b_ip", "endpoint_b_port", "protocol")]
-    out = with_flow(packets).groupBy("capture_id", "flow_id").agg(
-        *ends, F.count("*").alias("packet_count"), F.sum("wirelen").alias("byte_count"), first.alias("start_ts_us"), last.alias("last_ts_us"), F.max("seq").alias("last_seq")
+    ends = ["endpoint_a_ip", "endpoint_a_port", "endpoint_b_ip", "endpoint_b_port", "protocol"]  # told by flow_id; as keys they leave numbers only to add up, which needs no sort
+    out = with_flow(packets).groupBy("capture_id", "flow_id", *ends).agg(
+        F.count("*").alias("packet_count"), F.sum("wirelen").alias("byte_count"), first.alias("start_ts_us"), last.alias("last_ts_us"), F.max("seq").alias("last_seq")
     )
     return out.withColumn("duration_sec", F.when(F.col("packet_count") > 1, (F.col("last_ts_us") - F.col("start_ts_us")) / F.lit(1e6)).otherwise(0.0))
 

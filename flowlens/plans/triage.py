@@ -37,10 +37,9 @@ class Triage(NamedTuple):
 def triage(packets: DataFrame, rules: dict | None = None, detectors: dict | None = None) -> Triage:
     """All results over packets. Many branches share packets and alerts, so these are written as tables; close() deletes them."""
     cfg = config.configured(rules)
-    packets = cut(packets)
+    packets = cut(flows.with_flow(packets))
     alerts = cut(A.dedup(A.union(packets, cfg, detectors)))
-    with_ids = flows.with_flow(packets)
-    return Triage(packets, flows.aggregate(packets), alerts, A.timelines(alerts), A.timeline_alerts(alerts), A.dns_telemetry(alerts, packets, cfg), A.suspicious_payloads(alerts), A.evidence(alerts, packets, cfg), A.summary(with_ids, alerts))
+    return Triage(packets, flows.aggregate(packets), alerts, A.timelines(alerts), A.timeline_alerts(alerts), A.dns_telemetry(alerts, packets, cfg), A.suspicious_payloads(alerts), A.evidence(alerts, packets, cfg), A.summary(packets, alerts))
 
 
 def triage_path(spark: SparkSession, path: str, rules: dict | None = None, range_bytes: int | None = None) -> Triage:

@@ -77,6 +77,15 @@ def test_query_of_requests_takes_payloads_only(spark, tmp_path):
     assert sorted(r["seq"] for r in queries.http_parse(spark, str(tmp_path)).collect()) == [2, 3]
 
 
+def test_alerts_share_one_table_of_packets_and_make_no_more_than_is_asked(spark, tmp_path):
+    kinds = ("signup", "click", "view", "error", "purchase")
+    events = [(i, f"2024-01-01 00:00:{i % 60:02}", i % 30, kinds[i % 5], 1.0, f'{{"k": {i % 20}}}') for i in range(60)]
+    spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    counts = queries.severity_counts(spark, str(tmp_path))
+    assert not [f for f in counts.inputFiles() if "events.parquet" in f]
+    assert "to_json" not in counts._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("flags, state", [([2], "SYN_SENT"), ([2, 18], "SYN_RCVD"), ([2, 18, 16], "ESTABLISHED"), ([2, 18, 16, 17], "FIN_WAIT"), ([4], "RESET"), ([16], "CLOSED")])
 def test_tcp_state(spark, flags, state):
     assert flows.tcp_states(packets(spark, *({"tcp_flags": f} for f in flags))).first()["tcp_state"] == state
