@@ -124,11 +124,15 @@ def timeline_alerts(alerts: DataFrame) -> DataFrame:
 def bridge(alerts: DataFrame, packets: DataFrame, cfg: dict | None = None) -> DataFrame:
     """alert_id, capture_id, seq and other columns of each packet that an alert refers to: the packets of its scope up to it.
 
-    Each packet says which scopes it is in and by what key, and meets alerts there; a frequent key's packets are dealt by the join."""
-    named = [F.when(where, F.struct(F.lit(name).alias("scope"), key.alias("scope_key"))) for name, (where, key) in scopes(cfg or config.configured()).items()]
-    slim = flows.with_flow(packets).select("capture_id", F.col("seq").alias("at"), "file_offset", "caplen", "src_ip", "dns_qname", "dns_qtype", F.explode(F.filter(F.array(*named), lambda x: x.isNotNull())).alias("s"))
-    slim = slim.select("*", "s.*").drop("s")
-    return alerts.join(slim.withColumnRenamed("src_ip", "packet_src_ip"), ["capture_id", "scope", "scope_key"]).where(F.col("at") <= F.col("seq"))
+    Scope by scope the packets in it meet its alerts by key, so packets are dealt by flow and by number, and where a scope has few
+    alerts (sources, domains) not at all; a frequent key's packets are dealt by the join."""
+    rows, out = flows.with_flow(packets), None
+    slim = ["capture_id", F.col("seq").alias("at"), "file_offset", "caplen", F.col("src_ip").alias("packet_src_ip"), "dns_qname", "dns_qtype"]
+    for name, (where, key) in scopes(cfg or config.configured()).items():
+        own = rows.where(where).select(*slim, key.alias("scope_key"))
+        met = alerts.where(F.col("scope") == name).join(own, ["capture_id", "scope_key"]).where(F.col("at") <= F.col("seq"))
+        out = met if out is None else out.unionByName(met)
+    return out
 
 
 def dns_telemetry(alerts: DataFrame, packets: DataFrame, cfg: dict | None = None) -> DataFrame:

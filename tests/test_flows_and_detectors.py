@@ -86,6 +86,12 @@ def test_alerts_share_one_table_of_packets_and_make_no_more_than_is_asked(spark,
     assert "to_json" not in counts._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_packets_meet_alerts_scope_by_scope(spark):
+    met = A.bridge(A.empty(spark), packets(spark, {}))
+    assert "Generate" not in met._jdf.queryExecution().optimizedPlan().toString()
+    assert {"alert_id", "at", "packet_src_ip", "scope", "scope_key"} <= set(met.columns)
+
+
 @pytest.mark.parametrize("flags, state", [([2], "SYN_SENT"), ([2, 18], "SYN_RCVD"), ([2, 18, 16], "ESTABLISHED"), ([2, 18, 16, 17], "FIN_WAIT"), ([4], "RESET"), ([16], "CLOSED")])
 def test_tcp_state(spark, flags, state):
     assert flows.tcp_states(packets(spark, *({"tcp_flags": f} for f in flags))).first()["tcp_state"] == state
