@@ -106,7 +106,7 @@ def exfil_volume(packets: DataFrame, cfg: dict) -> DataFrame:
     """Flows of many bytes that raised no DNS alert."""
     least = cfg["exfil"]["min_exfil_bytes"]
     if state.watching(cfg):
-        closed = state.flow_events(flows.with_flow(packets), cfg).where((F.col("event") == "closed") & (F.col("byte_count") >= least) & ~F.col("dns"))
+        closed = state.flow_events(flows.with_flow(packets), cfg, (F.col("event") == "closed") & (F.col("byte_count") >= least) & ~F.col("dns"))
         big = closed.withColumn("duration_sec", F.when(F.col("packet_count") > 1, (F.col("ts_us") - F.col("start_ts_us")) / F.lit(1e6)).otherwise(0.0))
     else:
         big = _large(packets, cfg, least)
@@ -358,7 +358,7 @@ def _busy(packets: DataFrame, least: int) -> DataFrame:
 def beacon_online(packets: DataFrame, cfg: dict) -> DataFrame:
     """Once for a flow: at its first prefix with regular gaps, else when it ends if its gaps are regular then."""
     if state.watching(cfg):
-        told = state.flow_events(flows.with_flow(packets), cfg).where("n is not null")
+        told = state.flow_events(flows.with_flow(packets), cfg, F.col("n").isNotNull())
         return alerts(told, "beacon", "RULE-C2-BEACON-01", F.col("flow_id"), "HIGH", "Command & Control", F.col("protocol").cast("string"), _beacon_proof(cfg["beacon"]), F.col("packet_count"), F.when(F.col("event") == "closed", 1).otherwise(0), scope="flow", scope_key="flow_id")
     busy = cut(_busy(packets, cfg["beacon"]["min_samples"]))
     early = cut(beacon_prefix(busy, cfg))

@@ -16,6 +16,9 @@ from flowlens.streaming import state
 from flowlens.tables import shared
 
 
+ROWS_A_FILE = 100_000
+
+
 def start(packets: DataFrame, cfg: dict, folder: str, checkpoint: str, detectors: dict | None = None, **trigger) -> StreamingQuery:
     """Append the alerts of a stream of packets as Parquet: those by packets with the packet, those of whole flows as flows close. A
     micro-batch has a folder of its own that a second try overwrites, so alerts come exactly once over restarts from the checkpoint."""
@@ -26,9 +29,11 @@ def start(packets: DataFrame, cfg: dict, folder: str, checkpoint: str, detectors
     A.union(packets, cfg | {"watch": watch}, detectors)
 
     def report(told: DataFrame, batch: int) -> None:
+        """State first, by all of its tasks: fewer tasks that write would else take the state's work into theirs."""
         told = told.persist()
+        files = 1 + told.count() // ROWS_A_FILE
         nothing = told.sparkSession.createDataFrame([], schema)
-        A.union(nothing, cfg | {"watch": state.Watch(told)}, detectors).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        A.union(nothing, cfg | {"watch": state.Watch(told)}, detectors).repartition(files).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
         told.unpersist()
 
     stream = watch.stream(state.setting(cfg, "ttl"), state.setting(cfg, "late")).writeStream.foreachBatch(report).option("checkpointLocation", checkpoint)
@@ -37,7 +42,7 @@ def start(packets: DataFrame, cfg: dict, folder: str, checkpoint: str, detectors
 
 def replay(packets: DataFrame, cfg: dict, cuts: list[int], detectors: dict | None = None) -> DataFrame:
     """Alerts of packets that come as a stream in order of seq, cut where seq reaches each of cuts; the stream is stopped at each cut
-    and started again from its checkpoint. A last packet far in the future closes all flows."""
+    and started again from its checkpoint. A last packet far in the future, which comes with the last part, closes all flows."""
     spark = packets.sparkSession
     base = f"{shared(spark)}/replay-{uuid.uuid4().hex}"
     bounds = [None, *cuts, None]
@@ -47,7 +52,8 @@ def replay(packets: DataFrame, cfg: dict, cuts: list[int], detectors: dict | Non
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         part = packets if low is None else packets.where(F.col("seq") >= low)
         parts.append(part if high is None else part.where(F.col("seq") < high))
-    for part in [*parts, marker]:
+    parts[-1] = parts[-1].unionByName(marker)
+    for part in parts:
         part.write.mode("append").parquet(f"{base}/packets")
         stream = spark.readStream.schema(packets.schema).parquet(f"{base}/packets")
         start(stream, cfg, f"{base}/alerts", f"{base}/checkpoint", detectors, availableNow=True).awaitTermination()

@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -166,7 +168,7 @@ class Watch:
     """What detectors ask of state: taken down while `told` is None, else given from it (kind, row, more), a micro-batch's rows."""
 
     def __init__(self, told: DataFrame | None = None):
-        self.told, self.parts, self.steps, self.kinds, self.flows = told, [], {}, 0, []
+        self.told, self.parts, self.steps, self.kinds, self.flows, self.wanted = told, [], {}, 0, None, []
 
     def rows(self, df: DataFrame, keys: list[str], step, more: str = "", args: list | None = None) -> DataFrame:
         """Rows of df that the step lets through (None: all), without their payload, with the columns that it adds (more)."""
@@ -193,7 +195,9 @@ class Watch:
             for part in keyed[1:]:
                 every = every.unionByName(part)
             out.append(every.withWatermark("ts", late).groupBy("kind", "key").transformWithStateInPandas(Keyed(self.steps, ttl), "kind int, row string, more string", "Append", "EventTime"))
-        out += self.flows[:1]
+        if self.flows is not None:  # most flows end without anything to say
+            events = self.flows.where(reduce(or_, self.wanted))
+            out.append(events.select(F.lit(FLOW_KIND).alias("kind"), F.to_json(F.struct("*")).alias("row"), F.lit("{}").alias("more")))
         told = out[0]
         for part in out[1:]:
             told = told.unionByName(part)
@@ -287,18 +291,20 @@ def unseen(rows: DataFrame, pair: list[str], watch: Watch) -> DataFrame:
     return watch.rows(rows, pair, Unseen(), "name string", [F.col("keys").alias("names")]).drop("keys")
 
 
-def flow_events(packets: DataFrame, cfg: dict) -> DataFrame:
-    """Events of the flow table over packets with flows: capture_id, flow_id, event, numbers of the flow, dns (it has a query that
-    tells exfiltration), told (its gaps were regular before) and numbers of regular gaps, else null. src is endpoint a."""
+def flow_events(packets: DataFrame, cfg: dict, wanted: Column) -> DataFrame:
+    """Events of the flow table over packets with flows that the caller wants, a condition on them: capture_id, flow_id, event, numbers
+    of the flow, dns (it has a query that tells exfiltration), told (its gaps were regular before) and numbers of regular gaps, else
+    null. src is endpoint a."""
     watch, form = watching(cfg), EVENT
     if watch.told is not None:
-        return watch.told.where(F.col("kind") == FLOW_KIND).select(F.from_json("row", form).alias("_row")).select("_row.*")
-    dns = F.coalesce((F.col("dns_qname") != "") & ((F.col("dns_qtype") == 16) | (F.length("dns_qname") > 64)), F.lit(False))
-    ends = [F.col(f"endpoint_{a}_{b}").alias(f"{c}_{b}") for a, c in (("a", "src"), ("b", "dst")) for b in ("ip", "port")]
-    bucket = F.pmod(F.xxhash64("flow_id"), F.lit(int(setting(cfg, "buckets")))).alias("bucket")
-    slim = packets.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", setting(cfg, "late"))
-    slim = slim.select(CAPTURE, bucket, "flow_id", "ts", "seq", "ts_us", "wirelen", (F.col("payload_len") > 0).alias("full"), "protocol", dns.alias("dns"), *ends)
-    table = FlowTable(cfg["beacon"], setting(cfg, "idle"))
-    told = slim.groupBy(CAPTURE, "bucket").applyInPandasWithState(table.step, form, "flows string", "append", GroupStateTimeout.EventTimeTimeout)
-    watch.flows.append(told.select(F.lit(FLOW_KIND).alias("kind"), F.to_json(F.struct("*")).alias("row"), F.lit("{}").alias("more")))
+        return watch.told.where(F.col("kind") == FLOW_KIND).select(F.from_json("row", form).alias("_row")).select("_row.*").where(wanted)
+    watch.wanted.append(wanted)
+    if watch.flows is None:
+        dns = F.coalesce((F.col("dns_qname") != "") & ((F.col("dns_qtype") == 16) | (F.length("dns_qname") > 64)), F.lit(False))
+        ends = [F.col(f"endpoint_{a}_{b}").alias(f"{c}_{b}") for a, c in (("a", "src"), ("b", "dst")) for b in ("ip", "port")]
+        bucket = F.pmod(F.xxhash64("flow_id"), F.lit(int(setting(cfg, "buckets")))).alias("bucket")
+        slim = packets.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", setting(cfg, "late"))
+        slim = slim.select(CAPTURE, bucket, "flow_id", "ts", "seq", "ts_us", "wirelen", (F.col("payload_len") > 0).alias("full"), "protocol", dns.alias("dns"), *ends)
+        table = FlowTable(cfg["beacon"], setting(cfg, "idle"))
+        watch.flows = slim.groupBy(CAPTURE, "bucket").applyInPandasWithState(table.step, form, "flows string", "append", GroupStateTimeout.EventTimeTimeout)
     return packets.sparkSession.createDataFrame([], form)

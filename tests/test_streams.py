@@ -1,9 +1,12 @@
 """Detectors on a stream that is stopped and started again, against the same detectors on the whole table."""
 
+import os
+
 import pytest
 
 from flowlens import config
 from flowlens.operators import alerts as A
+from flowlens.operators import detectors
 from flowlens.operators.beacons import Gaps, Prefix
 from flowlens.operators.combinators import medians
 from flowlens.streaming import alerts as streamed
@@ -49,6 +52,38 @@ def test_stream_raises_what_the_batch_raises(spark, monkeypatch):
     assert got == want
 
 
+def test_state_is_worked_on_by_all_tasks(spark, tmp_path):
+    """A report in few files must not draw the work of the state into as few tasks."""
+    cfg = config.configured() | {"stream": {"late": "3650 days", "idle": "1 hour", "ttl": "1 hour"}}
+    rows = packets(spark, *mixed())
+    rows.coalesce(1).write.parquet(f"{tmp_path}/packets")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/packets")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        query = streamed.start(stream, cfg, f"{tmp_path}/alerts", f"{tmp_path}/checkpoint", {k: detectors.DETECTORS[k] for k in ("beacon", "sweep")}, availableNow=True)
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(str(query.runId))]
+    tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in j.stageIds if tracker.getStageInfo(s)]
+    assert max(tasks) >= 6  # two operators, three tasks each
+    assert {r["rule_id"] for r in spark.read.parquet(f"{tmp_path}/alerts").collect()} == {"RULE-C2-BEACON-01", "RULE-RECON-SWEEP-01"}
+    assert len([f for f in os.listdir(f"{tmp_path}/alerts/batch=0") if f.endswith(".parquet")]) == 1
+
+
+def test_only_events_that_are_asked_for_leave_the_flow_table(spark, tmp_path):
+    """Of flows that end, those in which no detector sees anything are not reported."""
+    cfg = config.configured() | {"stream": {"late": "3650 days", "idle": "1 hour", "ttl": "1 hour"}}
+    rows = packets(spark, *mixed())
+    watch = state.Watch()
+    A.union(rows, cfg | {"watch": watch}, {"exfil_volume": detectors.DETECTORS["exfil_volume"]})
+    event = spark.createDataFrame([(None, None, "closed", 1, 0, None, 0, None, 0, 6, 1, size, 0, dns, False) for size, dns in ((9_000_000, False), (9_000_000, True), (10, False))], state.EVENT.split(", n long")[0])
+    watch.flows = event.select("*", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in state.STATS.split(", ")))
+    assert watch.stream("1 hour", "1 hour").count() == 1
+
+
 class Memory:
     """Map state as a dictionary."""
 
